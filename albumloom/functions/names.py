@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# white space of any script
+WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 # extension = last dot and what follows, when something other than dots stands before it
 EXTENSION = r"([^.]\.*)(\.[^.]*)$"
 
@@ -52,7 +54,7 @@ def add_suffix(name: Column, suffix: Column) -> Column:
 def clean_tag(tag: Column) -> Column:
     """Folder-safe tag: illegal characters become the fixed mark, white space goes, 100 characters stay."""
     # fixed values: the nine characters a folder name must not hold and their replacement
-    return F.substring(F.regexp_replace(F.regexp_replace(tag, r'[/\\:*?"<>|]', "、"), r"\s+", ""), 1, 100)
+    return F.substring(F.regexp_replace(F.regexp_replace(tag, r'[/\\:*?"<>|]', "、"), WHITE_SPACE + "+", ""), 1, 100)
 
 
 def dated_tag(day: Column, tag: Column) -> Column:

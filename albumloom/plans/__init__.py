@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["photo_core"]
+MODULES = ["photo_core", "texts"]
 
 
 def load_all():

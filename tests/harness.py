@@ -56,8 +56,9 @@ def compare(spark, con, entry, sf):
     off = [(c, kinds[c], duck_kinds[c]) for c in got_cols if kinds[c] in same and duck_kinds[c] not in same[kinds[c]]]
     other = [(c, kinds[c]) for c in got_cols if kinds[c] not in same]
     if len(got) != len(want) or got != want:
-        only_got = [r for r in got if r not in set(want)][:3] if len(got) < 200000 else []
-        only_want = [r for r in want if r not in set(got)][:3] if len(want) < 200000 else []
+        g, w = set(got), set(want)
+        only_got = [r for r in got if r not in w][:3]
+        only_want = [r for r in want if r not in g][:3]
         return f"rows {len(got)} vs {len(want)}\n   cols {got_cols}\n   spark only {only_got}\n   sql only   {only_want}"
     if not got:
         return "EMPTY RESULT"
