@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["photo_core", "texts"]
+MODULES = ["photo_core", "texts", "places"]
 
 
 def load_all():

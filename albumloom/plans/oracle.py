@@ -106,3 +106,32 @@ ALIASES = """aliases(ordinal, name, block, lat_min, lng_min, lat_max, lng_max) A
 
 def with_(*ctes: str, body: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
+
+POINTS = """points AS (
+  SELECT round(lat::DECIMAL(12,6), 4)::DECIMAL(12,4)::VARCHAR || ',' || round(lng::DECIMAL(12,6), 4)::DECIMAL(12,4)::VARCHAR AS coord, count(*) AS photo_count,
+         arg_min(lat, photo_id) AS lat, arg_min(lng, photo_id) AS lng FROM photos WHERE lat IS NOT NULL GROUP BY 1)"""
+ADMIN = """admin AS (
+  SELECT coord, ['重庆市', '四川省', '香港特别行政区', '云南省'][a % 4 + 1] AS province,
+    CASE WHEN a % 4 = 0 THEN CASE WHEN b % 2 = 0 THEN '' ELSE '重庆市' END ELSE ['', '成都市', '', '大理市'][a % 4 + 1] END AS city,
+    ['两江新区', '渝中区', '大理县', '重庆市', ''][b % 5 + 1] AS district, ['人和街道', '', '南山镇'][b % 3 + 1] AS township
+  FROM (SELECT coord, round((lat - 29.5) / 0.0031::DOUBLE)::INT AS a, round((lng - 106.5) / 0.0027::DOUBLE)::INT AS b FROM points)),
+known AS (SELECT coord, province, CASE WHEN city = '' AND province IN ('重庆市', '香港特别行政区') THEN province ELSE city END AS city, district, township FROM admin),
+admin_names AS (SELECT *, nullif(concat_ws(' ', nullif(city, ''), CASE WHEN district <> '' AND district <> city AND (city = '重庆市' OR regexp_matches(district, '[县旗]$')) THEN district END, nullif(township, '')), '') AS admin FROM known)"""
+HITS = """hits AS (
+  SELECT coord, CASE WHEN arg_min(block, ordinal) THEN 'block' ELSE 'replace' END AS alias, CASE WHEN NOT arg_min(block, ordinal) THEN arg_min(aliases.name, ordinal) END AS alias_name
+  FROM points JOIN aliases ON lat BETWEEN lat_min AND lat_max AND lng BETWEEN lng_min AND lng_max
+  WHERE block OR coalesce(aliases.name, '') <> '' GROUP BY coord)"""
+METRES = """asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))) * 12742000"""
+NEAR = f"""near AS (
+  SELECT * FROM (SELECT coord, poi_id, poi.name, poi.type, {METRES.format(a='points.', b='poi.')} AS dist FROM points, poi WHERE regexp_matches(poi.name, '[\\x{{4e00}}-\\x{{9fff}}]')) WHERE dist <= 500),
+scores AS (SELECT *, CASE WHEN dist <= 30 THEN 36 WHEN dist <= 60 THEN 28 WHEN dist <= 100 THEN 18 WHEN dist <= 200 THEN 8 ELSE 0 END
+   + CASE split_part(type, ';', 1) WHEN '风景名胜' THEN 50 WHEN '体育休闲服务' THEN 10 WHEN '餐饮服务' THEN 0 WHEN '住宿服务' THEN -15 WHEN '购物服务' THEN -20 WHEN '科教文化服务' THEN -30
+       WHEN '公司企业' THEN -30 WHEN '交通设施服务' THEN -50 WHEN '医疗保健服务' THEN -50 WHEN '商务住宅' THEN -100 ELSE -10 END
+   + CASE WHEN regexp_matches(name, '5A|4A|博物馆|古镇') THEN 50 ELSE 0 END AS score FROM near)"""
+BEST = """best AS (SELECT coord, name AS poi_name FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY coord ORDER BY score DESC, dist, poi_id) AS rn FROM scores s JOIN known USING (coord)
+  WHERE coord NOT IN (SELECT coord FROM hits) AND score >= CASE WHEN known.city = '重庆市' THEN 65 ELSE 35 END) WHERE rn = 1)"""
+RESOLVED = """resolved AS (SELECT p.coord, photo_count, lat, lng, alias,
+    CASE WHEN alias = 'replace' THEN alias_name WHEN poi_name IS NOT NULL THEN concat_ws(' ', admin, poi_name) ELSE admin END AS gps_text,
+    CASE WHEN alias = 'replace' THEN alias_name ELSE poi_name END AS gps_strong
+  FROM points p LEFT JOIN hits USING (coord) LEFT JOIN admin_names USING (coord) LEFT JOIN best USING (coord))"""

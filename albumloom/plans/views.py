@@ -239,3 +239,20 @@ def aliases(spark: SparkSession) -> DataFrame:
         (5, "北岸", False, 29.500, 106.560, 29.506, 106.580),
     ]
     return spark.createDataFrame(rows, "ordinal int, name string, block boolean, lat_min double, lng_min double, lat_max double, lng_max double")
+
+
+def admin_areas(points: DataFrame) -> DataFrame:
+    """Administrative names per grid point, standing in for the map service's answer."""
+    a = F.round((F.col("lat") - 29.5) / 0.0031).cast("int")
+    b = F.round((F.col("lng") - 106.5) / 0.0027).cast("int")
+
+    def pick(values: list[str], i: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+
+    return points.select(
+        "coord",
+        pick(["重庆市", "四川省", "香港特别行政区", "云南省"], a % 4).alias("province"),
+        F.when(a % 4 == 0, F.when(b % 2 == 0, "").otherwise("重庆市")).otherwise(pick(["", "成都市", "", "大理市"], a % 4)).alias("city"),
+        pick(["两江新区", "渝中区", "大理县", "重庆市", ""], b % 5).alias("district"),
+        pick(["人和街道", "", "南山镇"], b % 3).alias("township"),
+    )
