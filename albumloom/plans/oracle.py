@@ -46,9 +46,9 @@ DECISIONS = """decisions AS (
            || CASE WHEN doc_id % 3 = 0 THEN '，人物自然' ELSE '，背景杂乱' END AS reason, day
   FROM (SELECT l.doc_id, 'DOC_' || l.doc_id || '.jpg' AS photo_id, m.model, d.source,
                '2024-02-' || lpad((l.doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
-               CASE WHEN m.model = 'A' THEN quality = 1 ELSE quality = 1 AND toxic = 0 END AS keep
-        FROM labels l JOIN documents d USING (doc_id), (VALUES ('A'), ('B')) m(model)
-        WHERE m.model = 'A' OR l.doc_id % 11 <> 0))"""
+               CASE m.model WHEN 'A' THEN quality = 1 WHEN 'B' THEN quality = 1 AND toxic = 0 WHEN 'C' THEN toxic = 0 ELSE l.doc_id % 3 = 0 END AS keep
+        FROM labels l JOIN documents d USING (doc_id), (VALUES ('A'), ('B'), ('C'), ('D')) m(model)
+        WHERE CASE m.model WHEN 'B' THEN l.doc_id % 11 <> 0 WHEN 'C' THEN l.doc_id % 13 <> 0 WHEN 'D' THEN l.doc_id % 7 <> 0 ELSE true END))"""
 
 EVENT_DIRS = """event_dirs AS (
   SELECT day || '-' || event_name AS folder, grp, day, substr(day, 1, 4) AS year, event_name, photo_count FROM (
@@ -135,3 +135,19 @@ RESOLVED = """resolved AS (SELECT p.coord, photo_count, lat, lng, alias,
     CASE WHEN alias = 'replace' THEN alias_name WHEN poi_name IS NOT NULL THEN concat_ws(' ', admin, poi_name) ELSE admin END AS gps_text,
     CASE WHEN alias = 'replace' THEN alias_name ELSE poi_name END AS gps_strong
   FROM points p LEFT JOIN hits USING (coord) LEFT JOIN admin_names USING (coord) LEFT JOIN best USING (coord))"""
+
+SENT = """sent AS (
+  SELECT doc_id, 'b' || (doc_id // 10) AS batch_id, (doc_id % 10)::INT AS rank, 'DOC_' || doc_id || '.jpg' AS item_id,
+         '/src/' || source || '/' || doc_id || '/IMG_' || (doc_id % 40) || '.jpg' AS path, 1706745600 + (doc_id // 10 % 28) * 86400 + (doc_id % 10) * 601 AS t,
+         doc_id % 4 <> 0 AS is_exact, '2024-02-' || lpad((doc_id // 10 % 28 + 1)::VARCHAR, 2, '0') AS day,
+         CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '两江新区 公园' END AS place FROM documents)"""
+REPLY_ITEMS = """reply_items AS (
+  SELECT 'b' || (doc_id // 10) AS batch_id, (row_number() OVER w - 1)::INT AS "at", doc_id, photo_id, decision = 'keep' AS is_highlight, reason, event_tag,
+         row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id DESC) AS from_end
+  FROM decisions WHERE model = 'A' WINDOW w AS (PARTITION BY doc_id // 10 ORDER BY doc_id)),
+answered AS (SELECT * FROM reply_items WHERE doc_id // 10 % 8 <> 6 AND NOT (doc_id // 10 % 8 = 4 AND from_end = 1))"""
+ANSWERS = """answers AS (
+  SELECT *, substr(md5(item_id), 1, 1) > '7' AS is_highlight, 'r' || substr(md5(item_id), 1, 1) AS reason, '散步' || substr(md5(item_id), 1, 1) AS event_tag,
+    CASE WHEN substr(md5('T1' || item_id), 1, 1) NOT IN ('0', '1', '2') THEN 'T1' WHEN substr(md5('T2' || item_id), 1, 1) > '7' THEN 'T2'
+         WHEN substr(md5('T3' || item_id), 1, 1) > '3' THEN 'T3' ELSE 'failed' END AS tier FROM sent)"""
+NUMBERED = """numbered AS (SELECT *, (rn - 1) // 100 AS chunk, (rn - 1) % 100 + 1 AS number FROM (SELECT *, row_number() OVER (ORDER BY tag) AS rn FROM themes))"""

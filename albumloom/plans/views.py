@@ -84,20 +84,23 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Two models' verdicts on the labelled documents, long form; model B has not seen every document."""
+    """Four models' verdicts on the labelled documents, long form; no model but the first has seen them all."""
     docs = table(spark, sf, "documents").select("doc_id", "source")
     labelled = table(spark, sf, "labels").join(docs, "doc_id")
     day = F.format_string("2024-02-%02d", (F.col("doc_id") % 28 + 1))
     both = labelled.select(
         "doc_id",
         F.concat(F.lit("DOC_"), F.col("doc_id"), F.lit(".jpg")).alias("photo_id"),
-        F.explode(F.array(F.lit("A"), F.lit("B"))).alias("model"),
+        F.explode(F.array(*[F.lit(m) for m in "ABCD"])).alias("model"),
         "quality",
         "toxic",
         day.alias("day"),
         "source",
-    ).where((F.col("model") == "A") | (F.col("doc_id") % 11 != 0))
-    keep = F.when(F.col("model") == "A", F.col("quality") == 1).otherwise((F.col("quality") == 1) & (F.col("toxic") == 0))
+    )
+    m, i = F.col("model"), F.col("doc_id")
+    both = both.where(F.when(m == "B", i % 11 != 0).when(m == "C", i % 13 != 0).when(m == "D", i % 7 != 0).otherwise(True))
+    good, mild = F.col("quality") == 1, F.col("toxic") == 0
+    keep = F.when(m == "A", good).when(m == "B", good & mild).when(m == "C", mild).otherwise(i % 3 == 0)
     return both.select(
         "doc_id",
         "photo_id",
@@ -256,3 +259,67 @@ def admin_areas(points: DataFrame) -> DataFrame:
         pick(["两江新区", "渝中区", "大理县", "重庆市", ""], b % 5).alias("district"),
         pick(["人和街道", "", "南山镇"], b % 3).alias("township"),
     )
+
+
+def sent(spark: SparkSession, sf: str) -> DataFrame:
+    """Items sent for scoring: documents in batches of ten."""
+    i = F.col("doc_id")
+    batch = F.expr("doc_id div 10")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(F.lit("b"), batch).alias("batch_id"),
+        (i % 10).cast("int").alias("rank"),
+        F.concat(F.lit("DOC_"), i, F.lit(".jpg")).alias("item_id"),
+        F.concat(F.lit("/src/"), "source", F.lit("/"), i, F.lit("/IMG_"), i % 40, F.lit(".jpg")).alias("path"),
+        (1706745600 + (batch % 28) * 86400 + (i % 10) * 601).alias("t"),
+        (i % 4 != 0).alias("is_exact"),
+        F.format_string("2024-02-%02d", batch % 28 + 1).alias("day"),
+        F.when(i % 3 == 0, "").when(i % 3 == 1, "两江新区 公园").alias("place"),
+    )
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Model A's verdicts as reply texts, one per batch of ten documents, in eight shapes."""
+    d = decisions(spark, sf).where("model = 'A'")
+    item = F.struct("photo_id", (F.col("decision") == "keep").alias("is_highlight"), "reason", "event_tag")
+    got = d.groupBy(F.expr("doc_id div 10").alias("b")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("got"))
+    got = got.withColumn("items", F.transform("got", lambda g: g["item"]))
+    text, kind = F.to_json("items"), F.col("b") % 8
+    reply = (
+        F.when(kind == 1, F.concat(F.lit(" ```json\n"), text, F.lit("\n```\n")))
+        .when(kind == 2, F.concat(F.lit('{"note": 1, "results": '), text, F.lit("}")))
+        .when(kind == 3, F.array_join(F.transform("items", lambda x: F.to_json(x)), "\n"))
+        .when(kind == 4, F.substring(text, F.lit(1), F.length(text) - 4))
+        .when(kind == 5, F.concat(F.lit('{"data": '), text, F.lit("}")))
+        .when(kind == 6, F.lit('[{"event_name": "x", "photos": ["a"]}]'))
+        .when(kind == 7, F.concat(F.lit('```\n{"photos": '), text, F.lit("}\n```")))
+        .otherwise(text)
+    )
+    return got.select(F.concat(F.lit("b"), "b").alias("batch_id"), reply.alias("reply"))
+
+
+def theme_requests(spark: SparkSession, sf: str, size: int = 100) -> DataFrame:
+    """Themed events in numbered chunks."""
+    from albumloom.operators.progress import chunked
+
+    return chunked(themes(spark, sf), [], ["tag"], size)
+
+
+def theme_replies(numbered: DataFrame) -> DataFrame:
+    """Grouping replies per chunk of numbered events, in three shapes, with one number out of range."""
+    member = F.when(F.col("chunk") % 3 == 2, F.concat(F.lit('"'), "tag", F.lit('"'))).otherwise(F.col("number").cast("string"))
+    lists = numbered.groupBy("chunk", "theme").agg(F.array_join(F.array_sort(F.collect_list(member)), ", ").alias("m"))
+    one = F.concat(F.lit('{"theme": " '), "theme", F.lit(' ", "events": ['), "m", F.lit(', 9999]}'))
+    whole = lists.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(one)), ", "), F.lit("]")).alias("t"))
+    reply = F.when(F.col("chunk") % 3 == 1, F.concat(F.lit('{"groups": '), "t", F.lit("}"))).when(F.col("chunk") % 3 == 2, F.concat(F.lit("```json\n"), "t", F.lit("\n```"))).otherwise(F.col("t"))
+    return whole.select("chunk", reply.alias("reply"))
+
+
+def merge_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Theme-merging replies, one per event name; the first name in its reply lists an unknown theme."""
+    n = themes(spark, sf).select(F.regexp_replace("theme", "(主题|记录)$", "").alias("name")).distinct()
+    text = F.concat(
+        F.lit('[{"merged_name": "'), "name", F.lit('合并", "themes": ["'), "name", F.lit('主题", "没有这个", "'), "name",
+        F.when(F.col("name") == "LOW", "未知").otherwise("记录"), F.lit('"]}, {"merged_name": "单", "themes": ["'), "name", F.lit('主题"]}]'),
+    )
+    return n.select(F.col("name").alias("at"), text.alias("reply"))
