@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["photo_core", "texts", "places", "curate"]
+MODULES = ["photo_core", "texts", "places", "curate", "albums"]
 
 
 def load_all():

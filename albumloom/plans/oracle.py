@@ -61,16 +61,17 @@ EVENTS_BY_TAG = EVENT_DIRS + """, events_by_tag AS (
 EVENT_FILES = """event_files AS (
   SELECT o_orderkey, '/archive/' || CASE WHEN o_orderkey % 41 = 0 THEN 'misc' WHEN o_orderkey % 43 = 0 THEN '_FAILED_FOR_MANUAL_REVIEW'
            ELSE o_orderdate::DATE::VARCHAR || '-' || substr(o_orderpriority, 3, 20) END || '/'
-         || CASE WHEN o_orderkey % 5 = 0 THEN 'raw' || (o_orderkey % 7) || '/' ELSE '' END || 's' || o_orderkey || '/'
-         || CASE WHEN o_orderkey % 17 = 0 THEN 'manifest.json' WHEN o_orderkey % 19 = 0 THEN 'note_' || o_orderkey || '.txt'
-                 ELSE 'IMG_' || (o_custkey % 50) || '.JPG' END AS path
+         || CASE WHEN o_orderkey % 17 = 0 THEN 'manifest.json' ELSE
+              CASE WHEN o_orderkey % 5 = 0 THEN 'raw' || (o_orderkey % 7) || '/' ELSE '' END || 's' || o_orderkey || '/'
+              || CASE WHEN o_orderkey % 19 = 0 THEN 'note_' || o_orderkey || '.txt' ELSE 'IMG_' || (o_custkey % 50) || '.JPG' END END AS path
   FROM orders)"""
 
 THEMES = EVENTS_BY_TAG + """, themes AS (
-  SELECT event_name || CASE WHEN day(day::DATE) % 7 = 0 THEN '记录' ELSE '主题' END AS theme, tag, year, photo_count FROM events_by_tag)"""
+  SELECT CASE WHEN day(day::DATE) = 31 THEN '单次' || tag ELSE event_name || CASE WHEN day(day::DATE) % 7 = 0 THEN '记录' ELSE '主题' END END AS theme, tag, year, photo_count FROM events_by_tag)"""
 
-RENAMES = """renames(theme, merged) AS (
-  VALUES ('HIGH主题', '重要事项'), ('HIGH记录', '重要事项'), ('URGENT主题', '紧急事项'), ('URGENT记录', '紧急事项'))"""
+RENAMES = """renames AS (
+  SELECT DISTINCT theme, event_name || '合并' AS merged FROM (SELECT t.theme, e.event_name FROM themes t JOIN events_by_tag e USING (tag))
+  WHERE event_name <> 'LOW' AND NOT starts_with(theme, '单次'))"""
 
 GALLERY = """gallery AS (
   SELECT l_orderkey * 10 + l_linenumber AS item_id, l_linenumber AS line, l_partkey AS part, 'IMG_' || l_orderkey || '.jpg' AS name,

@@ -146,31 +146,25 @@ def event_files(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     folder = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("-"), F.substring("o_orderpriority", 3, 20))
     stray = F.when(F.col("o_orderkey") % 41 == 0, F.lit("misc")).when(F.col("o_orderkey") % 43 == 0, F.lit("_FAILED_FOR_MANUAL_REVIEW")).otherwise(folder)
-    name = (
-        F.when(F.col("o_orderkey") % 17 == 0, F.lit("manifest.json"))
-        .when(F.col("o_orderkey") % 19 == 0, F.concat(F.lit("note_"), "o_orderkey", F.lit(".txt")))
-        .otherwise(F.concat(F.lit("IMG_"), F.col("o_custkey") % 50, F.lit(".JPG")))
-    )
+    name = F.when(F.col("o_orderkey") % 19 == 0, F.concat(F.lit("note_"), "o_orderkey", F.lit(".txt"))).otherwise(F.concat(F.lit("IMG_"), F.col("o_custkey") % 50, F.lit(".JPG")))
     sub = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("raw"), F.col("o_orderkey") % 7, F.lit("/"))).otherwise("")
     return o.select(
         "o_orderkey",
-        F.concat(F.lit("/archive/"), stray, F.lit("/"), sub, F.concat(F.lit("s"), "o_orderkey", F.lit("/")), name).alias("path"),
+        F.concat(
+            F.lit("/archive/"), stray, F.lit("/"),
+            F.when(F.col("o_orderkey") % 17 == 0, F.lit("manifest.json")).otherwise(F.concat(sub, F.lit("s"), "o_orderkey", F.lit("/"), name)),
+        ).alias("path"),
     )
 
 
 def themes(spark: SparkSession, sf: str) -> DataFrame:
-    """First-pass theme of every flat event: by name, every seventh day under a second name."""
+    """First-pass theme of every flat event: by name, every seventh day under a second name, days 31 alone."""
     e = events_by_tag(spark, sf)
     label = F.when(F.dayofmonth(F.col("day").cast("date")) % 7 == 0, F.concat("event_name", F.lit("记录"))).otherwise(F.concat("event_name", F.lit("主题")))
+    label = F.when(F.dayofmonth(F.col("day").cast("date")) == 31, F.concat(F.lit("单次"), "tag")).otherwise(label)
     return e.select(label.alias("theme"), "tag", "year", "photo_count")
 
 
-def theme_renames(spark: SparkSession) -> DataFrame:
-    """Second-pass merges: old theme -> merged theme."""
-    pairs = [("HIGH主题", "重要事项"), ("HIGH记录", "重要事项"), ("URGENT主题", "紧急事项"), ("URGENT记录", "紧急事项")]
-    return spark.createDataFrame(pairs, "theme string, merged string")
-
-
 def gallery(spark: SparkSession, sf: str) -> DataFrame:
     """Items on the phone: one per line item."""
     return table(spark, sf, "lineitem").select(
@@ -317,7 +311,7 @@ def theme_replies(numbered: DataFrame) -> DataFrame:
 
 def merge_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Theme-merging replies, one per event name; the first name in its reply lists an unknown theme."""
-    n = themes(spark, sf).select(F.regexp_replace("theme", "(主题|记录)$", "").alias("name")).distinct()
+    n = themes(spark, sf).where("NOT theme LIKE '单次%'").select(F.regexp_replace("theme", "(主题|记录)$", "").alias("name")).distinct()
     text = F.concat(
         F.lit('[{"merged_name": "'), "name", F.lit('合并", "themes": ["'), "name", F.lit('主题", "没有这个", "'), "name",
         F.when(F.col("name") == "LOW", "未知").otherwise("记录"), F.lit('"]}, {"merged_name": "单", "themes": ["'), "name", F.lit('主题"]}]'),
