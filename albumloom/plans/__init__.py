@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["photo_core", "texts", "places", "curate", "albums"]
+MODULES = ["photo_core", "texts", "places", "curate", "albums", "reports"]
 
 
 def load_all():

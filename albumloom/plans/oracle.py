@@ -152,3 +152,16 @@ ANSWERS = """answers AS (
     CASE WHEN substr(md5('T1' || item_id), 1, 1) NOT IN ('0', '1', '2') THEN 'T1' WHEN substr(md5('T2' || item_id), 1, 1) > '7' THEN 'T2'
          WHEN substr(md5('T3' || item_id), 1, 1) > '3' THEN 'T3' ELSE 'failed' END AS tier FROM sent)"""
 NUMBERED = """numbered AS (SELECT *, (rn - 1) // 100 AS chunk, (rn - 1) % 100 + 1 AS number FROM (SELECT *, row_number() OVER (ORDER BY tag) AS rn FROM themes))"""
+
+RUN_LOGS = DECISIONS + """, meta AS (SELECT model, 'run_' || model || '.log' AS file, count(*) AS n, count(*) FILTER (decision = 'delete') AS gone, count(*) FILTER (decision = 'keep') + count(*) FILTER (doc_id % 6 = 0 AND decision = 'delete') AS kept_lines,
+   count(*) + count(*) FILTER (doc_id % 6 = 0) AS all_lines FROM decisions GROUP BY model)"""
+STAGE_LOGS = f"""stage_logs AS (SELECT user_id AS run, event_id AS at_, {K} AS k, {K} + 20 AS total, least({K} + 20, (event_id % 60)::INT) AS done FROM events)"""
+DELETE_ENTRIES = DELETE_LIST + """, entries AS (SELECT name, CASE WHEN key % 8 = 0 THEN -1 ELSE size END AS want_size, CASE WHEN epoch > 0 THEN epoch * 1000 ELSE -1 END AS want_ms FROM (SELECT *, regexp_extract(name, '\\d+')::BIGINT AS key FROM delete_list))"""
+LIST_LINES = """list_lines AS (
+  SELECT 'list' || o_custkey AS file, o_orderkey AS pos, CASE WHEN m = 0 THEN '' WHEN m = 1 THEN nm || ' no pipe' WHEN m = 2 THEN nm || '|not_a_number' WHEN m = 3 THEN nm || '|4|extra' WHEN m = 4 THEN '  ' || nm || '  |  523  '
+     WHEN m = 5 THEN '# note' WHEN m = 6 THEN '  | 77' ELSE nm || '|' || CASE WHEN o_custkey % 3 = 0 THEN floor(o_totalprice * 100000)::BIGINT ELSE floor(o_totalprice)::BIGINT END END AS line
+  FROM (SELECT *, o_orderkey % 13 AS m, 'IMG_' || o_orderkey || '.jpg' AS nm FROM orders)
+  UNION ALL SELECT DISTINCT 'list' || o_custkey, -1, CASE WHEN o_custkey % 8 = 0 THEN '#MATCH_MODE=DATETIME' ELSE ' #MATCH_MODE=SIZE ' END FROM orders WHERE o_custkey % 4 = 0),
+modes AS (SELECT file, CASE WHEN trim(arg_min(line, pos)) = '#MATCH_MODE=DATETIME' THEN 'DATETIME' WHEN trim(arg_min(line, pos)) = '#MATCH_MODE=SIZE' THEN 'SIZE'
+    WHEN coalesce(try_cast(CASE WHEN len(string_split(arg_min(line, pos) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#') AND contains(line, '|')), '|')) = 2
+       THEN trim(string_split(arg_min(line, pos) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#') AND contains(line, '|')), '|')[2]) END AS BIGINT), 0) > 1000000000 THEN 'DATETIME' ELSE 'SIZE' END AS mode FROM list_lines GROUP BY file)"""

@@ -317,3 +317,75 @@ def merge_replies(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("name") == "LOW", "未知").otherwise("记录"), F.lit('"]}, {"merged_name": "单", "themes": ["'), "name", F.lit('主题"]}]'),
     )
     return n.select(F.col("name").alias("at"), text.alias("reply"))
+
+
+def run_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, at, line): run logs of the four models; some photos are judged twice, the later line counts."""
+    d = decisions(spark, sf)
+    kept = F.concat(F.lit("2024 [INFO]   [√] 提取 -> "), "photo_id", F.lit(" | "), "day", F.lit("-"), F.lit("x | "), "reason")
+    gone = F.concat(F.lit("2024 [INFO]   [×] 剔除 -> "), "photo_id", F.lit(" | "), "reason")
+    real = F.when(F.col("decision") == "keep", kept).otherwise(gone)
+    early = F.when(F.col("decision") == "keep", gone).otherwise(kept)
+    file = F.concat(F.lit("run_"), "model", F.lit(".log"))
+    lines = d.select(file.alias("file"), (F.col("doc_id") * 10 + 5).alias("at"), real.alias("line")).unionByName(
+        d.where("doc_id % 6 = 0").select(file.alias("file"), (F.col("doc_id") * 10).alias("at"), early.alias("line"))
+    )
+    m = F.col("model")
+    per = d.groupBy("model").agg(F.count_if(F.col("decision") == "delete").alias("gone"), F.count("*").alias("n"))
+    heads = [
+        F.concat(F.lit("[Input] /lib/"), F.when(m == "D", "b").otherwise("a"), F.lit("  [Output] /out")),
+        F.concat(F.lit("[Provider] "), F.when(m == "C", "openai").otherwise("ollama"), F.lit("  [Model] org/vision-"), F.when(m == "B", "A").otherwise(m), F.lit("-with-a-very-long-name")),
+        F.concat(F.lit("[提取档位] "), F.when(m == "C", "C").otherwise("A")),
+        F.concat(F.lit("   总 token:  "), F.format_number(F.col("n") * 1234, 0)),
+        F.concat(F.lit("  02阶段 LLM 剔除: "), "gone", F.lit(" 张")),
+        F.concat(F.lit("  合并去重后总计: "), F.col("gone") - 1, F.lit(" 张")),
+    ]
+    top = per.select(file.alias("file"), F.posexplode(F.array(*heads)).alias("i", "line")).select("file", (F.col("i") - 100).cast("bigint").alias("at"), "line")
+    return lines.unionByName(top)
+
+
+def stage_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """(run, at, line): pipeline logs, one run per user and one line per event."""
+    k, i = json_k(), F.col("event_id")
+    stages = F.array(*[F.lit(s) for s in ("01a", "01b", "02", "03a", "03b")])
+    total, done = k + 20, F.least(k + 20, (i % 60).cast("int"))
+    pct = F.format_string("%.1f", F.round(done * 100.0 / total, 1))
+    count = F.concat(done.cast("string"), F.lit("/"), total.cast("string"))
+    tail = F.concat(F.lit(" ("), pct, F.lit("%) | 平均 1.0 | ETA 5m03s（预计 06-12 18:30:00 完成）"))
+    unit = F.element_at(F.array(F.lit(" 批"), F.lit(" 日"), F.lit(" 主题"), F.lit(" 聚类批")), (k % 4 + 1))
+    line = (
+        F.when(k < 6, F.concat(F.lit("▶ 阶段 "), F.element_at(stages, k % 5 + 1), F.lit("：开始")))
+        .when(k < 20, F.concat(F.lit("2024 ["), F.when(k % 2 == 0, "WARNING").otherwise("ERROR"), F.lit("] odd "), i))
+        .when(k < 30, F.concat(F.lit("   "), count, F.lit(" | 缓存命中 5, 新算 3")))
+        .when(k < 40, F.concat(F.lit("第 "), k % 3 + 1, F.lit("/3 步：x")))
+        .when(k < 70, F.concat(F.lit("[进度] "), count, unit, tail))
+        .when(k < 80, F.concat(F.lit("[进度] "), F.when(k % 2 == 0, "已完成 ").otherwise("已处理 "), count, F.when(k % 2 == 0, " 批").when(k % 3 == 0, " 主题").otherwise(" 日"), F.lit(" | ETA 计算中（样本不足）")))
+        .when(k < 90, F.concat(F.lit("["), count, F.lit("] 1.2 req/s, ETA 3.4min")))
+        .otherwise(F.concat(F.lit("plain "), i))
+    )
+    return table(spark, sf, "events").select(F.col("user_id").alias("run"), i.alias("at"), line.alias("line"), k.alias("k"))
+
+
+def delete_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """(at, name, size, taken_ms): removal list rows in list order; every fourth name is listed twice."""
+    d = delete_list(spark, sf)
+    key = F.regexp_extract("name", r"(\d+)", 1).cast("bigint")
+    ms = F.when(F.col("epoch") > 0, F.col("epoch") * 1000).otherwise(-1)
+    first = d.select((key * 2).alias("at"), "name", F.when(key % 8 == 0, -1).otherwise(F.col("size")).alias("size"), ms.alias("taken_ms"))
+    again = d.where(key % 4 == 0).select((key * 2 + 1).alias("at"), "name", F.lit(-1).cast("bigint").alias("size"), F.lit(-1).cast("bigint").alias("taken_ms"))
+    return first.unionByName(again)
+
+
+def list_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, at, line): removal list files of one customer each, some with header, some broken."""
+    o = table(spark, sf, "orders")
+    c, i = F.col("o_custkey"), F.col("o_orderkey")
+    name = F.concat(F.lit("IMG_"), i, F.lit(".jpg"))
+    line = (
+        F.when(i % 13 == 0, "").when(i % 13 == 1, F.concat(name, F.lit(" no pipe"))).when(i % 13 == 2, F.concat(name, F.lit("|not_a_number")))
+        .when(i % 13 == 3, F.concat(name, F.lit("|4|extra"))).when(i % 13 == 4, F.concat(F.lit("  "), name, F.lit("  |  523  "))).when(i % 13 == 5, "# note").when(i % 13 == 6, "  | 77")
+        .otherwise(F.concat(name, F.lit("|"), F.when(c % 3 == 0, F.floor(F.col("o_totalprice") * 100000)).otherwise(F.floor("o_totalprice")).cast("string")))
+    )
+    rows = o.select(F.concat(F.lit("list"), c).alias("file"), i.alias("at"), line.alias("line"))
+    head = o.where(c % 4 == 0).select(F.concat(F.lit("list"), c).alias("file"), F.lit(-1).cast("bigint").alias("at"), F.when(c % 8 == 0, "#MATCH_MODE=DATETIME").otherwise(" #MATCH_MODE=SIZE ").alias("line")).distinct()
+    return rows.unionByName(head)
