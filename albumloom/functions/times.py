@@ -40,7 +40,15 @@ def _valid(y: Column, m: Column, d: Column, hh: Column | None = None, mi: Column
 
 
 def seconds_of(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Whole seconds since 1970 of a zone-less timestamp, from its own fields, whatever the session zone."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp."""
+    fraction = (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint") % 1000000
+    return seconds_of(ts) * 1000000 + fraction
 
 
 def from_seconds(t: Column) -> Column:

@@ -85,7 +85,7 @@ DELETE_LIST = """delete_list AS (
   FROM orders WHERE o_orderstatus = 'F')"""
 
 CHUNKS = f"""chunks AS (
-  SELECT event_id, user_id AS task_id, {K} AS chunk_index, 96 AS total_chunks, floor(value * 100000000)::BIGINT AS bytes,
+  SELECT event_id, user_id AS task_id, {K} % 18 AS chunk_index, 16 AS total_chunks, floor(value * 10000000)::BIGINT AS bytes,
          ts, date_diff('second', TIMESTAMP '1970-01-01', ts) AS t, event_type
   FROM events)"""
 

@@ -6,17 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.functions.hashes import median_bits
-
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-
+from albumloom.functions.times import seconds_of
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def epoch_seconds(ts: str) -> Column:
-    """Whole seconds since 1970 of a zone-less timestamp, whatever the session zone."""
-    return F.expr(f"timestampdiff(SECOND, {EPOCH}, {ts})")
+    return seconds_of(F.col(ts))
 
 
 def json_k() -> Column:
@@ -52,7 +49,11 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per event seen as a model call."""
+    return calls_of(table(spark, sf, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    """One row per event seen as a model call, table or stream."""
     tier = (
         F.when(F.col("event_type").isin("view", "error"), "T1")
         .when(F.col("event_type").isin("click", "signup"), "T2")
@@ -70,7 +71,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
         (json_k() % 6 + 1),
     )
     tokens = F.floor(F.col("value") * 10).cast("bigint")
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("call_id"),
         F.col("user_id").alias("run"),
         epoch_seconds("ts").alias("t"),
@@ -190,14 +191,14 @@ def delete_list(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Upload chunks: task = user, chunk = k; some indexes lie outside the declared total."""
-    return table(spark, sf, "events").select(
+def chunks(events: DataFrame) -> DataFrame:
+    """Upload chunks out of the events table or stream: task = user, chunk from k, two indexes out of range."""
+    return events.select(
         "event_id",
         F.col("user_id").alias("task_id"),
-        json_k().alias("chunk_index"),
-        F.lit(96).alias("total_chunks"),
-        F.floor(F.col("value") * 100000000).cast("bigint").alias("bytes"),
+        (json_k() % 18).alias("chunk_index"),
+        F.lit(16).alias("total_chunks"),
+        F.floor(F.col("value") * 10000000).cast("bigint").alias("bytes"),
         "ts",
         epoch_seconds("ts").alias("t"),
         "event_type",
