@@ -257,3 +257,20 @@ FULL = [
 @query("OPS-3", sql=with_(*FULL, recursive=True, body="SELECT photo_id, batch_id, filename, event, segment FROM final"))
 def photo_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batched(spark, sf, Chunking(), dedup=True).select("photo_id", "batch_id", "filename", "event", "segment")
+
+
+@query("SNK-1", "SRC-6", sql=with_(PHOTOS, UNTRASHED, *stage_sql(LONG), SPLIT, FOLD, recursive=True, body="""SELECT batch_id, day::VARCHAR AS date, path AS file, filename, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS datetime, is_exact AS is_exact_time, lat, lng FROM final"""))
+def batch_document(spark: SparkSession, sf: str) -> DataFrame:
+    from albumloom.sources import sinks
+    from albumloom.streaming.runtime import scratch
+
+    ph = photos(spark, sf)
+    reason = duplicates.is_trash(LONG)
+    kept = batches.batch_photos(segments.with_events(ph.where(reason.isNull()), LONG), LONG)
+    rows = sinks.batch_rows(kept)
+    trashed = ph.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "reason")
+    none = ph.where("false").select("path")
+    out = scratch(spark, "document")
+    sinks.write_batch_document(out, rows, trashed, none, sinks.document_summary(ph, kept, trashed, none, rows))
+    back = sinks.read_batch_document(spark, f"{out}/batches")
+    return back.select("batch_id", "date", "file", "filename", "datetime", "is_exact_time", F.get("gps", F.lit(0)).alias("lat"), F.get("gps", F.lit(1)).alias("lng"))
