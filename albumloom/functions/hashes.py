@@ -11,15 +11,14 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def median_bits(values: Column) -> tuple[Column, Column]:
-    """Hash of 64 numbers: bit i is set when number i exceeds the 32nd smallest."""
-    cut = F.element_at(F.sort_array(values), 32)
-
-    def half(start: int) -> Column:
-        bits = F.transform(
-            F.slice(values, start, 32),
-            lambda x, i: F.when(x > cut, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")),
-        )
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-    return half(1).alias("hash_hi"), half(33).alias("hash_lo")
+def median_bits(values: Column) -> Column:
+    """Hash of 64 numbers as a struct of both halves: bit i is set when number i exceeds the 32nd smallest."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def half(start: int, cut: Column) -> Column:
+        bits = F.transform(F.slice(values, start, 32), lambda x, i: F.when(x > cut, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda a, b: a + b)
+
+    # the cut is bound once per row, not looked up again for each number
+    cut = F.array(F.element_at(F.sort_array(values), 32))
+    return F.get(F.transform(cut, lambda c: F.struct(half(1, c).alias("hash_hi"), half(33, c).alias("hash_lo"))), F.lit(0))

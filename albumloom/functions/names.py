@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # white space of any script
 WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-# extension = last dot and what follows, when something other than dots stands before it
-EXTENSION = r"([^.]\.*)(\.[^.]*)$"
 
 
 def basename(path: Column) -> Column:
@@ -19,12 +17,15 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def without_extension(name: Column) -> Column:
-    return F.regexp_replace(name, EXTENSION, "$1")
+def extension(name: Column) -> Column:
+    """Last dot and what follows, when something other than dots stands before it; else empty."""
+    n = F.length(F.substring_index(name, ".", -1))
+    before = F.left(name, F.length(name) - n - 1)
+    return F.when(F.contains(name, F.lit(".")) & (F.ltrim(before, F.lit(".")) != ""), F.right(name, n + 1)).otherwise("")
 
 
-def extension(name: Column) -> Column:
-    return F.regexp_extract(name, EXTENSION, 2)
+def without_extension(name: Column) -> Column:
+    return F.left(name, F.length(name) - F.length(extension(name)))
 
 
 def stem(name: Column) -> Column:
@@ -36,13 +37,13 @@ def variants(a: Column, b: Column) -> Column:
     short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
     rest = F.substring(long, F.length(short) + 1, F.lit(1))
-    return (a == b) | (F.startswith(long, short) & (F.length(rest) > 0) & ~rest.rlike(r"\d"))
+    return (a == b) | (F.startswith(long, short) & (F.length(rest) > 0) & ~rest.between("0", "9"))
 
 
 def open_prefixes(name: Column) -> Column:
     """Every proper prefix of a stem that is followed by a non-digit."""
     cuts = F.when(F.length(name) > 1, F.sequence(F.lit(1), F.length(name) - 1)).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(cuts, lambda n: ~F.substring(name, n + 1, F.lit(1)).rlike(r"\d"))
+    kept = F.filter(cuts, lambda n: ~F.substring(name, n + 1, F.lit(1)).between("0", "9"))
     return F.transform(kept, lambda n: F.substring(name, F.lit(1), n))
 
 

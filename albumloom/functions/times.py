@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: name shapes, tried in order; groups are year, month, day
-CHINESE_DATE = r"^(\d{4}|\d{2})年(?:([0-9]{1,2})月(?:([0-9]{1,2})日)?)?"
+# fixed values: name shapes after digits are masked as 9, tried in order: mask, then where year, month, day stand
 NUMERIC_DATES = [
-    r"^(\d{4})-(\d{2})-(\d{2})",
-    r"^(\d{4})-(\d{2})(\d{2})",
-    r"^(\d{4})-(\d{2})()",
-    r"^(\d{2})-(\d{2})-(\d{2})",
-    r"^(\d{2})-(\d{2})(\d{2})",
-    r"^(\d{2})-(\d{2})()",
-    r"^(\d{4})()()",
+    ("9999-99-99", (1, 4), (6, 2), (9, 2)),
+    ("9999-9999", (1, 4), (6, 2), (8, 2)),
+    ("9999-99", (1, 4), (6, 2), None),
+    ("99-99-99", (1, 2), (4, 2), (7, 2)),
+    ("99-9999", (1, 2), (4, 2), (6, 2)),
+    ("99-99", (1, 2), (4, 2), None),
+    ("9999", (1, 4), None, None),
 ]
+CHINESE_REST = r"^([0-9]{1,2})月(?:([0-9]{1,2})日)?"
 CHAT_EXPORT = r"(?i)(?:mmexport|wx_camera_)(\d{10,13})"
 NAME_DATE = (
     r"(\d{4})[-_.]?(\d{2})[-_.]?(\d{2})"
@@ -27,8 +27,13 @@ EXIF_TIME = r"^(\d{4}):(\d{1,2}):(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
 OLDEST_MTIME = 631152000  # 1990-01-01
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _int(text: Column, default: int | None = None) -> Column:
-    n = F.when(text != "", text).try_cast("int")
+    n = text.try_cast("int")
     return n if default is None else F.coalesce(n, F.lit(default))
 
 
@@ -55,19 +60,35 @@ def from_seconds(t: Column) -> Column:
     return F.timestamp_add("SECOND", t, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def _year(text: Column) -> Column:
-    """Two digits: up to 68 this century, else the last."""
-    n = _int(text)
-    return F.when(F.length(text) == 4, n).when(n <= 68, n + 2000).otherwise(n + 1900)
+def _century(n: Column) -> Column:
+    """Two-digit years: up to 68 this century, else the last."""
+    return F.when(n <= 68, n + 2000).otherwise(n + 1900)
 
 
 def folder_date(name: Column) -> Column:
-    """Date a folder name starts with (DATE), null when none of the shapes is a real date."""
-    tries = []
-    for shape in [CHINESE_DATE, *NUMERIC_DATES]:
-        part = [F.regexp_extract(name, shape, i) for i in (1, 2, 3)]
-        tries.append(_valid(_year(part[0]), _int(part[1], 1), _int(part[2], 1)))
-    return F.coalesce(*tries).cast("date")
+    """Date a folder name starts with (DATE), null when none of the shapes is a real date.
+
+    One mask of the first characters picks the shapes, so no pattern runs for names that have none.
+    """
+    mask = F.translate(F.substring(name, 1, 10), "0123456789", "9999999999")
+
+    def part(at: tuple[int, int] | None) -> Column:
+        return F.lit(1) if at is None else F.substring(name, *at).cast("int")
+
+    def tries(m: Column) -> Column:
+        def chinese(width: int) -> Column:
+            rest = F.substring(name, width + 2, 10)
+            y = F.substring(name, 1, width).cast("int")
+            month, day = _int(F.regexp_extract(rest, CHINESE_REST, 1), 1), _int(F.regexp_extract(rest, CHINESE_REST, 2), 1)
+            return F.when(F.startswith(m, F.lit("9" * width + "年")), _valid(y if width == 4 else _century(y), month, day))
+
+        def numeric(shape: str, y, mo, d) -> Column:
+            year = part(y) if y[1] == 4 else _century(part(y))
+            return F.when(F.startswith(m, F.lit(shape)), _valid(year, part(mo), part(d)))
+
+        return F.coalesce(chinese(4), chinese(2), *[numeric(*shape) for shape in NUMERIC_DATES])
+
+    return let(mask, tries).cast("date")
 
 
 def letter_month_day(filename: Column) -> tuple[Column, Column]:
@@ -92,16 +113,27 @@ def chat_export_time(filename: Column) -> Column:
     return F.when(F.length(digits) == 13, F.floor(n / 1000)).when(n <= 253402300799, n)
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of the first match as an array, from one replacement."""
+    found = F.regexp_substr(text, F.lit(pattern))
+    return F.split(F.regexp_replace(found, pattern, "|".join(f"${i}" for i in range(1, n + 1))), r"\|")
+
+
+def _stamp(parts: Column) -> Column:
+    def made(p: Column) -> Column:
+        g = [F.get(p, F.lit(i)) for i in range(6)]
+        return _valid(_int(g[0]), _int(g[1]), _int(g[2]), _int(g[3], 0), _int(g[4], 0), _int(g[5], 0))
+
+    return let(parts, made)
+
+
 def name_date(filename: Column, max_year: Column) -> Column:
     """Date with optional time anywhere in the name; years from 1900 to ``max_year`` only."""
-    g = [F.regexp_extract(filename, NAME_DATE, i) for i in range(1, 7)]
-    ts = _valid(_int(g[0]), _int(g[1]), _int(g[2]), _int(g[3], 0), _int(g[4], 0), _int(g[5], 0))
-    return F.when(F.year(ts).between(1900, max_year), ts)
+    return let(_stamp(_groups(filename, NAME_DATE, 6)), lambda ts: F.when(F.year(ts).between(1900, max_year), ts))
 
 
 def exif_time(text: Column) -> Column:
-    g = [_int(F.regexp_extract(F.trim(text), EXIF_TIME, i)) for i in range(1, 7)]
-    return _valid(*g)
+    return _stamp(_groups(F.trim(text), EXIF_TIME, 6))
 
 
 def capture_time(path: Column, filename: Column, original: Column, modified: Column, mtime: Column, max_year: Column) -> Column:
@@ -109,27 +141,35 @@ def capture_time(path: Column, filename: Column, original: Column, modified: Col
 
     ``original``/``modified`` are the two metadata texts, ``mtime`` the file time in epoch seconds.
     """
-    blank = F.lit("")
-    raw = F.when(F.coalesce(original, blank) != "", original).otherwise(modified)
-    folder = ancestor_date(path)
-    late = F.when(mtime > OLDEST_MTIME, mtime)
+    raw = F.when(F.coalesce(original, F.lit("")) != "", original).otherwise(modified)
     month, day = letter_month_day(filename)
-    year = F.coalesce(F.year(folder), F.year(from_seconds(late)))
-    midnight = folder.cast("timestamp_ntz")
-
-    def found(t: Column, exact: bool, origin: str) -> Column:
-        return F.when(t.isNotNull(), F.struct(t.cast("bigint").alias("t"), F.lit(exact).alias("is_exact"), F.lit(origin).alias("origin")))
-
-    return F.coalesce(
-        found(seconds_of(exif_time(raw)), True, "metadata"),
-        found(chat_export_time(filename), True, "chat_export"),
-        found(seconds_of(_valid(year, month, day)), False, "letter_name"),
-        found(seconds_of(name_date(filename, max_year)), True, "name"),
-        found(seconds_of(midnight), False, "folder"),
-        found(late, False, "mtime"),
-        found(F.lit(0), False, "none"),
+    known = F.struct(
+        exif_time(raw).alias("exif"), chat_export_time(filename).alias("chat"), ancestor_date(path).alias("folder"), name_date(filename, max_year).alias("named"),
+        month.alias("month"), day.alias("day"), F.when(mtime > OLDEST_MTIME, mtime).alias("late"),
     )
 
+    def ladder(k: Column) -> Column:
+        def found(t: Column, exact: bool, origin: str) -> Column:
+            return F.struct(t.cast("bigint").alias("t"), F.lit(exact).alias("is_exact"), F.lit(origin).alias("origin"))
+
+        year = F.coalesce(F.year(k["folder"]), F.year(from_seconds(k["late"])))
+        lettered = let(F.when(k["month"].isNotNull(), _valid(year, k["month"], k["day"])), lambda ts: F.when(ts.isNotNull(), found(seconds_of(ts), False, "letter_name")))
+        return (
+            F.when(k["exif"].isNotNull(), found(seconds_of(k["exif"]), True, "metadata"))
+            .when(k["chat"].isNotNull(), found(k["chat"], True, "chat_export"))
+            .otherwise(
+                F.coalesce(
+                    lettered,
+                    F.when(k["named"].isNotNull(), found(seconds_of(k["named"]), True, "name")),
+                    F.when(k["folder"].isNotNull(), found(seconds_of(k["folder"].cast("timestamp_ntz")), False, "folder")),
+                    F.when(k["late"].isNotNull(), found(k["late"], False, "mtime")),
+                    found(F.lit(0), False, "none"),
+                )
+            )
+        )
+
+    return let(known, ladder)
+
 
 def duration(seconds: Column) -> Column:
     """1h02m03s, 2m03s or 3s; 未知 for missing or negative values."""

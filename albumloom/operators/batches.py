@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumloom.functions.hashes import hamming
+from albumloom.functions.names import add_suffix
+from albumloom.operators.duplicates import duplicate_groups, is_trash, keepers
 from albumloom.operators.ordering import in_order, running_max
+from albumloom.operators.segments import with_events
 from albumloom.params import Chunking
 from albumloom.session import settle
 
@@ -183,6 +186,15 @@ def number_batches(pieces: DataFrame, p: Chunking = Chunking(), join_small: bool
     return rows.join(entries, ["day", "block"]).groupBy("day", "block").applyInPandas(_fold_block(p), result)
 
 
+def plan_batches(photos: DataFrame, p: Chunking = Chunking(), drop_copies: bool = True, join_small: bool = True) -> DataFrame:
+    """All steps from photos to batches. The kept photos and their events are written out once each, since the
+    steps after them read them more than once."""
+    kept = photos.where(is_trash(p).isNull())
+    if drop_copies:
+        kept = settle(keepers(duplicate_groups(kept)).drop("group_id"))
+    return batch_photos(settle(with_events(kept, p)), p, join_small)
+
+
 def batch_photos(photos: DataFrame, p: Chunking = Chunking(), join_small: bool = True) -> DataFrame:
     """Photos with events -> the same photos with ``batch_no``, ``batch_id`` and their place in the batch."""
     cut = split_events(photos, p)
@@ -205,8 +217,6 @@ def batch_id() -> Column:
 
 def in_batch_ids(batched: DataFrame) -> DataFrame:
     """``item_id``: the file name, with #2, #3 ... for repeats inside a batch (at most ``max_batch`` rows each)."""
-    from albumloom.functions.names import add_suffix
-
     again = F.row_number().over(Window.partitionBy("day", "batch_no", "filename").orderBy("rank"))
     return batched.withColumn("again", again).withColumn(
         "item_id", F.when(F.col("again") == 1, F.col("filename")).otherwise(add_suffix(F.col("filename"), F.concat(F.lit("#"), F.col("again").cast("string"))))

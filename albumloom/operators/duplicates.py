@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from albumloom.functions.names import open_prefixes, stem
 from albumloom.operators.components import components
 from albumloom.params import Chunking
+from albumloom.session import settle
 
 
 def _nodes(photos: DataFrame) -> DataFrame:
-    return (
+    """One narrow row per distinct (day, stem, hash), written out once: the steps below read it several times."""
+    return settle(
         photos.where("hash_hi IS NOT NULL AND hash_lo IS NOT NULL")
         .groupBy("day", stem(F.col("filename")).alias("stem"), "hash_hi", "hash_lo")
         .agg(F.min("photo_id").alias("node"), F.max("photo_id").alias("top"))
@@ -37,7 +39,7 @@ def _centres(hi: Column, lo: Column, radius: Column) -> Column:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(day, key, c_hi, c_lo, node, top, owner): each node in each bucket it belongs to."""
+    """(day, key, c_hi, c_lo, node, top, owner): each node in each bucket it may share with others."""
     stems = nodes.select("day", F.col("stem").alias("key")).distinct()
     longer = nodes.withColumn("key", F.explode(open_prefixes(F.col("stem")))).join(stems, ["day", "key"], "left_semi")
     cols = ["day", "key", "hash_hi", "hash_lo", "node", "top"]
@@ -45,11 +47,11 @@ def _buckets(nodes: DataFrame) -> DataFrame:
         nodes.withColumn("key", F.col("stem")).select(*cols).withColumn("owner", F.lit(True))
         .unionAll(longer.select(*cols).withColumn("owner", F.lit(False)))
     )
-    # one hash under a key needs only its own centre
+    # a node alone under its key has no match there; one hash under a key needs only its own centre
     spread = members.groupBy("day", "key").agg(
         F.min(F.struct("hash_hi", "hash_lo")).alias("low"), F.max(F.struct("hash_hi", "hash_lo")).alias("high"), F.count("*").alias("n")
     ).where("n > 1").select("day", "key", F.when(F.col("low") != F.col("high"), 1).otherwise(0).alias("radius"))
-    placed = members.join(spread, ["day", "key"], "left").withColumn("radius", F.coalesce("radius", F.lit(0)))
+    placed = members.join(spread, ["day", "key"])
     centre = F.explode(_centres(F.col("hash_hi"), F.col("hash_lo"), F.col("radius"))).alias("c")
     return placed.select("day", "key", "node", "top", "owner", centre).select(
         "day", "key", F.col("c.hi").alias("c_hi"), F.col("c.lo").alias("c_lo"), "node", "top", "owner"
@@ -58,7 +60,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def _met(nodes: DataFrame) -> DataFrame:
     """Bucket rows with the extremes of the bucket and of its owners."""
-    rows = _buckets(nodes)
+    rows = settle(_buckets(nodes))
     key = ["day", "key", "c_hi", "c_lo"]
     owners = F.when(F.col("owner"), F.col("node"))
     stats = rows.groupBy(*key).agg(

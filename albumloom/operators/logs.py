@@ -28,23 +28,33 @@ def progress_lines(lines: DataFrame) -> DataFrame:
     """(run, at, line) -> kind, done, total, bar (0..1), eta, finish of the lines that tell progress."""
     line = F.col("line")
 
-    def g(pattern: str, i: int) -> Column:
-        return F.regexp_extract(line, pattern, i)
-
-    stage, step, unit, note = g(STAGE, 1), g(STEP, 1), g(COUNTER, 4), g(COUNTER, 1)
-    ratio = F.try_divide(_num(g(COUNTER, 2)), _num(g(COUNTER, 3)))
-    pct = F.when(g(PERCENT, 1) != "", g(PERCENT, 1)).try_cast("double") / 100
-    full = (g(ETA, 1) != "") & pct.isNotNull()
+    def groups(pattern: str, n: int) -> Column:
+        """The groups of the first match; empty when there is none."""
+        hit = F.regexp_substr(line, F.lit(pattern))
+        return F.coalesce(F.split(F.regexp_replace(hit, f".*?{pattern}.*", "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001"), F.array().cast("array<string>"))
+
+    shapes = {"stage": (STAGE, 1), "hashed": (HASHED, 2), "step": (STEP, 1), "counter": (COUNTER, 4), "percent": (PERCENT, 1), "eta": (ETA, 2), "lookup": (LOOKUP, 3)}
+    # every pattern runs once per line; what follows works on the groups
+    found = lines.select("run", "at", F.struct(*[groups(p, n).alias(k) for k, (p, n) in shapes.items()]).alias("f"))
+    found = found.select("run", "at", *[F.col(f"f.{k}").alias(f"g_{k}") for k in shapes])
+
+    def g(shape: str, i: int) -> Column:
+        return F.coalesce(F.get(f"g_{shape}", F.lit(i - 1)), F.lit(""))
+
+    stage, step, unit, note = g("stage", 1), g("step", 1), g("counter", 4), g("counter", 1)
+    ratio = F.try_divide(_num(g("counter", 2)), _num(g("counter", 3)))
+    pct = F.when(g("percent", 1) != "", g("percent", 1)).try_cast("double") / 100
+    full = (g("eta", 1) != "") & pct.isNotNull()
     warm = ((unit == "批") & (note == "已完成")) | (unit.isin("日", "主题") & (note == "已处理"))
     half = F.when(unit == "主题", F.lit(0.5)).otherwise(F.lit(0.0))
     scale = F.when(unit.isin("主题", "聚类批"), F.lit(0.5)).otherwise(F.lit(1.0))
-    hashed = F.try_divide(_num(g(HASHED, 1)), _num(g(HASHED, 2)))
+    hashed = F.try_divide(_num(g("hashed", 1)), _num(g("hashed", 2)))
     kind = (
         F.when(stage != "", "stage")
-        .when(g(HASHED, 1) != "", "hashing")
+        .when(g("hashed", 1) != "", "hashing")
         .when(step != "", "step")
         .when((unit != "") & ((full & (note == "")) | warm | ((unit == "聚类批") & pct.isNotNull())), F.element_at(F.create_map(*[F.lit(x) for x in ("批", "batches", "日", "days", "主题", "themes", "聚类批", "clusters")]), unit))
-        .when(g(LOOKUP, 1) != "", "lookup")
+        .when(g("lookup", 1) != "", "lookup")
     )
     counted = F.col("kind").isin("batches", "days", "themes", "clusters")
     floors = F.when(F.col("kind") == "step", F.element_at(F.array(*[F.lit(v) for v in STEP_FLOOR.values()]), F.coalesce(_num(step), F.lit(1)).cast("int")))
@@ -52,17 +62,17 @@ def progress_lines(lines: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "stage", 0.0)
         .when(F.col("kind") == "hashing", F.coalesce(hashed, F.lit(0.0)) * (STEP_FLOOR[3] - STEP_FLOOR[2]) + STEP_FLOOR[2])
         .when(counted, half + scale * F.coalesce(F.when(full | (F.col("kind") == "clusters"), pct), ratio, F.lit(0.0)))
-        .when(F.col("kind") == "lookup", F.coalesce(F.try_divide(_num(g(LOOKUP, 1)), _num(g(LOOKUP, 2))), F.lit(0.0)))
+        .when(F.col("kind") == "lookup", F.coalesce(F.try_divide(_num(g("lookup", 1)), _num(g("lookup", 2))), F.lit(0.0)))
         .otherwise(floors)
     )
 
     def either(i: int) -> Column:
-        return F.when(F.col("kind") == "hashing", _num(g(HASHED, i))).when(counted, _num(g(COUNTER, i + 1))).when(F.col("kind") == "lookup", _num(g(LOOKUP, i)))
+        return F.when(F.col("kind") == "hashing", _num(g("hashed", i))).when(counted, _num(g("counter", i + 1))).when(F.col("kind") == "lookup", _num(g("lookup", i)))
 
-    return lines.withColumn("kind", kind).where("kind IS NOT NULL").select(
+    return found.withColumn("kind", kind).where("kind IS NOT NULL").select(
         "run", "at", "kind", F.when(stage != "", stage).alias("stage"), either(1).alias("done"), either(2).alias("total"), F.round(bar, 6).alias("bar"),
-        F.when(counted & full, F.trim(g(ETA, 1))).when(F.col("kind") == "lookup", F.concat(g(LOOKUP, 3), F.lit("min"))).alias("eta"),
-        F.when(counted & full, F.trim(g(ETA, 2))).alias("finish"),
+        F.when(counted & full, F.trim(g("eta", 1))).when(F.col("kind") == "lookup", F.concat(g("lookup", 3), F.lit("min"))).alias("eta"),
+        F.when(counted & full, F.trim(g("eta", 2))).alias("finish"),
     )
 
 

@@ -10,6 +10,7 @@ from albumloom.params import Chunking
 from albumloom.plans.oracle import PHOTOS, with_
 from albumloom.plans.registry import query
 from albumloom.plans.views import photos
+from albumloom.session import settle
 
 DIST = "(bit_count(xor(a_hi, b_hi)) + bit_count(xor(a_lo, b_lo)))::INT"
 # settings under which the given tables show all branches: hashes of different shots lie about 32 bits apart
@@ -101,7 +102,7 @@ def median_bit_hash(spark: SparkSession, sf: str) -> DataFrame:
     from albumloom.functions.hashes import median_bits
     from albumloom.plans.views import table
 
-    return table(spark, sf, "embeddings").select("vec_id", *median_bits(F.col("embedding")))
+    return table(spark, sf, "embeddings").select("vec_id", median_bits(F.col("embedding")).alias("h")).select("vec_id", "h.*")
 
 
 @query("JOIN-1", sql=with_(PHOTOS, NODES, MATCHES, body="""SELECT a AS photo_id, least(a, min(b)) AS first_match, greatest(a, max(b)) AS last_match FROM matches GROUP BY a"""))
@@ -165,10 +166,7 @@ def gps_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def batched(spark: SparkSession, sf: str, p: Chunking, dedup: bool = False) -> DataFrame:
     """Filter, optional duplicate removal, events, batches."""
-    ph = photos(spark, sf).where(duplicates.is_trash(p).isNull())
-    if dedup:
-        ph = duplicates.keepers(duplicates.duplicate_groups(ph)).drop("group_id")
-    return batches.batch_photos(segments.with_events(ph, p), p)
+    return batches.plan_batches(photos(spark, sf), p, drop_copies=dedup)
 
 
 # splitting and folding as recursive SQL over one row per photo or piece
@@ -214,7 +212,7 @@ def best_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("OPS-1", sql=with_(PHOTOS, UNTRASHED, *stage_sql(LONG), SPLIT, recursive=True, body="SELECT photo_id, day::VARCHAR AS day, event, start FROM cutrows"))
 def oversize_split(spark: SparkSession, sf: str) -> DataFrame:
-    ph = segments.with_events(photos(spark, sf).where(duplicates.is_trash().isNull()), LONG)
+    ph = settle(segments.with_events(photos(spark, sf).where(duplicates.is_trash().isNull()), LONG))
     return batches.split_events(ph, LONG).select("photo_id", F.col("day").cast("string").alias("day"), "event", "start")
 
 
@@ -266,7 +264,7 @@ def batch_document(spark: SparkSession, sf: str) -> DataFrame:
 
     ph = photos(spark, sf)
     reason = duplicates.is_trash(LONG)
-    kept = batches.batch_photos(segments.with_events(ph.where(reason.isNull()), LONG), LONG)
+    kept = settle(batches.plan_batches(ph, LONG, drop_copies=False))
     rows = sinks.batch_rows(kept)
     trashed = ph.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "reason")
     none = ph.where("false").select("path")

@@ -159,7 +159,7 @@ def _secret_sql() -> str:
         return p.replace("'", "''")
 
     part = [
-        f"SELECT doc_id, 'BLOCK' AS level, '{r}' AS rule, unnest(regexp_extract_all(body, '(?i){esc(p)}')) AS m FROM texts" for r, p in secrets.BLOCK_PATTERNS
+        f"SELECT doc_id, 'BLOCK' AS level, '{r}' AS rule, unnest(regexp_extract_all(body, '(?i){esc(p)}')) AS m FROM texts" for r, p, _ in secrets.BLOCK_PATTERNS
     ]
     part.append(f"SELECT doc_id, 'WARN', 'private address', unnest(regexp_extract_all(body, '(?i){secrets.PRIVATE_IP}')) FROM texts")
     part.append(f"SELECT * FROM (SELECT doc_id, 'WARN', 'mail address', unnest(regexp_extract_all(body, '(?i){secrets.MAIL}')) AS m FROM texts) WHERE NOT regexp_matches(substr(m, 1, 60), 'example\\.com|example\\.org|your-')")

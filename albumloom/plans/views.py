@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than cores over all cores; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def epoch_seconds(ts: str) -> Column:
     return seconds_of(F.col(ts))
 
@@ -24,10 +30,10 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
     """One row per event seen as a photo; groups of four share a hash and a name stem."""
     vectors = table(spark, sf, "embeddings")
     slots = vectors.agg(F.count("*").alias("n")).scalar()
-    hashes = vectors.select(F.col("vec_id").alias("slot"), *median_bits(F.col("embedding")))
+    hashes = vectors.select(F.col("vec_id").alias("slot"), median_bits(F.col("embedding")).alias("h")).select("slot", "h.*")
     shot = F.expr("event_id div 4")
     suffix = F.element_at(F.array(F.lit(""), F.lit("_resized"), F.lit("_1"), F.lit(" copy")), (F.col("event_id") % 4 + 1).cast("int"))
-    base = table(spark, sf, "events").select(
+    base = spread(table(spark, sf, "events").withColumn("k", json_k()).drop("props")).select(
         F.col("event_id").alias("photo_id"),
         F.col("user_id").alias("owner"),
         epoch_seconds("ts").alias("t"),
@@ -35,10 +41,10 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("IMG_"), shot, suffix, F.lit(".jpg")).alias("filename"),
         (F.col("event_id") % 5 != 0).alias("is_exact"),
         (F.floor(F.col("value") * 1000) * (1 + F.col("event_id") % 3)).alias("size_bytes"),
-        (200 + 40 * json_k()).alias("width"),
+        (200 + 40 * F.col("k")).alias("width"),
         (300 + 60 * (F.col("event_id") % 50)).cast("int").alias("height"),
         F.when(F.col("event_id") % 13 != 0, F.round(29.5 + (F.col("user_id") % 20) * 0.0031, 6)).alias("lat"),
-        F.when(F.col("event_id") % 13 != 0, F.round(106.5 + (json_k() % 25) * 0.0027, 6)).alias("lng"),
+        F.when(F.col("event_id") % 13 != 0, F.round(106.5 + (F.col("k") % 25) * 0.0027, 6)).alias("lng"),
         F.when(F.col("event_id") % 97 != 0, shot % slots).alias("slot"),
     )
     return (
