@@ -61,9 +61,10 @@ def _split_round(rows: DataFrame, p: Chunking) -> DataFrame:
 
     The recursion takes the first best position, then goes on to the right of it with the same best score, so
     among the best-scored positions it keeps the first and then each that lies ``side`` or more after the last
-    kept. In a run of neighbouring positions that is every ``side``-th one, provided no earlier best position
-    lies closer than ``side`` to the run. Other runs, and positions near the end where the remainder may
-    already be small enough, wait for a later round; the first best position is always taken.
+    kept. In a run of neighbouring positions that is every ``side``-th one, as long as no run before it starts
+    closer than ``side`` to the best position before. What comes after such a tight start, and positions near
+    the end where the remainder may already be small enough, wait for a later round; the first best position is
+    always taken. With a side of two no start is tight.
     """
     side = p.min_side
     ok = (F.col("pos") >= F.col("start") + side) & (F.col("pos") <= F.col("stop") - side)
@@ -76,8 +77,8 @@ def _split_round(rows: DataFrame, p: Chunking) -> DataFrame:
     rows = rows.withColumn("cand", cand).withColumn("head", head)
     rows = running_max(rows, PIECE, {"run": F.when(F.col("head"), F.col("pos"))})
     rows = running_max(rows, PIECE, {"last_cand": F.when(F.col("cand"), F.col("pos"))}, upto_current=False)
-    rows = running_max(rows, PIECE, {"clear": F.when(F.col("head") & (F.col("last_cand").isNull() | (F.col("pos") - F.col("last_cand") >= side)), F.col("pos"))})
-    sure = F.col("cand") & (F.col("run") == F.col("clear")) & ((F.col("pos") - F.col("run")) % side == 0) & (F.col("pos") < F.col("stop") - p.max_batch)
+    rows = running_max(rows, PIECE, {"tight": F.when(F.col("head") & (F.col("pos") - F.col("last_cand") < side), F.col("pos"))})
+    sure = F.col("cand") & F.col("tight").isNull() & ((F.col("pos") - F.col("run")) % side == 0) & (F.col("pos") < F.col("stop") - p.max_batch)
     middle = F.col("start") + F.floor((F.col("stop") - F.col("start")) / 2)
     cut = F.when(F.col("top").isNull(), F.col("pos") == middle).otherwise(sure | (F.col("pos") == F.col("first_at")))
     rows = running_max(rows, PIECE, {"cut_at": F.when(cut, F.col("pos"))})
