@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from albumloom.functions.times import let
+
 # fixed values: blocked folders, suffixes and document prefixes
 BLOCKED_DIRS = ["blog/", "test/", "docs/"]
 BLOCKED_SUFFIXES = [".keystore", ".jks", ".p12", ".pfx"]
@@ -74,9 +76,11 @@ def findings(name: Column, text: Column, own_mail: str = "", own_domain: str = "
     ``own_mail`` is an address published on purpose, ``own_domain`` a domain to warn about. A pattern runs only
     on texts that hold what each of its matches must hold.
     """
-    # the two letters that equal s and k without case
-    low = F.lower(F.translate(text, "\u017f\u212a", "sk"))
+    # the one letter that equals s without case yet stays itself in lower case
+    return let(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), lambda low: _findings(name, text, low, own_mail, own_domain))
+
 
+def _findings(name: Column, text: Column, low: Column, own_mail: str, own_domain: str) -> Column:
     def each(pattern: str, holds: Column, group: int = 0) -> Column:
         return F.when(holds, F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 

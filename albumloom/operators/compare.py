@@ -112,9 +112,19 @@ def run_stats(decisions: DataFrame) -> DataFrame:
     )
 
 
-def keywords(decisions: DataFrame, tokens: Column, k: int = 10) -> DataFrame:
+def word_counts(decisions: DataFrame, tokens: Column) -> DataFrame:
+    """(model, decision, word, n) of texts that stand in the decision rows."""
+    return decisions.select("model", "decision", F.explode(tokens).alias("word")).groupBy("model", "decision", "word").agg(F.count("*").alias("n"))
+
+
+def document_word_counts(decisions: DataFrame, documents: DataFrame, tokens: Column, key: str) -> DataFrame:
+    """The same for texts shared by several decisions: each text is cut into words once, and only counts are joined."""
+    words = documents.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return words.join(decisions.select(key, "model", "decision"), key).groupBy("model", "decision", "word").agg(F.sum("n").alias("n"))
+
+
+def keywords(words: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent words per model and decision, with the count of all words there; ties by word."""
-    words = decisions.select("model", "decision", F.explode(tokens).alias("word")).groupBy("model", "decision", "word").agg(F.count("*").alias("n"))
     total = words.groupBy("model", "decision").agg(F.sum("n").alias("all_words"))
     w = Window.partitionBy("model", "decision").orderBy(F.desc("n"), "word")
     # the rank limit is applied before the shuffle too, so few rows per task reach the window

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from albumloom.functions.replies import held
 from albumloom.operators.ordering import running_max
 
 # fixed values: stage ids in order and log line shapes
@@ -42,37 +43,46 @@ def progress_lines(lines: DataFrame) -> DataFrame:
         return F.coalesce(F.get(f"g_{shape}", F.lit(i - 1)), F.lit(""))
 
     stage, step, unit, note = g("stage", 1), g("step", 1), g("counter", 4), g("counter", 1)
-    ratio = F.try_divide(_num(g("counter", 2)), _num(g("counter", 3)))
-    pct = F.when(g("percent", 1) != "", g("percent", 1)).try_cast("double") / 100
-    full = (g("eta", 1) != "") & pct.isNotNull()
+    read = F.struct(
+        stage.alias("stage"), step.alias("step"), unit.alias("unit"), note.alias("note"),
+        _num(g("counter", 2)).alias("c_done"), _num(g("counter", 3)).alias("c_total"), _num(g("hashed", 1)).alias("h_done"), _num(g("hashed", 2)).alias("h_total"),
+        _num(g("lookup", 1)).alias("l_done"), _num(g("lookup", 2)).alias("l_total"), g("lookup", 3).alias("l_min"),
+        (F.when(g("percent", 1) != "", g("percent", 1)).try_cast("double") / 100).alias("pct"), g("eta", 1).alias("eta"), g("eta", 2).alias("finish"),
+    )
+    # held apart, so that the rules below stay small enough to be compiled
+    found = held(found, "x", read).select("run", "at", "x.*")
+    unit, note, pct = F.col("unit"), F.col("note"), F.col("pct")
+    full = (F.col("eta") != "") & pct.isNotNull()
     warm = ((unit == "批") & (note == "已完成")) | (unit.isin("日", "主题") & (note == "已处理"))
-    half = F.when(unit == "主题", F.lit(0.5)).otherwise(F.lit(0.0))
-    scale = F.when(unit.isin("主题", "聚类批"), F.lit(0.5)).otherwise(F.lit(1.0))
-    hashed = F.try_divide(_num(g("hashed", 1)), _num(g("hashed", 2)))
+    units = F.create_map(*[F.lit(x) for x in ("批", "batches", "日", "days", "主题", "themes", "聚类批", "clusters")])
     kind = (
-        F.when(stage != "", "stage")
-        .when(g("hashed", 1) != "", "hashing")
-        .when(step != "", "step")
-        .when((unit != "") & ((full & (note == "")) | warm | ((unit == "聚类批") & pct.isNotNull())), F.element_at(F.create_map(*[F.lit(x) for x in ("批", "batches", "日", "days", "主题", "themes", "聚类批", "clusters")]), unit))
-        .when(g("lookup", 1) != "", "lookup")
+        F.when(F.col("stage") != "", "stage")
+        .when(F.col("h_done").isNotNull(), "hashing")
+        .when(F.col("step") != "", "step")
+        .when((unit != "") & ((full & (note == "")) | warm | ((unit == "聚类批") & pct.isNotNull())), F.element_at(units, unit))
+        .when(F.col("l_done").isNotNull(), "lookup")
     )
-    counted = F.col("kind").isin("batches", "days", "themes", "clusters")
-    floors = F.when(F.col("kind") == "step", F.element_at(F.array(*[F.lit(v) for v in STEP_FLOOR.values()]), F.coalesce(_num(step), F.lit(1)).cast("int")))
+    told = held(found, "kind", kind).where("kind IS NOT NULL")
+    k = F.col("kind")
+    counted = k.isin("batches", "days", "themes", "clusters")
+    done = F.when(k == "hashing", F.col("h_done")).when(counted, F.col("c_done")).when(k == "lookup", F.col("l_done"))
+    total = F.when(k == "hashing", F.col("h_total")).when(counted, F.col("c_total")).when(k == "lookup", F.col("l_total"))
+    told = told.withColumns({"done": done, "total": total})
+    ratio = F.coalesce(F.try_divide("done", "total"), F.lit(0.0))
+    inner = F.coalesce(F.when(full | (k == "clusters"), pct), ratio)
+    floors = F.element_at(F.array(*[F.lit(v) for v in STEP_FLOOR.values()]), F.coalesce(_num(F.col("step")), F.lit(1)).cast("int"))
     bar = (
-        F.when(F.col("kind") == "stage", 0.0)
-        .when(F.col("kind") == "hashing", F.coalesce(hashed, F.lit(0.0)) * (STEP_FLOOR[3] - STEP_FLOOR[2]) + STEP_FLOOR[2])
-        .when(counted, half + scale * F.coalesce(F.when(full | (F.col("kind") == "clusters"), pct), ratio, F.lit(0.0)))
-        .when(F.col("kind") == "lookup", F.coalesce(F.try_divide(_num(g("lookup", 1)), _num(g("lookup", 2))), F.lit(0.0)))
+        F.when(k == "stage", 0.0)
+        .when(k == "hashing", ratio * (STEP_FLOOR[3] - STEP_FLOOR[2]) + STEP_FLOOR[2])
+        .when(k == "themes", inner * 0.5 + 0.5)
+        .when(k == "clusters", inner * 0.5)
+        .when(counted, inner)
+        .when(k == "lookup", ratio)
         .otherwise(floors)
     )
-
-    def either(i: int) -> Column:
-        return F.when(F.col("kind") == "hashing", _num(g("hashed", i))).when(counted, _num(g("counter", i + 1))).when(F.col("kind") == "lookup", _num(g("lookup", i)))
-
-    return found.withColumn("kind", kind).where("kind IS NOT NULL").select(
-        "run", "at", "kind", F.when(stage != "", stage).alias("stage"), either(1).alias("done"), either(2).alias("total"), F.round(bar, 6).alias("bar"),
-        F.when(counted & full, F.trim(g("eta", 1))).when(F.col("kind") == "lookup", F.concat(g("lookup", 3), F.lit("min"))).alias("eta"),
-        F.when(counted & full, F.trim(g("eta", 2))).alias("finish"),
+    return told.select(
+        "run", "at", "kind", F.when(k == "stage", F.col("stage")).alias("stage"), "done", "total", F.round(bar, 6).alias("bar"),
+        F.when(counted & full, F.trim("eta")).when(k == "lookup", F.concat("l_min", F.lit("min"))).alias("eta"), F.when(counted & full, F.trim("finish")).alias("finish"),
     )
 
 

@@ -82,6 +82,7 @@ def ungrouped(events: DataFrame, members: DataFrame, valid: DataFrame) -> DataFr
 
 def cluster_themes(events: DataFrame, scorer: Scorer, merge_replies: DataFrame, p: Themes = Themes()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both grouping passes: (members, valid themes, ungrouped events). ``merge_replies`` are (at, reply)."""
+    events = settle(events)
     numbered = chunked(events, [], ["tag"], p.batch_size)
     line = F.concat(F.col("number").cast("string"), F.lit(". "), "tag", F.lit("（"), F.col("photo_count").cast("string"), F.lit(" 张）"))
     asked = requests(numbered.select("chunk", F.col("number").alias("rank"), F.col("tag").alias("item_id"), line.alias("text")), ["chunk"], F.col("text"))
@@ -109,6 +110,7 @@ def merge_days(events: DataFrame, photos: DataFrame, scorer: Scorer, p: Themes =
 
     Events: day, tag, event_name, photo_count, has_manifest. Photos: day, tag, path.
     """
+    events = settle(events)
     multi = day_classes(events, p).where("class = 'multi'").select("day")
     listed = events.join(multi, "day", "left_semi")
     line = F.concat("event_name", F.lit("（"), F.col("photo_count").cast("string"), F.lit(" 张）"))

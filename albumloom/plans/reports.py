@@ -84,13 +84,13 @@ def words_sql(source: str, pattern: str) -> str:
 @query("AGG-21", sql=with_(DECISIONS, body=words_sql("(SELECT *, reason AS body FROM decisions)", r"[\x{4e00}-\x{9fff}]{2,}")).replace("rank FROM", "rank::INT AS rank FROM", 1))
 def reason_keywords(spark: SparkSession, sf: str) -> DataFrame:
     d = views.decisions(spark, sf)
-    return compare.keywords(d, compare.chinese_tokens(F.col("reason")))
+    return compare.keywords(compare.word_counts(d, compare.chinese_tokens(F.col("reason"))))
 
 
 @query("AGG-21", sql=with_(DECISIONS, body=words_sql("(SELECT d.model, d.decision, lower(text) AS body FROM decisions d JOIN documents USING (doc_id))", "[a-z]{2,}")).replace("rank FROM", "rank::INT AS rank FROM", 1))
 def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    text = views.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("body"))
-    return compare.keywords(views.decisions(spark, sf).join(text, "doc_id"), F.regexp_extract_all("body", F.lit("[a-z]{2,}"), F.lit(0)))
+    text = views.spread(views.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("body"))
+    return compare.keywords(compare.document_word_counts(views.decisions(spark, sf), text, F.regexp_extract_all("body", F.lit("[a-z]{2,}"), F.lit(0)), "doc_id"))
 
 
 @query("OPS-14", "SNK-7", sql=with_(DECISIONS, WIDE, body=f"""SELECT '差异' AS sheet, {PATTERN} AS item, count(*) AS n FROM wide WHERE consensus = '不一致' GROUP BY 2 UNION ALL SELECT '一致性', consensus, count(*) FROM wide GROUP BY consensus

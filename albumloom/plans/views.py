@@ -150,7 +150,7 @@ def events_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files below the event folders, one per order, plus manifests and stray names."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     folder = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("-"), F.substring("o_orderpriority", 3, 20))
     stray = F.when(F.col("o_orderkey") % 41 == 0, F.lit("misc")).when(F.col("o_orderkey") % 43 == 0, F.lit("_FAILED_FOR_MANUAL_REVIEW")).otherwise(folder)
     name = F.when(F.col("o_orderkey") % 19 == 0, F.concat(F.lit("note_"), "o_orderkey", F.lit(".txt"))).otherwise(F.concat(F.lit("IMG_"), F.col("o_custkey") % 50, F.lit(".JPG")))
@@ -353,7 +353,7 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def stage_logs(spark: SparkSession, sf: str) -> DataFrame:
     """(run, at, line): pipeline logs, one run per user and one line per event."""
-    k, i = json_k(), F.col("event_id")
+    k, i = F.col("k"), F.col("event_id")
     stages = F.array(*[F.lit(s) for s in ("01a", "01b", "02", "03a", "03b")])
     total, done = k + 20, F.least(k + 20, (i % 60).cast("int"))
     pct = F.format_string("%.1f", F.round(done * 100.0 / total, 1))
@@ -370,7 +370,8 @@ def stage_logs(spark: SparkSession, sf: str) -> DataFrame:
         .when(k < 90, F.concat(F.lit("["), count, F.lit("] 1.2 req/s, ETA 3.4min")))
         .otherwise(F.concat(F.lit("plain "), i))
     )
-    return table(spark, sf, "events").select(F.col("user_id").alias("run"), i.alias("at"), line.alias("line"), k.alias("k"))
+    e = spread(table(spark, sf, "events").select("user_id", "event_id", json_k().alias("k")))
+    return e.select(F.col("user_id").alias("run"), i.alias("at"), line.alias("line"), "k")
 
 
 def delete_entries(spark: SparkSession, sf: str) -> DataFrame:
