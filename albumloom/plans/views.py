@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.functions.hashes import median_bits
+from albumloom.functions.replies import held
 from albumloom.functions.times import seconds_of
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -371,7 +372,7 @@ def stage_logs(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("plain "), i))
     )
     e = spread(table(spark, sf, "events").select("user_id", "event_id", json_k().alias("k")))
-    return e.select(F.col("user_id").alias("run"), i.alias("at"), line.alias("line"), "k")
+    return held(e, "line", line).select(F.col("user_id").alias("run"), i.alias("at"), "line", "k")
 
 
 def delete_entries(spark: SparkSession, sf: str) -> DataFrame:
