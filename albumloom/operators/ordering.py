@@ -7,7 +7,7 @@ values over the slice edges, so the largest key is spread over as many tasks as
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,16 +54,26 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Se
 
 
 def running_max(rows: DataFrame, keys: Sequence[str], values: dict[str, Column], upto_current: bool = True) -> DataFrame:
-    """Largest value so far by ``pos`` inside a key, in blocks of positions joined by one summary row per block."""
+    """Largest value so far by ``pos`` inside a key, null while there is none."""
+    return _running(rows, keys, values, upto_current, F.max, F.greatest)
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], values: dict[str, Column], upto_current: bool = True) -> DataFrame:
+    """Sum so far by ``pos`` inside a key, 0 while there is none."""
+    return _running(rows, keys, values, upto_current, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def _running(rows: DataFrame, keys: Sequence[str], values: dict[str, Column], upto_current: bool, agg: Callable, both: Callable) -> DataFrame:
+    """Running aggregates in blocks of positions, joined by one summary row per block."""
     rows = rows.withColumn("_blk", F.floor(F.col("pos") / BLOCK))
     for name, value in values.items():
         rows = rows.withColumn(f"_v_{name}", value)
     end = 0 if upto_current else -1
     inside = Window.partitionBy(*keys, "_blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy(*keys, "_blk").agg(*[F.max(f"_v_{n}").alias(f"_m_{n}") for n in values])
-    tops = tops.select(*keys, "_blk", *[F.max(f"_m_{n}").over(before).alias(f"_p_{n}") for n in values])
-    rows = rows.select("*", *[F.max(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in values]).join(tops, [*keys, "_blk"])
+    blocks = rows.groupBy(*keys, "_blk").agg(*[agg(f"_v_{n}").alias(f"_m_{n}") for n in values])
+    blocks = blocks.select(*keys, "_blk", *[agg(f"_m_{n}").over(before).alias(f"_p_{n}") for n in values])
+    rows = rows.select("*", *[agg(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in values]).join(blocks, [*keys, "_blk"])
     for n in values:
-        rows = rows.withColumn(n, F.greatest(f"_i_{n}", f"_p_{n}"))
+        rows = rows.withColumn(n, both(F.col(f"_i_{n}"), F.col(f"_p_{n}")))
     return rows.drop("_blk", *[f"{p}{n}" for n in values for p in ("_v_", "_i_", "_p_")])

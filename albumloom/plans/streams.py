@@ -44,7 +44,9 @@ def chunk_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("STR-2", sql=with_(CHUNKS, body="""SELECT task_id, 16 AS total_chunks, max(f)::BIGINT AS ready_at FROM (SELECT task_id, chunk_index, min(epoch_us(ts)) AS f FROM chunks WHERE chunk_index BETWEEN 0 AND total_chunks - 1 GROUP BY ALL)
    GROUP BY task_id HAVING count(*) = 16"""))
 def upload_complete_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return runtime.collected(jobs.completed_uploads(chunk_stream(spark, sf)), "complete")
+    ledger = jobs.completed_uploads(spark, runtime.scratch(spark, "complete"))
+    ledger.run(chunk_stream(spark, sf))
+    return ledger.output("task_id bigint, total_chunks int, ready_at bigint, batch int")
 
 
 def island_sql(key: str, gap: int, body: str) -> str:

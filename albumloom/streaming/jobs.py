@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.functions.rules import error_class
 from albumloom.functions.times import epoch_micros
-from albumloom.operators.ordering import in_order, running_max
+from albumloom.operators.ordering import in_order, running_max, running_sum
 from albumloom.params import Curation, Tasks
 from albumloom.streaming.runtime import Ledger, event_time
 
@@ -58,30 +58,35 @@ def chunk_ledger(spark: SparkSession, folder: str, p: Tasks = Tasks()) -> Ledger
     return Ledger(spark, folder, ACCEPTED, step)
 
 
-COMPLETE = "task_id bigint, total_chunks int, ready_at bigint"
+ARRIVED = "task_id bigint, chunk_index int, total_chunks int, at bigint"
 
 
-def _complete(key, frames, state):
-    """Earliest time per chunk of one task (as many numbers as the task has chunks); one row when all are there."""
-    total, told, seen = (state.get if state.exists else (0, False, []))
-    seen = dict(zip(seen[::2], seen[1::2])) if seen else {}
-    for pdf in frames:
-        total = max(total, int(pdf["total_chunks"].max()))
-        for chunk, at in pdf.groupby("chunk_index")["at"].min().items():
-            seen[int(chunk)] = min(int(at), seen.get(int(chunk), int(at)))
-    ready = not told and total > 0 and len(seen) == total
-    state.update((total, told or ready, [x for kv in seen.items() for x in kv]))
-    yield pd.DataFrame([(key[0], total, max(seen.values()))] if ready else [], columns=["task_id", "total_chunks", "ready_at"])
+def _ready(arrived: DataFrame) -> DataFrame:
+    """Tasks of which every chunk is there, with the time the last one first arrived (epoch microseconds)."""
+    per = arrived.groupBy("task_id").agg(F.count("*").alias("n"), F.max("total_chunks").alias("total_chunks"), F.max("at").alias("ready_at"))
+    return per.where("n = total_chunks").drop("n")
 
 
-def completed_uploads(chunks: DataFrame) -> DataFrame:
-    """One row per task once every chunk has arrived, with the time the last one did (epoch microseconds)."""
-    rows = valid_chunks(chunks).select("task_id", "chunk_index", "total_chunks", epoch_micros(F.col("ts")).alias("at"))
-    return rows.groupBy("task_id").applyInPandasWithState(_complete, COMPLETE, "total int, told boolean, seen array<bigint>", "append", "NoTimeout")
+def completed_uploads(spark: SparkSession, folder: str) -> Ledger:
+    """One output row per task once every chunk has arrived.
+
+    State is the first arrival per (task, chunk), so repeats of a busy task are summed up before they are moved.
+    """
+
+    def step(batch: DataFrame, state: DataFrame):
+        new = valid_chunks(batch).select("task_id", "chunk_index", "total_chunks", epoch_micros(F.col("ts")).alias("at"))
+        both = new.unionByName(state).groupBy("task_id", "chunk_index").agg(F.max("total_chunks").alias("total_chunks"), F.min("at").alias("at"))
+        return both, _ready(both).join(_ready(state).select("task_id"), "task_id", "left_anti")
+
+    return Ledger(spark, folder, ARRIVED, step)
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: int, delay: str) -> DataFrame:
-    """Spells of one key without a gap of ``gap_seconds``: start, deadline (last event plus gap), events."""
+    """Spells of one key without a gap of ``gap_seconds``: start, deadline (last event plus gap), events.
+
+    Spells are merged within each partition first, so a busy key moves a few rows, not all its events.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = event_time(events, delay)
     rows = timed.groupBy(key, F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.count("*").alias("events"))
     return rows.select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("deadline_us"), "events")
@@ -183,10 +188,8 @@ def event_pool(spark: SparkSession, folder: str) -> Ledger:
         added = pool.groupBy("day", F.col("first_batch").alias("batch_id")).agg(F.count("*").alias("added"))
         seen = batch.select("day", "batch_id").distinct().withColumn("here", F.lit(True))
         rows = added.join(seen, ["day", "batch_id"], "full").withColumn("added", F.coalesce("added", F.lit(0)))
-        # one row per batch of a day
-        before = Window.partitionBy("day").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-        out = rows.withColumn("found", F.coalesce(F.sum("added").over(before), F.lit(0))).where("here")
-        return pool, out.select("day", "batch_id", "added", "found")
+        out = running_sum(in_order(rows, ["day"], ["batch_id"]), ["day"], {"found": F.col("added")}, upto_current=False)
+        return pool, out.where("here").select("day", "batch_id", "added", "found")
 
     return Ledger(spark, folder, POOL, step)
 

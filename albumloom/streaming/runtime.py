@@ -55,7 +55,7 @@ class Ledger:
     """State of a ``foreachBatch`` job: one parquet version per micro-batch.
 
     ``step(batch, state) -> (state, output)``. A batch that runs again reads the version before it and writes
-    its own once more, so a lost executor or a restart changes nothing. Versions before the last two go.
+    its own once more, so a lost executor or a restart changes nothing.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]]):

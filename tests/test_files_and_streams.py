@@ -81,12 +81,15 @@ def test_ledger_over_two_runs(spark, tmp_path):
 
 
 def test_uploads_complete_over_two_runs(spark, tmp_path):
-    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    src = str(tmp_path / "in")
+    ledger = jobs.completed_uploads(spark, str(tmp_path / "job"))
     events(spark, [(1, 0, 1, 1, 0), (1, 1, 2, 1, 9), (2, 0, 3, 1, 1)]).write.parquet(src)
-    runtime.finish(jobs.completed_uploads(runtime.stream_table(spark, src)), out, mark)
+    ledger.run(runtime.stream_table(spark, src))
     events(spark, [(1, 2, 4, 1, 5), (1, 3, 5, 1, 7), (1, 3, 6, 1, 20)]).write.mode("append").parquet(src)
-    runtime.finish(jobs.completed_uploads(runtime.stream_table(spark, src)), out, mark)
-    rows = spark.read.parquet(out).collect()
+    ledger.run(runtime.stream_table(spark, src))
+    events(spark, [(1, 3, 7, 1, 30)]).write.mode("append").parquet(src)
+    ledger.run(runtime.stream_table(spark, src))
+    rows = ledger.output("task_id bigint, total_chunks int, ready_at bigint, batch int").collect()
     assert [(r["task_id"], r["total_chunks"], r["ready_at"] // 1000000 % 60) for r in rows] == [(1, 4, 9)]
 
 
