@@ -87,8 +87,8 @@ def comparison_table(decisions: DataFrame, models: list[str]) -> DataFrame:
 def consensus_counts(table: DataFrame) -> DataFrame:
     """Photos and share per consensus class."""
     per = table.groupBy("consensus").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))  # one row
-    return per.crossJoin(F.broadcast(total)).select("consensus", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
+    total = per.agg(F.sum("n")).scalar()
+    return per.select("consensus", "n", F.round(F.col("n") * 100.0 / total, 1).alias("pct"))
 
 
 def disagreements(table: DataFrame, models: list[str]) -> DataFrame:

@@ -36,7 +36,6 @@ def still_present(matched: DataFrame, gallery: DataFrame) -> DataFrame:
 
 def result_counts(lines: DataFrame, photos: DataFrame) -> DataFrame:
     """Photos to delete (data lines of the list) and to keep."""
-    n = photos.agg(F.count("*").alias("total"))
+    total = photos.agg(F.count("*")).scalar()
     d = lines.agg(F.count_if((F.trim("line") != "") & ~F.startswith("line", F.lit("#"))).alias("delete_count"))
-    # both sides are one aggregate row
-    return d.crossJoin(F.broadcast(n)).select("delete_count", F.greatest(F.lit(0), F.col("total") - F.col("delete_count")).alias("keep_count"))
+    return d.select("delete_count", F.greatest(F.lit(0), total - F.col("delete_count")).alias("keep_count"))

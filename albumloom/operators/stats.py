@@ -22,10 +22,6 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
 def batch_sizes(batched: DataFrame) -> DataFrame:
     """Batch count per size, with the overall count, range and mean on each row."""
     per = batched.groupBy("day", "batch_no").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("batches"))
-    total = per.agg(
-        F.sum("batches").alias("all_batches"),
-        F.min("size").alias("min_size"),
-        F.max("size").alias("max_size"),
-        F.round(F.sum(F.col("size") * F.col("batches")) / F.sum("batches"), 4).alias("avg_size"),
-    )
-    return per.crossJoin(F.broadcast(total))  # one row by construction
+    mean = F.round(F.sum(F.col("size") * F.col("batches")) / F.sum("batches"), 4)
+    whole = {"all_batches": F.sum("batches"), "min_size": F.min("size"), "max_size": F.max("size"), "avg_size": mean}
+    return per.select("*", *[per.agg(a).scalar().alias(n) for n, a in whole.items()])

@@ -114,8 +114,8 @@ def extraction_rates(spark: SparkSession, sf: str) -> DataFrame:
     d = views.decisions(spark, sf).where("model != 'B'")
     level = F.when(F.col("model") == "D", "A").when(F.col("model") == "A", "B").otherwise(F.col("model"))
     per = d.groupBy(level.alias("level"), "model").agg(F.count_if(F.col("decision") == "keep").alias("archived"), F.count("*").alias("in_pipeline"))
-    scanned = views.table(spark, sf, "documents").agg(F.count("*").alias("scanned"))
-    return compare.extraction_rates(per.crossJoin(F.broadcast(scanned)))
+    scanned = views.table(spark, sf, "documents").agg(F.count("*")).scalar()
+    return compare.extraction_rates(per.withColumn("scanned", scanned))
 
 
 PROGRESS = """SELECT run, at_ AS "at", CASE WHEN k < 6 THEN 'stage' WHEN k < 30 THEN 'hashing' WHEN k < 40 THEN 'step' WHEN k < 70 THEN ['batches', 'days', 'themes', 'clusters'][k % 4 + 1]

@@ -27,14 +27,9 @@ def batch_rows(batched: DataFrame) -> DataFrame:
 
 def document_summary(scanned: DataFrame, kept: DataFrame, trashed: DataFrame, deduped: DataFrame, batches: DataFrame) -> DataFrame:
     """One row of totals."""
-    def total(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    # five one-row aggregates
-    out = total(scanned, "total_scanned")
-    for df, name in ((kept, "kept"), (trashed, "trashed"), (deduped, "deduped"), (batches, "batch_count")):
-        out = out.crossJoin(F.broadcast(total(df, name)))
-    return out
+    counts = {"kept": kept, "trashed": trashed, "deduped": deduped, "batch_count": batches}
+    out = scanned.agg(F.count("*").alias("total_scanned"))
+    return out.select("*", *[df.agg(F.count("*")).scalar().alias(name) for name, df in counts.items()])
 
 
 def write_batch_document(out: str, batches: DataFrame, trashed: DataFrame, deduped: DataFrame, summary: DataFrame) -> None:
@@ -68,9 +63,10 @@ def ungrouped_document(rest: DataFrame) -> DataFrame:
 
 def theme_index(valid: DataFrame, rest: DataFrame, events: DataFrame) -> DataFrame:
     """One row per theme with the overall totals beside it."""
-    totals = events.agg(F.count("*").alias("total_events")).crossJoin(F.broadcast(rest.agg(F.count("*").alias("ungrouped_events"))))
-    totals = totals.crossJoin(F.broadcast(valid.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("grouped_events"))))
-    return valid.select("theme", "theme_folder", "events", "photos", "years").crossJoin(F.broadcast(totals))
+    return valid.select(
+        "theme", "theme_folder", "events", "photos", "years", events.agg(F.count("*")).scalar().alias("total_events"),
+        rest.agg(F.count("*")).scalar().alias("ungrouped_events"), valid.agg(F.coalesce(F.sum("events"), F.lit(0))).scalar().alias("grouped_events"),
+    )
 
 
 def write_manifests(rows: DataFrame, by: str, out: str) -> None:
