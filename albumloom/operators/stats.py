@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from albumloom.session import settle
+
 # fixed values: the eight distance bins
 DISTANCE_BINS = [(0, 5), (6, 10), (11, 15), (16, 20), (21, 25), (26, 30), (31, 40), (41, 64)]
 
@@ -21,7 +23,8 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
 
 def batch_sizes(batched: DataFrame) -> DataFrame:
     """Batch count per size, with the overall count, range and mean on each row."""
-    per = batched.groupBy("day", "batch_no").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("batches"))
+    # a handful of rows that five parts of the result read
+    per = settle(batched.groupBy("day", "batch_no").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("batches")))
     mean = F.round(F.sum(F.col("size") * F.col("batches")) / F.sum("batches"), 4)
     whole = {"all_batches": F.sum("batches"), "min_size": F.min("size"), "max_size": F.max("size"), "avg_size": mean}
     return per.select("*", *[per.agg(a).scalar().alias(n) for n, a in whole.items()])
