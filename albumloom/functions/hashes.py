@@ -11,6 +11,15 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
+def packed(hi: Column, lo: Column) -> Column:
+    """Both halves in one BIGINT; plain numbers keep grouped steps in hash tables, where structs would make them sort."""
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
+
+
+def unpacked(h: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def median_bits(values: Column) -> Column:
     """Hash of 64 numbers as a struct of both halves: bit i is set when number i exceeds the 32nd smallest."""
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")

@@ -49,8 +49,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     )
     # a node alone under its key has no match there; one hash under a key needs only its own centre
     spread = members.groupBy("day", "key").agg(
-        F.min(F.struct("hash_hi", "hash_lo")).alias("low"), F.max(F.struct("hash_hi", "hash_lo")).alias("high"), F.count("*").alias("n")
-    ).where("n > 1").select("day", "key", F.when(F.col("low") != F.col("high"), 1).otherwise(0).alias("radius"))
+        ((F.min("hash_hi") != F.max("hash_hi")) | (F.min("hash_lo") != F.max("hash_lo"))).alias("varied"), F.count("*").alias("n")
+    ).where("n > 1").select("day", "key", F.when(F.col("varied"), 1).otherwise(0).alias("radius"))
     placed = members.join(spread, ["day", "key"])
     centre = F.explode(_centres(F.col("hash_hi"), F.col("hash_lo"), F.col("radius"))).alias("c")
     return placed.select("day", "key", "node", "top", "owner", centre).select(

@@ -11,18 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumloom.functions.hashes import hamming
+from albumloom.functions.hashes import hamming, packed, unpacked
 from albumloom.params import Chunking
 
 
 def second_marks(photos: DataFrame) -> DataFrame:
     """One row per (day, second): count, first and last photo's hash, first hash present."""
-    bits = F.struct("hash_hi", "hash_lo")
+    bits = packed(F.col("hash_hi"), F.col("hash_lo"))
     return photos.groupBy("day", "t").agg(
         F.count("*").alias("n"),
         F.min_by(bits, "photo_id").alias("head"),
         F.max_by(bits, "photo_id").alias("tail"),
-        F.min_by(bits, F.when(F.col("hash_hi").isNotNull(), F.col("photo_id"))).alias("rep"),
+        F.min_by(bits, F.when(bits.isNotNull(), F.col("photo_id"))).alias("rep"),
     )
 
 
@@ -30,7 +30,7 @@ def gaps(marks: DataFrame) -> DataFrame:
     """Marks with the gap to the second before and the hash distance over that gap."""
     w = Window.partitionBy("day").orderBy("t")
     return marks.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("before", F.lag("tail").over(w)).withColumn(
-        "dist", hamming(F.col("before.hash_hi"), F.col("before.hash_lo"), F.col("head.hash_hi"), F.col("head.hash_lo"))
+        "dist", F.bit_count(F.col("before").bitwiseXOR(F.col("head")))
     )
 
 
@@ -55,12 +55,13 @@ def middle_gaps(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
 
 def segments(marks: DataFrame) -> DataFrame:
     """One row per segment: time range, photo count, first hash present."""
+    hi, lo = unpacked(F.col("rep"))
     return marks.groupBy("day", "segment").agg(
         F.min("t").alias("start_t"),
         F.max("t").alias("end_t"),
         F.sum("n").alias("n"),
-        F.min_by("rep", F.when(F.col("rep.hash_hi").isNotNull(), F.col("t"))).alias("rep"),
-    ).select("day", "segment", "start_t", "end_t", "n", F.col("rep.hash_hi").alias("hash_hi"), F.col("rep.hash_lo").alias("hash_lo"))
+        F.min_by("rep", F.when(F.col("rep").isNotNull(), F.col("t"))).alias("rep"),
+    ).select("day", "segment", "start_t", "end_t", "n", hi.alias("hash_hi"), lo.alias("hash_lo"))
 
 
 def similar_segments(segs: DataFrame, p: Chunking = Chunking()) -> DataFrame:
