@@ -12,7 +12,7 @@ from albumloom.llm.common import spread_sums, stored
 
 @dataclass(frozen=True)
 class Shards:
-    """``slack`` is the room above an even share during the rounds; at the end only whole documents keep sizes apart."""
+    """``slack`` is how far sizes may be apart before linked documents are moved for evenness, in ``passes`` finer and finer."""
 
     count: int = 16
     rounds: int = 4
@@ -26,8 +26,8 @@ def shard(docs: DataFrame, p: Shards = Shards()) -> DataFrame:
 
     Links join every document with the text it shares, so neighbours are reached over one row per text and shard and
     no pairs are listed. Documents start at a hash; in each round those of a linked text prefer the shard that holds
-    most of it. Moves from shard a to b are let in, in hash order, up to what moves from b to a and b's room. Texts of
-    more than a shard's capacity spread over several. At the end documents without links, and only where these do not
+    most of it. Moves from shard a to b are let in, in hash order, up to what moves from b to a and b's share of room.
+    Texts of more than a shard's capacity spread over several. At the end documents without links, and only where these do not
     suffice others, move from shards above the even share to those below.
 
     Null texts have size 1, no checksum and no links; empty texts are equal texts. Ids may repeat or be null. Slots
@@ -44,9 +44,9 @@ def shard(docs: DataFrame, p: Shards = Shards()) -> DataFrame:
     hubs = nodes.where("hub != ''").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub", F.lit(True).alias("linked"))
     nodes = stored(nodes.join(hubs, "hub", "left").withColumn("linked", F.col("linked").isNotNull()), "nodes")
     alone, linked = nodes.where("NOT linked"), nodes.where("linked")
-    fixed = _loads(alone, p)
+    share = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / p.count
     for _ in range(p.rounds):
-        linked = _moved(linked, fixed, p)
+        linked = _moved(linked, share, p)
     placed = _evened(alone.unionByName(linked), p)
     ranked = spread_sums(placed, ["shard"], "key", ["doc_id", "hub"], {"slot": F.lit(1).cast("bigint")})
     return ranked.select("doc_id", "size", "text_crc32", "shard", "slot")
@@ -58,21 +58,23 @@ def _loads(rows: DataFrame, p: Shards) -> list[int]:
     return [held.get(s, 0) for s in range(p.count)]
 
 
-def _moved(linked: DataFrame, fixed: list[int], p: Shards) -> DataFrame:
-    """One round: every linked row wishes itself to the shard that holds most of its text; quotas decide."""
+def _moved(linked: DataFrame, share: float, p: Shards) -> DataFrame:
+    """One round: every linked row wishes itself to the shard that holds most of its text; quotas decide.
+
+    Linked rows may fill a shard up to its even share, as rows without links make room at the end.
+    """
     weights = linked.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
     # ties go by a hash that differs from text to text, so that no shard is the favourite of all
     best = weights.groupBy("hub").agg(F.max(F.struct("w", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
     wish = stored(linked.join(best.select("hub", F.col("best.shard").alias("to")), "hub"), "wishes")
 
-    loads = [a + b for a, b in zip(fixed, _loads(wish, p))]
+    loads = _loads(wish, p)
     flow = {(r["shard"], r["to"]): r["b"] for r in wish.where("shard != to").groupBy("shard", "to").agg(F.sum("size").alias("b")).collect()}
-    room = sum(loads) / p.count * (1 + p.slack)
     quotas = []
     for to in range(p.count):
         swap = {a: min(flow.get((a, to), 0), flow.get((to, a), 0)) for a in range(p.count)}
         more = {a: flow.get((a, to), 0) - swap[a] for a in range(p.count)}
-        free = max(0.0, room - loads[to]) / max(1, sum(more.values()))
+        free = max(0.0, share - loads[to]) / max(1, sum(more.values()))
         quotas += [float(swap[a] + more[a] * min(1.0, free)) for a in range(p.count)]
     quota = F.element_at(F.array(*map(F.lit, quotas)), F.col("to") * p.count + F.col("shard") + 1)
     movers = spread_sums(wish.where("shard != to"), ["shard", "to"], "key", ["doc_id", "hub"], {"before": F.col("size")})
