@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     ids = classes.select("id").distinct()
     rows = worded.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("center"))
+    shared = stored(shared, "shared")  # a join with a table, unlike one with a grouping on its key, can split a hot bucket
     buckets = stored(rows.join(shared, "key").select("key", "id", "n", "center", F.lit(True).alias("apart")).distinct(), "buckets")
 
     ids = buckets.select(F.col("id").alias("doc_id")).distinct()
@@ -162,11 +163,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             .join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
         )
         mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        mixed = stored(mixed, "mixed")
         open_ = stored(open_.join(mixed, "key", "left_semi"), "open")
         if open_.isEmpty():
             break
         parts = open_.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("center"))
         nexts = parts.groupBy("key").agg(F.min(F.struct("c", "center")).alias("least")).select("key", F.col("least.center").alias("center"))
+        nexts = stored(nexts, "centers")
         mine = open_.select("key", F.col("id").alias("center"), F.col("component").alias("own"))
         # members of the center's own component need no test, but stay for later centers
         buckets = stored(open_.join(nexts, "key").join(mine, ["key", "center"]).select("key", "id", "n", "center", (F.col("component") != F.col("own")).alias("apart")), "buckets")

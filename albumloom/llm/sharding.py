@@ -42,6 +42,7 @@ def shard(docs: DataFrame, p: Shards = Shards()) -> DataFrame:
     ).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(p.count)).cast("int"))
     nodes = stored(nodes, "nodes")
     hubs = nodes.where("hub != ''").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub", F.lit(True).alias("linked"))
+    hubs = stored(hubs, "hubs")  # a join with a table, unlike one with a grouping on its key, can split a hot text
     nodes = stored(nodes.join(hubs, "hub", "left").withColumn("linked", F.col("linked").isNotNull()), "nodes")
     alone, linked = nodes.where("NOT linked"), nodes.where("linked")
     share = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / p.count
@@ -66,7 +67,8 @@ def _moved(linked: DataFrame, share: float, p: Shards) -> DataFrame:
     weights = linked.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
     # ties go by a hash that differs from text to text, so that no shard is the favourite of all
     best = weights.groupBy("hub").agg(F.max(F.struct("w", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
-    wish = stored(linked.join(best.select("hub", F.col("best.shard").alias("to")), "hub"), "wishes")
+    best = stored(best.select("hub", F.col("best.shard").alias("to")), "best")
+    wish = stored(linked.join(best, "hub"), "wishes")
 
     loads = _loads(wish, p)
     flow = {(r["shard"], r["to"]): r["b"] for r in wish.where("shard != to").groupBy("shard", "to").agg(F.sum("size").alias("b")).collect()}
