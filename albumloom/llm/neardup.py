@@ -21,13 +21,14 @@ class NearDup:
 
     ``side`` tables in each of two collections, ``depth`` minhashes per table: 2 * side * depth minhashes make
     side ** 2 tables of 2 * depth minhashes. A pair of likeness J meets with (1 - (1 - J ** depth) ** side) ** 2:
-    0.9994 at J = 0.8 and more above.
+    0.9994 at J = 0.8 and more above. ``growth`` is by how many times more members of a bucket are tried each round.
     """
 
     words: int = 5
     least: int = 80
     side: int = 8
     depth: int = 2
+    growth: int = 8
 
 
 #: characters that are held as words at a time
@@ -125,10 +126,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per row.
 
     Words are what no ASCII white space cuts, A-Z lower-cased. Texts of one word sequence are one class under their
-    smallest doc_id; classes that share a table key are candidates. In each bucket every member is held against the
-    smallest id, whole sets against whole sets. Buckets that verified links have not brought into one component go
-    round again: a member of their smallest component is held against all members of others, then leaves. So all
-    candidate pairs are decided, by one pair per member and round, and none that is already connected is tested.
+    smallest doc_id; classes that share a table key are candidates. In each bucket every member is held against a
+    center, whole sets against whole sets; the first center is the member of the fullest buckets. Buckets that the
+    links found have not brought into one component go round again with more centers, those before having left. So
+    every candidate pair is decided or already connected, and none in one component is tested.
 
     Texts without words, and nulls, are linked with nothing. doc_id identifies a document: rows that repeat one are
     in one component; rows without doc_id have no component and are kept. Other columns are not read.
@@ -138,41 +139,37 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     classes = worded.groupBy("same_hi", "same_lo").agg(F.min("doc_id").alias("id"))
     ids = classes.select("id").distinct()
     rows = worded.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("center"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
     shared = stored(shared, "shared")  # a join with a table, unlike one with a grouping on its key, can split a hot bucket
-    buckets = stored(rows.join(shared, "key").select("key", "id", "n", "center", F.lit(True).alias("apart")).distinct(), "buckets")
-
-    ids = buckets.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    members = stored(rows.join(shared, "key").select("key", "id", "n", "c").distinct().withColumn("component", F.col("id")), "members")
+    texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(texts.select(F.col("doc_id").alias("id"), _sets(p)("text").alias("shingles")), "sets")
 
-    links = None
+    # what lies in the fullest buckets is most like the others: the text that copies were edited from
+    crowd = members.groupBy("id").agg(F.sum("c").alias("crowd"))
+    first = members.join(crowd, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("id"))).alias("top"))
+    centers = stored(first.select("key", (-F.col("top.id")).alias("id")), "centers")
+    members, links, step = members.drop("c"), None, 0
     while True:
-        at = buckets.select("key", F.col("id").alias("center"), F.col("n").alias("cn"))
-        pairs = buckets.join(at, ["key", "center"]).where("id != center AND apart").where(
-            F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least
-        )
-        pairs = pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
-        found = _verified(pairs, sets, p.least)
+        at = members.join(centers, ["key", "id"]).select("key", F.col("id").alias("center"), F.col("n").alias("cn"), F.col("component").alias("own"))
+        pairs = members.join(stored(at, "at"), "key").where("component != own").where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
+        found = _verified(pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct(), sets, p.least)
         if links is not None:
             found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
         links = stored(components(found), "components")
-        # peel the centers off; what is still in several components goes round again
-        open_ = (
-            buckets.where("id != center").drop("center", "apart")
-            .join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        )
-        mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        mixed = stored(mixed, "mixed")
-        open_ = stored(open_.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
+        # the centers are decided and leave; what is still in several components goes round again
+        rest = members.drop("component").join(centers, ["key", "id"], "left_anti").join(links, "id", "left")
+        rest = stored(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        members = stored(rest.join(stored(mixed, "mixed"), "key", "left_semi"), "members")
+        if members.isEmpty():
             break
-        parts = open_.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("center"))
-        nexts = parts.groupBy("key").agg(F.min(F.struct("c", "center")).alias("least")).select("key", F.col("least.center").alias("center"))
-        nexts = stored(nexts, "centers")
-        mine = open_.select("key", F.col("id").alias("center"), F.col("component").alias("own"))
-        # members of the center's own component need no test, but stay for later centers
-        buckets = stored(open_.join(nexts, "key").join(mine, ["key", "center"]).select("key", "id", "n", "center", (F.col("component") != F.col("own")).alias("apart")), "buckets")
+        # the next centers: one of the smallest component and of others by hash, eight times as many each round
+        step += 1
+        parts = stored(members.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("id")), "parts")
+        held = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("c", "id")).alias("least"))
+        drawn = F.pmod(F.xxhash64("key", "component", F.lit(step)), F.col("parts")) < p.growth**step
+        centers = stored(parts.join(stored(held, "held"), "key").where((F.col("id") == F.col("least.id")) | drawn).select("key", "id"), "centers")
 
     named = classes.join(links, "id", "left").select("same_hi", "same_lo", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "same_hi", "same_lo").join(named, ["same_hi", "same_lo"], "left")
