@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from albumloom.llm.common import components, stored
+from albumloom.llm.common import components, pinned, stored
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,8 @@ class NearDup:
 
     ``side`` tables in each of two collections, ``depth`` minhashes per table: 2 * side * depth minhashes make
     side ** 2 tables of 2 * depth minhashes. A pair of likeness J meets with (1 - (1 - J ** depth) ** side) ** 2:
-    0.9994 at J = 0.8 and more above. ``growth`` is by how many times more members of a bucket are tried each round.
+    0.9994 at J = 0.8 and more above. ``growth`` is by how many times more members of a bucket are tried each round;
+    buckets of more than ``crowd`` members left after the first round are cut by what tells them from their center.
     """
 
     words: int = 5
@@ -29,6 +30,7 @@ class NearDup:
     side: int = 8
     depth: int = 2
     growth: int = 8
+    crowd: int = 8
 
 
 #: characters that are held as words at a time
@@ -122,14 +124,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * least).select("a", "b")
 
 
+def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(center, id, component) -> key, id, n, component, probe, target: smaller buckets that still hold each link.
+
+    D is the set of shingles that only one of a text and its center has, ordered (not in the center, hash). For a link
+    of x and y at most t = (100 - least) / (100 + least) * (|x| + |y|) shingles lie in one of them alone, and
+    |Dx & Dy| = (|Dx| + |Dy| - that) / 2. If none is shared both are linked with the center. Otherwise the first
+    shared one stands among the first |Dx| - |Dx & Dy| + 1 of Dx, and so for y. With w = (100 - least) / least * |x|,
+    the most that t can be: in the text with the larger D it stands among the first w + 1, in that with the smaller D
+    among the first w / 2 + 1. Where y is linked with the center and x is not, it stands among the first
+    |Dy| - floor((|Dy| - (|y| - |c|) * (100 - least) / (100 + least)) / 2) of Dy. A link needs a probe and a target.
+    """
+    texts = sets.select("id", F.col("shingles").alias("sx"))
+    middles = sets.select(F.col("id").alias("center"), F.col("shingles").alias("sc"))
+    both = crowd.join(texts, "id").join(middles, "center")
+    told = both.select(
+        "center", "id", "component", F.size("sx").alias("n"), F.size("sc").alias("cn"),
+        pinned(F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))).alias("apart"),
+    ).withColumn("d", F.size("apart"))
+    linked = told.withColumn("linked", F.col("d") * (100 + least) <= (F.col("n") + F.col("cn")) * (100 - least))
+    most = F.floor(F.col("n") * (100 - least) / least)
+    near = F.col("d") - F.floor((F.col("d") * (100 + least) - (F.col("n") - F.col("cn")) * (100 - least)) / (2 * (100 + least)))
+    first = F.slice("apart", 1, F.when(F.col("linked"), near).otherwise(most + 1).cast("int"))
+    each = linked.select("center", "id", "n", "component", "linked", most.alias("most"), F.posexplode(first).alias("at", "shingle"))
+    probe = F.col("linked") | (F.col("at") <= F.floor(F.col("most") / 2))
+    return each.select(F.xxhash64("center", "shingle").alias("key"), "id", F.col("n").cast("bigint").alias("n"), "component", probe.alias("probe"), (~F.col("linked")).alias("target"))
+
+
+def _open_keys(members: DataFrame) -> DataFrame:
+    """(key, c) of the buckets that can still hold a link between components."""
+    flags = [F.max(k).alias(k) for k in ("probe", "target")]
+    held = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), *flags)
+    return held.where("lo < hi AND probe AND target").select("key", "c")
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per row.
 
     Words are what no ASCII white space cuts, A-Z lower-cased. Texts of one word sequence are one class under their
     smallest doc_id; classes that share a table key are candidates. In each bucket every member is held against a
     center, whole sets against whole sets; the first center is the member of the fullest buckets. Buckets that the
-    links found have not brought into one component go round again with more centers, those before having left. So
-    every candidate pair is decided or already connected, and none in one component is tested.
+    links found have not brought into one component go round again with more centers, those before having left. Large
+    ones among them are first cut into buckets of those that differ from the center in a like way; that loses no link.
+    So every candidate pair is decided, shown to be no link or already connected, and none in one component is tested.
 
     Texts without words, and nulls, are linked with nothing. doc_id identifies a document: rows that repeat one are
     in one component; rows without doc_id have no component and are kept. Other columns are not read.
@@ -142,6 +179,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
     shared = stored(shared, "shared")  # a join with a table, unlike one with a grouping on its key, can split a hot bucket
     members = stored(rows.join(shared, "key").select("key", "id", "n", "c").distinct().withColumn("component", F.col("id")), "members")
+    members = members.withColumn("probe", F.lit(True)).withColumn("target", F.lit(True))
     texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(texts.select(F.col("doc_id").alias("id"), _sets(p)("text").alias("shingles")), "sets")
 
@@ -151,8 +189,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     centers = stored(first.select("key", (-F.col("top.id")).alias("id")), "centers")
     members, links, step = members.drop("c"), None, 0
     while True:
-        at = members.join(centers, ["key", "id"]).select("key", F.col("id").alias("center"), F.col("n").alias("cn"), F.col("component").alias("own"))
-        pairs = members.join(stored(at, "at"), "key").where("component != own").where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
+        named = {"id": "center", "n": "cn", "component": "own", "probe": "asks", "target": "answers"}
+        at = members.join(centers, ["key", "id"]).select("key", *[F.col(k).alias(v) for k, v in named.items()])
+        pairs = members.join(stored(at, "at"), "key").where("component != own AND (probe AND answers OR target AND asks)")
+        pairs = pairs.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
         found = _verified(pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct(), sets, p.least)
         if links is not None:
             found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
@@ -160,8 +200,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         # the centers are decided and leave; what is still in several components goes round again
         rest = members.drop("component").join(centers, ["key", "id"], "left_anti").join(links, "id", "left")
         rest = stored(rest.withColumn("component", F.coalesce("component", "id")), "rest")
-        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        members = stored(rest.join(stored(mixed, "mixed"), "key", "left_semi"), "members")
+        members = stored(rest.join(stored(_open_keys(rest), "open"), "key"), "members")
+        if step == 0:
+            own = members.where(F.col("c") > p.crowd).select("key", "id", "component").join(centers.select("key", F.col("id").alias("center")), "key")
+            cut = stored(_narrowed(own.select("center", "id", "component").distinct(), sets, p.least), "narrowed")
+            cut = cut.join(stored(_open_keys(cut), "open"), "key")
+            members = stored(members.where(F.col("c") <= p.crowd).unionByName(cut), "members")
+        members = members.drop("c")
         if members.isEmpty():
             break
         # the next centers: one of the smallest component and of others by hash, eight times as many each round
