@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(center, id, component) -> key, id, n, component, probe, target: smaller buckets that still hold each link.
+    """(center, id, component) -> key, id, n, component, probe, target, at, d: smaller buckets that hold each link.
 
     D is the set of shingles that only one of a text and its center has, ordered (not in the center, hash). For a link
     of x and y at most t = (100 - least) / (100 + least) * (|x| + |y|) shingles lie in one of them alone, and
@@ -133,7 +133,8 @@ def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     shared one stands among the first |Dx| - |Dx & Dy| + 1 of Dx, and so for y. With w = (100 - least) / least * |x|,
     the most that t can be: in the text with the larger D it stands among the first w + 1, in that with the smaller D
     among the first w / 2 + 1. Where y is linked with the center and x is not, it stands among the first
-    |Dy| - floor((|Dy| - (|y| - |c|) * (100 - least) / (100 + least)) / 2) of Dy. A link needs a probe and a target.
+    |Dy| - floor((|Dy| - (|y| - |c|) * (100 - least) / (100 + least)) / 2) of Dy. A link needs a probe and a target. ``at`` is the place, from 0, and ``d`` is |D|: for two texts, what stands
+    from the first shared one on in each must be at least |Dx & Dy|.
     """
     texts = sets.select("id", F.col("shingles").alias("sx"))
     middles = sets.select(F.col("id").alias("center"), F.col("shingles").alias("sc"))
@@ -146,9 +147,10 @@ def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     most = F.floor(F.col("n") * (100 - least) / least)
     near = F.col("d") - F.floor((F.col("d") * (100 + least) - (F.col("n") - F.col("cn")) * (100 - least)) / (2 * (100 + least)))
     first = F.slice("apart", 1, F.when(F.col("linked"), near).otherwise(most + 1).cast("int"))
-    each = linked.select("center", "id", "n", "component", "linked", most.alias("most"), F.posexplode(first).alias("at", "shingle"))
+    each = linked.select("center", "id", "n", "component", "linked", "d", most.alias("most"), F.posexplode(first).alias("at", "shingle"))
     probe = F.col("linked") | (F.col("at") <= F.floor(F.col("most") / 2))
-    return each.select(F.xxhash64("center", "shingle").alias("key"), "id", F.col("n").cast("bigint").alias("n"), "component", probe.alias("probe"), (~F.col("linked")).alias("target"))
+    flags = [probe.alias("probe"), (~F.col("linked")).alias("target")]
+    return each.select(F.xxhash64("center", "shingle").alias("key"), "id", F.col("n").cast("bigint").alias("n"), "component", *flags, "at", "d")
 
 
 def _open_keys(members: DataFrame) -> DataFrame:
@@ -179,7 +181,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
     shared = stored(shared, "shared")  # a join with a table, unlike one with a grouping on its key, can split a hot bucket
     members = stored(rows.join(shared, "key").select("key", "id", "n", "c").distinct().withColumn("component", F.col("id")), "members")
-    members = members.withColumn("probe", F.lit(True)).withColumn("target", F.lit(True))
+    members = members.withColumns({"probe": F.lit(True), "target": F.lit(True), "at": F.lit(0), "d": F.lit(0)})
     texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(texts.select(F.col("doc_id").alias("id"), _sets(p)("text").alias("shingles")), "sets")
 
@@ -189,16 +191,20 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     centers = stored(first.select("key", (-F.col("top.id")).alias("id")), "centers")
     members, links, step = members.drop("c"), None, 0
     while True:
-        named = {"id": "center", "n": "cn", "component": "own", "probe": "asks", "target": "answers"}
-        at = members.join(centers, ["key", "id"]).select("key", *[F.col(k).alias(v) for k, v in named.items()])
-        pairs = members.join(stored(at, "at"), "key").where("component != own AND (probe AND answers OR target AND asks)")
-        pairs = pairs.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
+        named = {"id": "center", "n": "cn", "component": "own", "probe": "asks", "target": "answers", "at": "ca", "d": "cd"}
+        marked = stored(members.join(centers.withColumn("chosen", F.lit(True)), ["key", "id"], "left"), "marked")
+        at = marked.where("chosen").select("key", *[F.col(k).alias(v) for k, v in named.items()])
+        # two centers of a bucket meet once
+        pairs = marked.join(at, "key").where("component != own AND (probe AND answers OR target AND asks) AND (chosen IS NULL OR id > center)")
+        apart = (F.col("n") + F.col("cn")) * (100 - p.least)
+        lag = F.greatest(2 * F.col("at") + F.col("cd") - F.col("d"), 2 * F.col("ca") + F.col("d") - F.col("cd"))
+        pairs = pairs.where(lag * (100 + p.least) <= apart).where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
         found = _verified(pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct(), sets, p.least)
         if links is not None:
             found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
         links = stored(components(found), "components")
         # the centers are decided and leave; what is still in several components goes round again
-        rest = members.drop("component").join(centers, ["key", "id"], "left_anti").join(links, "id", "left")
+        rest = marked.where("chosen IS NULL").drop("component", "chosen").join(links, "id", "left")
         rest = stored(rest.withColumn("component", F.coalesce("component", "id")), "rest")
         members = stored(rest.join(stored(_open_keys(rest), "open"), "key"), "members")
         if step == 0:
