@@ -106,7 +106,7 @@ def admin_text(city: Column, district: Column, township: Column, p: Placing = Pl
 def place_for_naming(strong: Column, text: Column, p: Placing = Placing()) -> Column:
     """Place given to the naming step: a strong place without the home prefix, a weak one only away from home."""
     home = F.lit(p.home_city)
-    short = F.trim(F.substring(strong, len(p.home_city) + 1, 10000))
+    short = F.trim(F.substr(strong, F.lit(len(p.home_city) + 1)))
     strong_text = F.when(F.startswith(strong, home) & (short != ""), short).otherwise(strong)
     return F.when(F.coalesce(strong, F.lit("")) != "", strong_text).when(
         (F.coalesce(text, F.lit("")) != "") & ~F.startswith(text, home), text

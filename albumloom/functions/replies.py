@@ -64,7 +64,9 @@ def _objects_in(texts: pd.Series) -> pd.Series:
                 value, at = json.JSONDecoder().raw_decode(s, at)
             except json.JSONDecodeError:
                 return found
-            found += [json.dumps(x, ensure_ascii=False) for x in (value if isinstance(value, list) else [value])]
+            # objects and members of lists; a scalar between them is no item
+            items = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
+            found += [json.dumps(x, ensure_ascii=False) for x in items]
 
     return texts.map(read)
 

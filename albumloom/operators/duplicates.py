@@ -122,12 +122,12 @@ def dropped(grouped: DataFrame) -> DataFrame:
 def is_trash(p: Chunking = Chunking(), readable: Column | None = None, keep_all: bool = False) -> Column:
     """First failing metadata rule of a photo, null when it passes."""
     size, w, h = F.col("size_bytes"), F.col("width"), F.col("height")
-    rule = F.when(~readable, "unreadable") if readable is not None else F.when(F.lit(False), "")
+    unreadable = ~readable if readable is not None else w.isNull() | h.isNull()
     if keep_all:
-        return rule
+        return F.when(unreadable, "unreadable")
     return (
         F.when(size < p.min_size_bytes, "size_too_small")
-        .when(~readable if readable is not None else w.isNull() | h.isNull(), "unreadable")
+        .when(unreadable, "unreadable")
         .when((w < p.min_side_px) | (h < p.min_side_px), "resolution_too_low")
         .when(F.greatest(w, h) / F.least(w, h) > p.max_aspect, "extreme_aspect_ratio")
     )

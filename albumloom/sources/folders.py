@@ -13,7 +13,7 @@ EVENT = r"^(\d{4}-\d{2}-\d{2})-(.+)$"
 
 
 def _below(path: Column, root: str, level: int) -> Column:
-    return F.get(F.split(F.substring(path, len(root) + 2, 10000), "/"), F.lit(level))
+    return F.get(F.split(F.substr(path, F.lit(len(root) + 2)), "/"), F.lit(level))
 
 
 def event_photos(files: DataFrame, root: str) -> DataFrame:

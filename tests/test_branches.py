@@ -46,6 +46,8 @@ def test_trash(spark):
     rows = [(100, 900, 900), (40000, 300, 900), (40000, 500, 1501), (40000, 500, 1500), (40000, None, 900)]
     got = one(spark, rows, "size_bytes bigint, width int, height int", duplicates.is_trash())
     assert got == ["size_too_small", "resolution_too_low", "extreme_aspect_ratio", None, "unreadable"]
+    got = one(spark, rows, "size_bytes bigint, width int, height int", duplicates.is_trash(keep_all=True))
+    assert got == [None, None, None, None, "unreadable"]
 
 
 @pytest.mark.parametrize("url,ok", [("", True), ("https://x", True), ("http://10.0.0.1:80/a", True), ("http://10.999.0.1", False), ("http://172.32.0.1", False), ("http://172.31.0.1", True), ("http://h.example", False), ("ftp://x", False), ("https://", False)])
@@ -58,6 +60,7 @@ def test_reply_shapes(spark):
     shapes = {
         f"[{a}, {b}]": ["a", "b"], f"```json\n[{a}]\n```": ["a"], f'{{"results": [{a}]}}': ["a"], a: ["a"], f"{a}\n{b}": ["a", "b"], f"{a}{b}": ["a", "b"], f"{a}, {b}": ["a", "b"],
         f"[{a}, {b[:-3]}": ["a"], "[]": [], "none": [], "": [], '[{"event_name": "x"}]': [], f'{{"photos": [{b}]}}': ["b"], '{"photos": ["p"], "event_name": "x"}': [],
+        '5 {"event_name": "x"} {"photo_id": "a"}': [], f"5 {a}": ["a"],
     }
     df = spark.createDataFrame([(str(i), r) for i, r in enumerate(shapes)], "k string, reply string")
     got = {}
