@@ -109,9 +109,9 @@ def log_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("AGG-16", sql=with_(DECISIONS, body="""SELECT *, round(archived / nullif(in_pipeline, 0)::DOUBLE, 6) AS rate_in_pipeline, round(archived / nullif(scanned, 0)::DOUBLE, 6) AS rate_scanned,
    CASE level WHEN 'A' THEN archived / in_pipeline::DOUBLE BETWEEN 0.2 AND 0.45 WHEN 'B' THEN archived / in_pipeline::DOUBLE BETWEEN 0.5 AND 0.8 ELSE archived / in_pipeline::DOUBLE BETWEEN 0.99 AND 1 END AS within_band
-  FROM (SELECT CASE model WHEN 'D' THEN 'A' WHEN 'A' THEN 'B' ELSE model END AS level, model, count(*) FILTER (decision = 'keep') AS archived, count(*) AS in_pipeline, (SELECT count(*) FROM documents) AS scanned FROM decisions WHERE model <> 'B' GROUP BY model)"""))
+  FROM (SELECT CASE model WHEN 'D' THEN 'A' WHEN 'A' THEN 'B' ELSE model END AS level, model, count(*) FILTER (decision = 'keep') AS archived, count(*) AS in_pipeline, (SELECT count(*) FROM documents) AS scanned FROM decisions GROUP BY model)"""))
 def extraction_rates(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.decisions(spark, sf).where("model != 'B'")
+    d = views.decisions(spark, sf)
     level = F.when(F.col("model") == "D", "A").when(F.col("model") == "A", "B").otherwise(F.col("model"))
     per = d.groupBy(level.alias("level"), "model").agg(F.count_if(F.col("decision") == "keep").alias("archived"), F.count("*").alias("in_pipeline"))
     scanned = views.table(spark, sf, "documents").agg(F.count("*")).scalar()
