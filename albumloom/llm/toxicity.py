@@ -20,7 +20,9 @@ from albumloom.llm.common import hash_sample, held_out
 class Fit:
     """What is learned from, at most: ``rows`` documents of each label, none of over ``longest`` characters.
 
-    Both dictionaries end in the same ``base`` bytes of ordinary text; ``own`` bytes before that are trained apart.
+    Both dictionaries end in the same ``base`` bytes of ordinary text; ``own`` bytes before that are trained apart, each
+    on stretches of strings of ``gram`` bytes that more of its label's documents have than of the other's, by ``gap``
+    standard errors.
     """
 
     rows: int = 4000
@@ -29,17 +31,24 @@ class Fit:
     base: int = 65_536
     own: int = 2048
     segment: int = 16
-    rounds: int = 5
-    keep: float = 0.97
-    level: int = 6
+    gram: int = 6
+    gap: float = 5.0
+    level: int = 12
     cuts: tuple[int, ...] = (1, 2, 3, 4, 5, 6)
 
 
+#: strings of bytes are counted in 2 ** SLOTS counters by their hash
+SLOTS = 22
+
+
+def flat(text: str | None) -> bytes:
+    """A text as bytes after a space, A-Z lower-cased."""
+    return b" " + text.encode("utf-8", "surrogatepass").lower() if text else b""
+
+
 def windows(text: str | None, size: int) -> list[bytes]:
     """A text, A-Z lower-cased, in pieces of ``size`` bytes, each drawn out to the end of its word (64 bytes at most)."""
-    if not text:
-        return []
-    return re.findall(rb"[\s\S]{%d}\S{0,64}|[\s\S]+" % size, b" " + text.encode("utf-8", "surrogatepass").lower())
+    return re.findall(rb"[\s\S]{%d}\S{0,64}|[\s\S]+" % size, flat(text))
 
 
 def lengths(dictionary: bytes, level: int) -> Callable[[list[bytes]], np.ndarray]:
@@ -58,23 +67,42 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def distilled(texts: list[str], base: bytes, fit: Fit) -> bytes:
-    """Dictionary of what recurs among the texts beyond the base.
+def grams(text: bytes, size: int) -> np.ndarray:
+    """Counter of the string of ``size`` bytes at each place."""
+    h = np.zeros(max(0, len(text) - size + 1), np.uint64)
+    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+    for i in range(size):
+        h = h * np.uint64(257) + raw[i : i + len(h)]
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
-    Each half of the texts is compressed with a dictionary of the other half; the windows that gain most over the base
-    alone train the next dictionary of their half. What only one text has gains nothing.
-    """
-    halves = [[w for t in texts[i::2] for w in windows(t, fit.window)] for i in (0, 1)]
-    alone = [lengths(base, fit.level)(h) for h in halves]
-    best = halves
-    for step in range(fit.rounds):
-        gains = []
-        for i in (0, 1):
-            own = trained(best[1 - i], fit.base if step == 0 else fit.own, fit.segment)
-            gains.append(alone[i] - lengths(own + base, fit.level)(halves[i]))
-        marks = [max(2.0, np.quantile(g, fit.keep)) if len(g) else 2.0 for g in gains]
-        best = [[w for w, x in zip(h, g) if x >= m] for h, g, m in zip(halves, gains, marks)]
-    return trained(best[0] + best[1], fit.own, fit.segment)
+
+def spread(texts: list[str], size: int) -> np.ndarray:
+    """Share of the texts that have a string, for each counter."""
+    seen = np.zeros(1 << SLOTS, np.int32)
+    for t in texts:
+        seen[np.unique(grams(flat(t), size))] += 1
+    return seen / len(texts)
+
+
+def marked(texts: list[str], marks: np.ndarray, size: int) -> list[bytes]:
+    """The stretches of the texts that strings with a mark cover, touching ones in one; of 8 bytes, which zstandard asks for, where they are shorter."""
+    out = []
+    for text in map(flat, texts):
+        at = np.flatnonzero(marks[grams(text, size)])
+        if len(at):
+            ends = np.flatnonzero(np.diff(at) > size)
+            out += [text[i : max(j + size, i + 8)] for i, j in zip(at[np.r_[0, ends + 1]], at[np.r_[ends, len(at) - 1]])]
+    return out
+
+
+def told_apart(toxic: list[str], ordinary: list[str], fit: Fit) -> tuple[bytes, bytes]:
+    """A dictionary of each: of the stretches that more documents of the one than of the other have."""
+    x, y = spread(toxic, fit.gram), spread(ordinary, fit.gram)
+    n, m = len(toxic), len(ordinary)
+    both = (x * n + y * m) / (n + m)
+    gap = (x - y) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / m))
+    mine, theirs = marked(toxic, gap > fit.gap, fit.gram), marked(ordinary, gap < -fit.gap, fit.gram)
+    return trained(mine, fit.own, fit.segment), trained(theirs, fit.own, fit.segment)
 
 
 @dataclass
@@ -129,18 +157,17 @@ def fit_model(toxic: list[str], ordinary: list[str], share: float, fit: Fit = Fi
     Without texts of both labels, the score is the share of toxic labels throughout.
     """
     d = len(fit.cuts) + 2
-    flat = Model(fit, b" " * 8, b" " * 8, np.zeros(d), np.ones(d), np.array([*[0.0] * d, np.log(max(share, 1e-4) / max(1 - share, 1e-4))]))
+    level = Model(fit, b" " * 8, b" " * 8, np.zeros(d), np.ones(d), np.array([*[0.0] * d, np.log(max(share, 1e-4) / max(1 - share, 1e-4))]))
     if len(toxic) < 2 or len(ordinary) < 4:
-        return flat
-    n = max(1, len(toxic) * 4 // 5)
-    m = max(2, min(2 * n, len(ordinary) * 3 // 5))
-    base = trained([w for t in ordinary[: m // 2] for w in windows(t, fit.window)], fit.base, fit.segment)
-    mine, theirs = distilled(toxic[:n], base, fit), distilled(ordinary[m // 2 : m], base, fit)
+        return level
+    n, m = max(1, len(toxic) * 4 // 5), len(ordinary) * 4 // 5
+    base = trained([w for t in ordinary[: min(m, n)] for w in windows(t, fit.window)], fit.base, fit.segment)
+    mine, theirs = told_apart(toxic[:n], ordinary[:m], fit)
     model = Model(fit, theirs + base, mine + base, np.zeros(d), np.ones(d), np.zeros(d + 1))
     x = np.array([model.summary(t) for t in toxic[n:] + ordinary[m:]])
     y = np.array([1.0] * len(toxic[n:]) + [0.0] * len(ordinary[m:]))
     if y.min() == y.max():
-        return flat
+        return level
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-6
     model.weights = _logistic((x - model.mean) / model.spread, y, weight)
