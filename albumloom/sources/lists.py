@@ -62,17 +62,21 @@ def removal_text(entries: DataFrame) -> DataFrame:
     return head.unionByName(entries.select(F.concat("name", F.lit("|"), F.col("epoch").cast("string")).alias("line")))
 
 
-def write_removal_list(entries: DataFrame, path: str, one_file_rows: int = 1_000_000) -> None:
-    """Header, then the entries by name and time; written even when there are none.
+def write_removal_list(entries: DataFrame, path: str, parts: int | None = None) -> None:
+    """The entries by name and time in files of ascending ranges, each under its own header, so each is a list by itself.
 
-    A phone's list is one file. Beyond ``one_file_rows`` entries it becomes a sorted set of files, so no task
-    ever writes more than its range; the header then stands in the first one only.
+    ``parts`` is the number of files at most, 1 for a phone; else Spark chooses it by size. Without entries there is
+    one file with the header alone.
     """
-    small = entries.limit(one_file_rows + 1).count() <= one_file_rows
     rows = entries.select(F.lit(1).alias("k"), "name", "epoch").unionByName(
         entries.sparkSession.createDataFrame([(0, "", 0)], "k int, name string, epoch bigint")
     )
     order = ["k", "name", "epoch"]
-    rows = rows.repartition(1).sortWithinPartitions(*order) if small else rows.orderBy(*order)
-    line = F.when(F.col("k") == 0, HEADER + TIME_MODE).otherwise(F.concat("name", F.lit("|"), F.col("epoch").cast("string")))
-    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+    rows = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    # the row number inside a part is what the lower 33 bits hold
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    head = F.lit(HEADER + TIME_MODE)
+    line = F.concat("name", F.lit("|"), F.col("epoch").cast("string"))
+    lines = rows.select("k", line.alias("line"), first.alias("first"))
+    held = F.when(F.col("k") == 0, F.array(head)).when(F.col("first"), F.array(head, "line")).otherwise(F.array("line"))
+    lines.select(F.explode(held).alias("value")).write.mode("overwrite").text(path)

@@ -24,15 +24,21 @@ def test_library_scan(spark, tmp_path):
     assert {r["size"] for r in rows} == {3}
 
 
-def test_removal_list_round_trip(spark, tmp_path):
-    entries = spark.createDataFrame([("b.jpg", 5), ("a.jpg", -1)], "name string, epoch bigint")
-    for limit in (10, 1):
-        out = str(tmp_path / f"l{limit}")
-        lists.write_removal_list(entries, out, one_file_rows=limit)
-        lines = lists.read_lines(spark, out)
-        assert {(r["name"], r["value"]) for r in lists.list_entries(lines).collect()} == {("b.jpg", 5), ("a.jpg", -1)}
-    text = "".join(p.read_text() for p in sorted((tmp_path / "l10").glob("part*")))
-    assert text.split() == ["#MATCH_MODE=DATETIME", "a.jpg|-1", "b.jpg|5"]
+@pytest.mark.parametrize("parts", [1, 3, None])
+def test_removal_list_round_trip(spark, tmp_path, parts):
+    """Every part is read in the mode it was written in, whatever value its first entry has."""
+    rows = [("b.jpg", 5), ("a.jpg", -1), ("c.jpg", -1), ("d.jpg", -1), ("e.jpg", 7), ("f.jpg", -1)]
+    for n, some in enumerate((rows, [])):
+        out = tmp_path / f"l{n}"
+        lists.write_removal_list(spark.createDataFrame(some, "name string, epoch bigint"), str(out), parts)
+        lines = lists.read_lines(spark, str(out))
+        assert {(r["name"], r["value"]) for r in lists.list_entries(lines).collect()} == set(some)
+        assert {(r["name"], r["mode"], r["taken_ms"], r["size"]) for r in lists.parsed_list(lines).collect()} == {(k, "DATETIME", max(v * 1000, -1), -1) for k, v in some}
+        texts = [t.split() for p in sorted(out.glob("part*")) if (t := p.read_text())]
+        assert all(t[0] == "#MATCH_MODE=DATETIME" for t in texts) and texts
+        assert [x for t in texts for x in t[1:]] == [f"{k}|{v}" for k, v in sorted(some)]
+        if parts == 3 and some:
+            assert len(texts) > 1
 
 
 def test_nested_document(spark, tmp_path):
