@@ -89,7 +89,7 @@ def reason_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("AGG-21", sql=with_(DECISIONS, body=words_sql("(SELECT d.model, d.decision, lower(text) AS body FROM decisions d JOIN documents USING (doc_id))", "[a-z]{2,}")).replace("rank FROM", "rank::INT AS rank FROM", 1))
 def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    text = views.spread(views.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("body"))
+    text = views.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", F.lower("text").alias("body"))
     return compare.keywords(compare.document_word_counts(views.decisions(spark, sf), text, F.regexp_extract_all("body", F.lit("[a-z]{2,}"), F.lit(0)), "doc_id"))
 
 

@@ -9,7 +9,7 @@ from albumloom.functions import names, rules, secrets, times
 from albumloom.operators import files
 from albumloom.plans.oracle import CALLS, DECISIONS, PHOTOS, with_
 from albumloom.plans.registry import query
-from albumloom.plans.views import calls, decisions, photos, spread, table
+from albumloom.plans.views import calls, decisions, photos, table
 
 
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +151,7 @@ def secret_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("me@example.com AKIDabcdefghij12"),
     ]
     name = F.concat(F.lit("d"), i, F.when(i % 9 == 0, ".enc").otherwise(".txt"))
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", name.alias("name"), F.concat("text", F.lit(" "), F.element_at(F.array(*tails), (i % 6 + 1).cast("int"))).alias("body"))
+    return table(spark, sf, "documents").select("doc_id", "text").select("doc_id", name.alias("name"), F.concat("text", F.lit(" "), F.element_at(F.array(*tails), (i % 6 + 1).cast("int"))).alias("body"))
 
 
 def _secret_sql() -> str:
@@ -239,7 +239,7 @@ def folder_names(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(f("yyyy"), F.lit("年"), m, F.lit("月")), F.concat(f("yy"), F.lit("年")), F.concat(F.lit("trip"), i), F.concat(f("yyyy"), F.lit("-13-"), f("dd")),
         F.concat(f("yyyy"), F.lit("年13月40日")), F.concat(i % 100, F.lit("-"), f("MM-dd")),
     ]
-    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", d.cast("date").alias("d"), F.element_at(F.array(*pick), (i % 15 + 1).cast("int")).alias("name"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").select("o_orderkey", d.cast("date").alias("d"), F.element_at(F.array(*pick), (i % 15 + 1).cast("int")).alias("name"))
 
 
 @query("SCL-1", sql=with_(FOLDERS, body=f"SELECT o_orderkey, name, ({FOLDER_DATE_SQL})::VARCHAR AS folder_date FROM folders"))
@@ -296,7 +296,7 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("Screenshot_"), f("yyyy_MM_dd"), F.lit(".png")), F.concat(F.lit("img-59581225"), i, F.lit(".jpg")),
         F.concat(F.lit("P"), F.substring(F.lit("123456789ABC"), F.month(d), F.lit(1)), f("dd"), F.lit("77.JPG")), F.concat(F.lit("DSC"), i, F.lit(".jpg")), F.concat(F.lit("PB31"), i, F.lit(".jpg")),
     ]
-    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", s.alias("s"), d.cast("date").alias("d"), F.element_at(F.array(*pick), (i % 9 + 1).cast("int")).alias("filename"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").select("o_orderkey", s.alias("s"), d.cast("date").alias("d"), F.element_at(F.array(*pick), (i % 9 + 1).cast("int")).alias("filename"))
 
 
 NAME_TIME_SQL = """CASE o_orderkey % 9 WHEN 0 THEN s WHEN 1 THEN s

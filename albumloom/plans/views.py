@@ -13,12 +13,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of fewer splits than cores over all cores; a table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def epoch_seconds(ts: str) -> Column:
     return seconds_of(F.col(ts))
 
@@ -34,7 +28,7 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
     hashes = vectors.select(F.col("vec_id").alias("slot"), median_bits(F.col("embedding")).alias("h")).select("slot", "h.*")
     shot = F.expr("event_id div 4")
     suffix = F.element_at(F.array(F.lit(""), F.lit("_resized"), F.lit("_1"), F.lit(" copy")), (F.col("event_id") % 4 + 1).cast("int"))
-    base = spread(table(spark, sf, "events").withColumn("k", json_k()).drop("props")).select(
+    base = table(spark, sf, "events").withColumn("k", json_k()).drop("props").select(
         F.col("event_id").alias("photo_id"),
         F.col("user_id").alias("owner"),
         epoch_seconds("ts").alias("t"),
@@ -151,7 +145,7 @@ def events_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files below the event folders, one per order, plus manifests and stray names."""
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     folder = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("-"), F.substring("o_orderpriority", 3, 20))
     stray = F.when(F.col("o_orderkey") % 41 == 0, F.lit("misc")).when(F.col("o_orderkey") % 43 == 0, F.lit("_FAILED_FOR_MANUAL_REVIEW")).otherwise(folder)
     name = F.when(F.col("o_orderkey") % 19 == 0, F.concat(F.lit("note_"), "o_orderkey", F.lit(".txt"))).otherwise(F.concat(F.lit("IMG_"), F.col("o_custkey") % 50, F.lit(".JPG")))
@@ -371,7 +365,7 @@ def stage_logs(spark: SparkSession, sf: str) -> DataFrame:
         .when(k < 90, F.concat(F.lit("["), count, F.lit("] 1.2 req/s, ETA 3.4min")))
         .otherwise(F.concat(F.lit("plain "), i))
     )
-    e = spread(table(spark, sf, "events").select("user_id", "event_id", json_k().alias("k")))
+    e = table(spark, sf, "events").select("user_id", "event_id", json_k().alias("k"))
     return held(e, "line", line).select(F.col("user_id").alias("run"), i.alias("at"), "line", "k")
 
 
