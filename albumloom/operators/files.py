@@ -23,14 +23,18 @@ def skipped_dir() -> str:
     return rf"/(\.[^/]*|{names})/"
 
 
-def in_library(path: Column) -> Column:
+def in_library(path: Column, root: Column) -> Column:
+    """Whether it is a picture in no skipped folder; folders above and of the root itself do not count."""
     name = basename(path)
-    return name.rlike(PICTURE_ENDING) & ~name.rlike(WALLPAPER) & ~path.rlike(skipped_dir())
+    top = F.concat(F.regexp_replace(clean_path(root), "/+$", ""), F.lit("/"))
+    rest = F.when(F.startswith(path, top), F.substring(path, F.length(top), F.length(path))).otherwise(path)
+    return name.rlike(PICTURE_ENDING) & ~name.rlike(WALLPAPER) & ~rest.rlike(skipped_dir())
 
 
 def library_files(files: DataFrame) -> DataFrame:
-    """Files (path, mtime, size) of all roots -> library pictures, one row per real path."""
-    kept = files.withColumn("path", clean_path(F.col("path"))).where(in_library(F.col("path")))
+    """Files (path, mtime, size and, where known, the root they were found under) -> library pictures, one row per real path."""
+    root = F.col("root") if "root" in files.columns else F.lit("")
+    kept = files.withColumn("path", clean_path(F.col("path"))).where(in_library(F.col("path"), root))
     return kept.groupBy("path").agg(F.min_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("f")).select("path", "f.mtime", "f.size")
 
 

@@ -11,11 +11,12 @@ from albumloom.operators.files import library_files
 
 
 def list_files(spark: SparkSession, roots: str) -> DataFrame:
-    """(path, mtime, size) of all files below ``;``-separated roots; file contents are never read."""
+    """(path, mtime, size, root) of all files below ``;``-separated roots; file contents are never read."""
     def one(root: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         return found.select(
-            F.regexp_replace("path", "^file:/*", "/").alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size")
+            F.regexp_replace("path", "^file:/*", "/").alias("path"), F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size"),
+            F.regexp_replace(F.lit(root), "^file:/*", "/").alias("root"),
         )
 
     parts = [r.strip() for r in roots.split(";") if r.strip()]

@@ -24,6 +24,15 @@ def test_library_scan(spark, tmp_path):
     assert {r["size"] for r in rows} == {3}
 
 
+def test_scan_below_a_dot_folder(spark, tmp_path):
+    for p in (".photos/x.jpg", ".photos/@eaDir/y.jpg", ".photos/in/z.png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"123")
+    for root in (f"{tmp_path}/.photos", f"{tmp_path}//.photos/", f"file:{tmp_path}/.photos"):
+        rows = library.scan_library(spark, root).collect()
+        assert sorted(os.path.relpath(r["path"], tmp_path) for r in rows) == [".photos/in/z.png", ".photos/x.jpg"]
+
+
 @pytest.mark.parametrize("parts", [1, 3, None])
 def test_removal_list_round_trip(spark, tmp_path, parts):
     """Every part is read in the mode it was written in, whatever value its first entry has."""
