@@ -11,8 +11,6 @@ from albumloom.llm.common import SLICES, partitions, pinned
 TOKEN = r"\S{1,16}"
 #: words of a k-mer; its inner substrings are the pairs of neighbouring words
 K = 5
-#: anchors that a fingerprint keeps, those of smallest hash
-KEPT = 64
 _NO_ID = -(2**63)
 
 
@@ -38,11 +36,11 @@ def _with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the sorted smallest distinct anchors of ``text``; texts without one have the hash of all their words."""
+    """Adds all distinct anchors of ``text``, sorted; texts without one have the hash of all their words."""
     df = _with_anchors(df, text, "_a")
     df = df.withColumn("_a", pinned(F.sort_array(F.array_distinct(F.array_compact("_a")))))
     whole = F.when(F.col("_n") > 0, F.array("_all")).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.when(F.size("_a") > 0, F.slice("_a", 1, KEPT)).otherwise(whole)).drop("_a", "_n", "_all")
+    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(whole)).drop("_a", "_n", "_all")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -52,10 +50,9 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest anchors of both that are in both: estimates the overlap of the anchor sets; 1 if equal."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / F.greatest(F.size(union), F.lit(1)))
+    """Anchors in both sets as a share of those in either; 1 if equal."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)))
 
 
 def as_text(anchors_: Column) -> Column:
@@ -70,6 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     are quantiles that occur as ids; the top document of a slice is also sent to the slice above it, so that every
     document finds its next one in its own slice and each text is shuffled once.
 
+    A fingerprint holds every anchor of its text, so a passage in two texts shows in both, whatever their length.
     Null texts count as empty, whose fingerprint is empty. Null ids come last. Rows that repeat an id follow one
     another in text order. Other columns are not read; an empty table gives no rows.
     """
@@ -91,8 +89,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = F.col("_block") * step + F.col("_slot")
     above = F.when(F.element_at("_inside", F.col("_slot") + 1) == F.col("oid"), (own + 1) % len(bounds))
     full = full.withColumn("_at", F.array(F.struct(F.lit(0).alias("visit"), own.alias("slice")), F.struct(F.lit(1).alias("visit"), above.alias("slice"))))
-    full = with_fingerprint(full.select("doc_id", "oid", "text", "_at"), "text", "fp")
-    dealt = full.select("doc_id", "oid", "text", "fp", F.explode("_at").alias("at")).select("doc_id", "oid", "text", "fp", "at.*").where("slice IS NOT NULL")
+    dealt = full.select("doc_id", "oid", "text", F.explode("_at").alias("at")).select("doc_id", "oid", "text", "at.*").where("slice IS NOT NULL")
+    # fingerprints grow with the text, so they are made where the slices are and not shuffled
+    dealt = with_fingerprint(dealt.repartition("slice"), "text", "fp")
 
     down = Window.partitionBy("slice").orderBy("visit", F.desc("oid"), "text")
     both = dealt.withColumn("next_text", F.lead("text").over(down)).withColumn("next_fp", F.lead("fp").over(down)).where("visit = 0")

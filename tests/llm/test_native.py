@@ -165,6 +165,22 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
     assert set(got[1]) == {i for i in range(len(tokens) - 4) if min(g[i : i + 4]) in (g[i], g[i + 3])}
 
 
+def test_short_passage_shows_in_long_texts(spark):
+    passage = " ".join(f"p{i * 7919 % 1000}" for i in range(60))
+    a, b = ([f"{side}{i}" for i in range(10_000)] for side in "ab")
+    rows = [(2, " ".join(a[:700] + [passage] + a[700:])), (1, " ".join(b[:9000] + [passage] + b[9000:])), (0, passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs).collect()}
+    held = {d: set(re.findall(".{10}", r["fingerprint"])) for d, r in got.items()}
+    all_ = defaultdict(set)
+    for r in syncmers.anchors(docs).collect():
+        all_[r["doc_id"]].add(f"{(r['anchor'] % 2**64) >> 24:010X}")
+    assert held == dict(all_)
+    assert held[0] <= held[1] & held[2] and len(held[0]) > 10
+    for doc, after in ((2, 1), (1, 0)):
+        assert got[doc]["near_next"] == pytest.approx(len(held[doc] & held[after]) / len(held[doc] | held[after]))
+
+
 def test_fingerprints_empty(spark):
     assert syncmers.fingerprints(empty(spark)).collect() == []
 
