@@ -89,3 +89,23 @@ def test_list_edge_cases(spark):
     assert rows == [("IMG_0001.jpg", 2456789, "SIZE"), ("IMG_0007.jpg", -1, "SIZE"), ("IMG_0010.jpg", 5234567, "SIZE"), ("照片.jpg", 7, "SIZE")]
     timed = spark.createDataFrame([("f", 0, "a|1700000000"), ("g", 0, "#MATCH_MODE=SIZE"), ("g", 1, "a|1700000000")], "file string, at int, line string")
     assert {r["file"]: r["mode"] for r in lists.list_modes(timed).collect()} == {"f": "DATETIME", "g": "SIZE"}
+
+
+def test_name_times_all_reads_every_order(spark, tmp_path):
+    """Also names with digits that are no date, and those that are one by chance, as the checking SQL has them."""
+    from albumloom.plans import load_all
+    from tests.harness import compare, duck
+
+    keys = [*range(1, 40), 19991231, 20240203, 20250101, 20010230, 18991231, 3112311, 120001]
+    keys += [k for base in (19991200, 20011200) for k in range(base, base + 40)]
+    orders = [(k, f"{1992 + k % 7}-{1 + k % 12:02d}-{1 + k % 28:02d}") for k in sorted(set(keys))]
+    df = spark.createDataFrame(orders, "o_orderkey bigint, d string").selectExpr("o_orderkey", "CAST(d AS timestamp_ntz) AS o_orderdate")
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    part = next((tmp_path / "parts").glob("*.parquet"))
+    (tmp_path / "orders.parquet").symlink_to(part)
+    entry = load_all()["name_times_all"]
+    got = {r["o_orderkey"]: r["t"] for r in entry.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _ in orders}
+    odd = {k: t for k, t in got.items() if k % 9 in (7, 8)}
+    assert {t is None for t in odd.values()} == {True, False}
+    assert compare(spark, duck(str(tmp_path)), entry, str(tmp_path)) is None
