@@ -109,3 +109,26 @@ def test_name_times_all_reads_every_order(spark, tmp_path):
     odd = {k: t for k, t in got.items() if k % 9 in (7, 8)}
     assert {t is None for t in odd.values()} == {True, False}
     assert compare(spark, duck(str(tmp_path)), entry, str(tmp_path)) is None
+
+
+def test_batch_document_lists_copies(spark):
+    """A group of copies leaves one photo in the batches; the others and the trashed photo are listed and counted."""
+    from albumloom.plans.photo_core import document_lists
+
+    def photo(i, name, t, size, hash_lo, width=4000):
+        return (i, f"/lib/{i}/{name}", name, t, size, width, 3000, None, None, 7, hash_lo, True)
+
+    rows = [
+        photo(1, "a.jpg", 1_000_000, 900_000, 5), photo(2, "a.jpg", 1_000_010, 990_000, 5), photo(3, "a_resized.jpg", 1_000_020, 100_000, 4),
+        photo(4, "z.jpg", 1_000_030, 900_000, -1), photo(5, "tiny.jpg", 1_000_040, 900_000, 5, width=300),
+    ]
+    schema = "photo_id bigint, path string, filename string, t bigint, size_bytes bigint, width int, height int, lat double, lng double, hash_hi bigint, hash_lo bigint, is_exact boolean"
+    ph = spark.createDataFrame(rows, schema).withColumn("day", F.to_date(F.lit("1970-01-12")))
+    got = document_lists(ph).collect()
+    assert {r["file"] for r in got if r["list"] == "batches"} == {"/lib/2/a.jpg", "/lib/4/z.jpg"}
+    assert {(r["file"], r["reason"], r["kept_file"]) for r in got if r["list"] == "deduped"} == {
+        ("/lib/1/a.jpg", "dup_of:a.jpg", "/lib/2/a.jpg"), ("/lib/3/a_resized.jpg", "dup_of:a.jpg", "/lib/2/a.jpg"),
+    }
+    assert [(r["file"], r["reason"]) for r in got if r["list"] == "trashed"] == [("/lib/5/tiny.jpg", "resolution_too_low")]
+    totals = {r["file"]: r["n"] for r in got if r["list"] == "summary"}
+    assert totals == {"total_scanned": 5, "kept": 2, "trashed": 1, "deduped": 2, "batch_count": 1}
