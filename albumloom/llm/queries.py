@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumloom.llm import decontam, language, mixing, neardup, quality, sharding, syncmers, tokencount, toxicity, urlfilter
+from albumloom.llm import decontam, language, linedup, mixing, neardup, quality, sharding, spelling, syncmers, tokencount, toxicity, urlfilter, whitening
 from albumloom.llm.common import held_out, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -62,9 +62,25 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = linedup.line_dedup(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_near_duplicates, op4_fingerprints, op5_language, op6_token_counts, op7_decontamination, op8_url_filters, op9_sharding, op10_quality)
+    for f in (
+        op1_toxicity, op2_mixing, op3_near_duplicates, op4_fingerprints, op5_language, op6_token_counts, op7_decontamination, op8_url_filters, op9_sharding, op10_quality,
+        op11_spelling_variants, op12_line_dedup, op13_whitening,
+    )
 }
 
 SQL = {
@@ -83,5 +99,17 @@ WITH cut AS (
   FROM parts
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""",
+    "op12_line_dedup": r"""
+WITH lines AS (
+  SELECT row_no, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+        FROM (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), often AS (
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN often USING (key) GROUP BY row_no, doc_id
 """,
 }
