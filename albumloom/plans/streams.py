@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.plans import views
-from albumloom.plans.oracle import CALLS, CHUNKS, EVENT_DIRS, with_
+from albumloom.params import Chunking
+from albumloom.plans.oracle import CALLS, CHUNKS, EVENT_DIRS, PHOTOS, with_
+from albumloom.plans.photo_core import all_photos, stage_sql
 from albumloom.plans.registry import query
-from albumloom.streaming import jobs, runtime
+from albumloom.streaming import jobs, keyed, runtime
 
 # the given events span a month and come as one table, so repeats are remembered for longer than that
 MONTHS = "60 days"
@@ -65,6 +67,35 @@ def upload_timeout_stream(spark: SparkSession, sf: str) -> DataFrame:
     return runtime.collected(jobs.upload_timeouts(task_events(spark, sf), DELAY), "timeouts")
 
 
+def shuffled_arrivals(df: DataFrame, by: str) -> list[DataFrame]:
+    """Three parts by the day a row arrives, up to ten minutes after its ``ts``: out of order, but none behind the watermark."""
+    arrived = F.col("ts") + F.make_dt_interval(secs=(F.col(by) * 7919 % 600).cast("decimal(18,6)"))
+    part = F.least(F.expr("2"), F.floor((F.dayofmonth(arrived) - 1) / 10))
+    return [df.where(part == k) for k in range(3)]
+
+
+WM_SECOND = "(SELECT (epoch_ms(max(ts)) - 600000) // 1000 FROM events)"
+
+
+@query("STR-3", sql=f"""WITH RECURSIVE seconds AS (SELECT user_id % 4 AS task_id, epoch_us(ts) // 1000000 AS t, count(*) AS n, bool_or(event_id % 40 = 0) AS done FROM events GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t) AS k FROM seconds WHERE t + 1 <= {WM_SECOND}),
+fold AS (SELECT task_id, k, t AS start, t AS last, done, n AS chunks, 0::HUGEINT AS refused FROM numbered WHERE k = 1
+  UNION ALL SELECT task_id, k, CASE WHEN fresh THEN t ELSE start END, CASE WHEN fresh OR live THEN t ELSE last END, CASE WHEN fresh OR live THEN now_done ELSE done END,
+    CASE WHEN fresh THEN n WHEN live THEN chunks + n ELSE chunks END, CASE WHEN fresh THEN 0 WHEN live THEN refused ELSE refused + n END
+  FROM (SELECT *, NOT done AND t <= ended AS live, t > ended + 86400 AS fresh FROM (
+    SELECT f.task_id, f.k, f.t, f.n, f.done AS now_done, p.start, p.last, p.done, p.chunks, p.refused, CASE WHEN p.done THEN p.last ELSE least(p.last + 1800, p.start + 7200) END AS ended
+    FROM fold p JOIN numbered f ON f.task_id = p.task_id AND f.k = p.k + 1))),
+lives AS (SELECT *, CASE WHEN done THEN last ELSE least(last + 1800, start + 7200) END AS ended FROM (
+  SELECT task_id, start, arg_max(last, k) AS last, arg_max(done, k) AS done, arg_max(chunks, k) AS chunks, arg_max(refused, k) AS refused FROM fold GROUP BY ALL))
+SELECT task_id, start, ended AS at, CASE WHEN done THEN 'finished' WHEN start + 7200 <= last + 1800 THEN 'max_age' ELSE 'idle' END AS event, chunks::BIGINT AS chunks FROM lives WHERE done OR {WM_SECOND} > ended
+UNION ALL SELECT task_id, start, ended + 86400, 'dropped', refused::BIGINT FROM lives WHERE {WM_SECOND} > ended + 86400""")
+def upload_life_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Four busy uploaders, in three arrivals out of order."""
+    chunks = views.table(spark, sf, "events").select("event_id", (F.col("user_id") % 4).alias("task_id"), "ts", (F.col("event_id") % 40 == 0).alias("done"))
+    with keyed.keyed_state(spark):
+        return runtime.over_arrivals(shuffled_arrivals(chunks, "event_id"), lambda s: keyed.upload_life(s, DELAY), "uploads")
+
+
 @query("STR-4", sql=island_sql("user_id", 60, "SELECT task_id, deadline_us - 60000000 AS last_beat_us, deadline_us AS failed_us, events AS beats FROM spells"))
 def stale_heartbeat_stream(spark: SparkSession, sf: str) -> DataFrame:
     return runtime.collected(jobs.stale_heartbeats(task_events(spark, sf), DELAY), "beats")
@@ -105,6 +136,15 @@ def burst_stream(spark: SparkSession, sf: str) -> DataFrame:
     return runtime.collected(jobs.sessions(s, "owner", 1800, DELAY), "bursts")
 
 
+@query("STR-8", sql=with_(PHOTOS, all_photos(), *stage_sql(Chunking())[:2], body=f"SELECT day::VARCHAR AS day, t, count(*) AS n, segment FROM segmented WHERE t + 1 <= {WM_SECOND} GROUP BY ALL"))
+def segment_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The time and hash rule over photos that arrive out of order, in three arrivals."""
+    photos = views.photos(spark, sf).select(F.col("day").cast("string").alias("day"), "photo_id", "hash_hi", "hash_lo")
+    timed = photos.join(views.table(spark, sf, "events").select(F.col("event_id").alias("photo_id"), "ts"), "photo_id")
+    with keyed.keyed_state(spark):
+        return runtime.over_arrivals(shuffled_arrivals(timed, "photo_id"), lambda s: keyed.segment_stream(s, DELAY), "segments")
+
+
 @query("STR-9")
 def new_file_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = runtime.collected(jobs.new_files(spark, sf, "*.parquet"), "files")

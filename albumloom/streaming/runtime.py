@@ -51,6 +51,17 @@ def collected(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def over_arrivals(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What an append stream puts out when its input comes in parts: one run of one checkpoint after each part."""
+    spark = parts[0].sparkSession
+    folder = scratch(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = transform(stream_table(spark, f"{folder}/in"))
+        finish(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 class Ledger:
     """State of a ``foreachBatch`` job: one parquet version per micro-batch.
 
