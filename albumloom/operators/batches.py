@@ -192,7 +192,7 @@ def plan_batches(photos: DataFrame, p: Chunking = Chunking(), drop_copies: bool
     steps after them read them more than once."""
     kept = photos.where(is_trash(p).isNull())
     if drop_copies:
-        kept = settle(keepers(duplicate_groups(kept)).drop("group_id"))
+        kept = settle(keepers(duplicate_groups(kept, p)).drop("group_id"))
     return batch_photos(settle(with_events(kept, p)), p, join_small)
 
 

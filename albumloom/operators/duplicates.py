@@ -1,10 +1,13 @@
-"""Near-duplicate photos of one day: hash distance at most two and file names that are variants.
+"""Near-duplicate photos of one day: hash distance at most ``dup_max_bits`` and file names that are variants.
 
 Rows with equal (day, stem, hash) collapse to one node first, so a mass of copies is one row. Nodes then meet
 in buckets (day, name key, centre): the name key is a stem that exists that day, the centre is a hash at
 distance at most one from the node's. Two hashes within distance two share a centre, and all hashes around
 one centre are within distance two, so every bucket is exactly a set of matches around the owners of its key
 and no pair list is ever built: groupings give the extremes, and a star to the first owner gives the edges.
+
+That holds for distance two alone. At any other distance the distinct hashes under a name key are paired by
+``hashindex``; the extremes are taken over the hashes near a node's own.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumloom.functions.names import open_prefixes, stem
+from albumloom.functions.hashes import packed
 from albumloom.operators.components import components
+from albumloom.operators.hashindex import pairs_within
 from albumloom.params import Chunking
 from albumloom.session import settle
 
@@ -38,15 +43,20 @@ def _centres(hi: Column, lo: Column, radius: Column) -> Column:
     return F.when(radius == 1, F.concat(own, ball)).otherwise(own)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(day, key, c_hi, c_lo, node, top, owner): each node in each bucket it may share with others."""
+def _members(nodes: DataFrame) -> DataFrame:
+    """(day, key, hashes, node, top, owner): each node under its own stem, which it owns, and under those that its stem goes on from."""
     stems = nodes.select("day", F.col("stem").alias("key")).distinct()
     longer = nodes.withColumn("key", F.explode(open_prefixes(F.col("stem")))).join(stems, ["day", "key"], "left_semi")
     cols = ["day", "key", "hash_hi", "hash_lo", "node", "top"]
-    members = (
+    return (
         nodes.withColumn("key", F.col("stem")).select(*cols).withColumn("owner", F.lit(True))
         .unionAll(longer.select(*cols).withColumn("owner", F.lit(False)))
     )
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(day, key, c_hi, c_lo, node, top, owner): each node in each bucket it may share with others."""
+    members = _members(nodes)
     # a node alone under its key has no match there; one hash under a key needs only its own centre
     spread = members.groupBy("day", "key").agg(
         ((F.min("hash_hi") != F.max("hash_hi")) | (F.min("hash_lo") != F.max("hash_lo"))).alias("varied"), F.count("*").alias("n")
@@ -73,10 +83,31 @@ def _met(nodes: DataFrame) -> DataFrame:
     return rows.join(stats, key)
 
 
-def duplicate_reach(photos: DataFrame) -> DataFrame:
+def _met_within(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(rows like those of ``_met``, edges) at any distance.
+
+    Nodes of one key and hash are one group first; it has one owner at most, as an owner's stem is the key. Groups within
+    the distance are paired. Of each pair the owner is an edge to the first node of the other group, and each
+    node has an edge to the smallest owner near its hash.
+    """
+    at = ["day", "key", "h"]
+    rows = settle(_members(nodes).withColumn("h", packed(F.col("hash_hi"), F.col("hash_lo"))).drop("hash_hi", "hash_lo"))
+    own = {k: F.when(F.col("owner"), F.col(k)) for k in ("node", "top")}
+    ends = {"first_owner": F.min(own["node"]), "last_owner": F.max(own["top"]), "first_any": F.min("node"), "last_any": F.max("top")}
+    groups = settle(rows.groupBy(*at).agg(*[v.alias(k) for k, v in ends.items()]))
+    pairs = pairs_within(groups, ["day", "key"], radius).unionByName(groups.select(*at, F.col("h").alias("other")))
+    near = settle(pairs.join(groups.withColumnRenamed("h", "other"), ["day", "key", "other"]))
+    wide = near.groupBy(*at).agg(*[F.min(k).alias(k) if k.startswith("first") else F.max(k).alias(k) for k in ends])
+    met = rows.join(wide, at).where("owner OR first_owner IS NOT NULL")
+    other = groups.select(*at, F.col("first_any").alias("a"))
+    across = near.where("first_owner IS NOT NULL AND h != other").join(other, at).select("a", F.col("first_owner").alias("b"))
+    return met, across.unionByName(met.where("first_owner IS NOT NULL").select(F.col("node").alias("a"), F.col("first_owner").alias("b")))
+
+
+def duplicate_reach(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
     """Photos with at least one near duplicate: smallest and largest id among themselves and their matches."""
     nodes = _nodes(photos)
-    met = _met(nodes)
+    met = _met(nodes) if p.dup_max_bits == 2 else _met_within(nodes, p.dup_max_bits)[0]
     low = F.when(F.col("owner"), F.col("first_any")).otherwise(F.col("first_owner"))
     high = F.when(F.col("owner"), F.col("last_any")).otherwise(F.col("last_owner"))
     far = met.groupBy("node").agg(F.min(low).alias("low"), F.max(high).alias("high"))
@@ -87,10 +118,10 @@ def duplicate_reach(photos: DataFrame) -> DataFrame:
     return keyed.join(reach, ["day", "stem", "hash_hi", "hash_lo"]).select("photo_id", "first_match", "last_match")
 
 
-def duplicate_groups(photos: DataFrame) -> DataFrame:
+def duplicate_groups(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
     """All photos with ``group_id``, the smallest photo id of the duplicate group; photos without hash stay alone."""
     nodes = _nodes(photos)
-    edges = _met(nodes).select(F.col("node").alias("a"), F.col("first_owner").alias("b"))
+    edges = _met(nodes).select(F.col("node").alias("a"), F.col("first_owner").alias("b")) if p.dup_max_bits == 2 else _met_within(nodes, p.dup_max_bits)[1]
     labels = components(edges).select(F.col("id").alias("node"), "component")
     group = nodes.join(labels, "node", "left").select("day", "stem", "hash_hi", "hash_lo", F.coalesce("component", "node").alias("group_id"))
     return (

@@ -115,6 +115,34 @@ def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.duplicate_groups(photos(spark, sf)).select("photo_id", "group_id")
 
 
+#: distances beside the one that is set, and the queries' matches at them
+RADII = (1, 3, 6)
+
+
+def matches_sql(bits: int, name: str) -> str:
+    return MATCHES.replace("matches AS", f"{name} AS").replace("<= 2", f"<= {bits}")
+
+
+NEAR_SQL = "SELECT 'near' AS what, {bits} AS bits, a AS photo_id, least(a, min(b)) AS low, greatest(a, max(b)) AS high FROM m{bits} GROUP BY a"
+GROUP_SQL = """SELECT 'group', {bits}, id, min(grp), NULL::BIGINT FROM w{bits} GROUP BY id"""
+WALK_SQL = "w{bits}(id, grp) AS (SELECT photo_id, photo_id FROM photos UNION SELECT m.b, w.grp FROM w{bits} w JOIN m{bits} m ON m.a = w.id WHERE w.grp < m.b)"
+
+
+@query("JOIN-1", "AGG-1", sql=with_(PHOTOS, NODES, *[matches_sql(r, f"m{r}") for r in RADII], *[WALK_SQL.format(bits=r) for r in RADII], recursive=True,
+                                    body=" UNION ALL ".join(q.format(bits=r) for r in RADII for q in (NEAR_SQL, GROUP_SQL))))
+def duplicates_by_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """Reach and groups of near duplicates at other distances than the one that is set."""
+    ph = settle(photos(spark, sf))
+    out = None
+    for bits in RADII:
+        p = Chunking(dup_max_bits=bits)
+        near = duplicates.duplicate_reach(ph, p).select(F.lit("near").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("first_match").alias("low"), F.col("last_match").alias("high"))
+        group = duplicates.duplicate_groups(ph, p).select(F.lit("group").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("group_id").alias("low"), F.lit(None).cast("bigint").alias("high"))
+        both = near.unionByName(group)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("WIN-2", sql=with_(PHOTOS, NODES, MATCHES, GROUPS, body="""SELECT g.photo_id, k.photo_id AS kept_id, k.path AS kept_file, 'dup_of:' || k.filename AS reason
   FROM grouped g JOIN kept k USING (group_id) WHERE g.photo_id <> k.photo_id""", recursive=True))
 def duplicate_keepers(spark: SparkSession, sf: str) -> DataFrame:
