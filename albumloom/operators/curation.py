@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from albumloom.functions.names import basename, clean_tag, dated_tag, saved_name
 from albumloom.functions.replies import decision_items
-from albumloom.operators.naming import plan_copies
+from albumloom.operators.naming import CONTENT, plan_copies
 from albumloom.params import Curation
 from albumloom.session import settle
 
@@ -124,12 +124,17 @@ def with_files(decisions: DataFrame, items: DataFrame) -> DataFrame:
     return decisions.join(items.select("batch_id", "item_id", "path", "t", "is_exact", "day"), ["batch_id", "item_id"])
 
 
-def apply_decisions(decisions: DataFrame, items: DataFrame, p: Curation = Curation()) -> tuple[DataFrame, DataFrame]:
-    """(copy plan, removal entries) of scored items."""
+def apply_decisions(decisions: DataFrame, items: DataFrame, p: Curation = Curation(), target: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(copy plan, removal entries) of scored items. With a listing of the target, items bring size and md5, equal files are
+    left and a source whose digest name is another file's is a conflict."""
     rows = overridden(with_files(decisions, items), p)
+    if target is not None:
+        rows = rows.join(items.select("path", *CONTENT).distinct(), "path")
     tag = clean_tag(dated_tag(F.col("day"), F.col("event_tag")))
     name = saved_name(basename(F.col("path")), F.col("is_exact"))
-    plan = plan_copies(rows.where("kept").select(tag.alias("folder"), name.alias("name"), F.col("path").alias("src")).distinct())
+    content = CONTENT if target is not None else ()
+    wanted = rows.where("kept").select(tag.alias("folder"), name.alias("name"), F.col("path").alias("src"), *content).distinct()
+    plan = plan_copies(wanted, target=target, numbered=target is None)
     return plan, removals(rows)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from albumloom.functions.names import basename, clean_tag
 from albumloom.functions.replies import merge_decision, merge_map, theme_items
 from albumloom.operators.curation import Scorer, requests, retry_truncated
-from albumloom.operators.naming import plan_copies
+from albumloom.operators.naming import CONTENT, plan_copies
+from albumloom.operators.ordering import in_order
 from albumloom.operators.progress import chunked
 from albumloom.params import Themes
 from albumloom.session import settle
@@ -95,20 +96,27 @@ def cluster_themes(events: DataFrame, scorer: Scorer, merge_replies: DataFrame,
 
 
 def free_version(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """(day, name) -> ``folder``: the name, or name_v2, name_v3 ... past the folders that exist."""
-    taken = existing.select(
-        F.regexp_replace("tag", r"_v\d+$", "").alias("name"), F.coalesce(F.regexp_extract("tag", r"_v(\d+)$", 1).try_cast("int"), F.lit(1)).alias("v")
-    ).unionByName(existing.select(F.col("tag").alias("name"), F.lit(1).alias("v")))
-    used = wanted.select("name").distinct().join(taken, "name").groupBy("name").agg(F.collect_set("v").alias("used"))
-    rows = wanted.join(used, "name", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.get(F.filter(F.sequence(F.lit(2), F.size("used") + 2), lambda v: ~F.array_contains("used", v)), F.lit(0))
-    return rows.withColumn("folder", F.when(F.array_contains("used", 1), F.concat("name", F.lit("_v"), free.cast("string"))).otherwise(F.col("name"))).drop("used")
-
+    """(day, name) -> ``folder``: the name, or name_v2, name_v3 ... past the folders that exist.
 
-def merge_days(events: DataFrame, photos: DataFrame, scorer: Scorer, p: Themes = Themes()) -> tuple[DataFrame, DataFrame]:
+    Versions of a name are put in order; the first one that is not its place says where the gap is.
+    """
+    taken = existing.select(
+        F.regexp_replace("tag", r"_v\d+$", "").alias("name"), F.coalesce(F.regexp_extract("tag", r"_v(\d+)$", 1).try_cast("bigint"), F.lit(1)).alias("v")
+    ).unionByName(existing.select(F.col("tag").alias("name"), F.lit(1).cast("bigint").alias("v")))
+    used = wanted.select("name").distinct().join(taken, "name").where("v >= 1").distinct()
+    placed = in_order(used, ["name"], ["v"]).withColumn("place", F.col("pos") + 1)
+    # without a version 1 every later place is off and the name itself is free
+    gap = F.coalesce(F.min(F.when(F.col("v") != F.col("place"), F.col("place"))), F.max("place") + 1)
+    first = placed.groupBy("name").agg(gap.alias("free"))
+    return wanted.join(first, "name", "left").withColumn(
+        "folder", F.when(F.coalesce("free", F.lit(1)) > 1, F.concat("name", F.lit("_v"), F.col("free").cast("string"))).otherwise(F.col("name"))
+    ).drop("free")
+
+
+def merge_days(events: DataFrame, photos: DataFrame, scorer: Scorer, p: Themes = Themes(), target: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(days, plan): each multi-event day with its state and folder, and the move plan of the merged days.
 
-    Events: day, tag, event_name, photo_count, has_manifest. Photos: day, tag, path.
+    Events: day, tag, event_name, photo_count, has_manifest. Photos: day, tag, path, and size and md5 where there is a listing of the target.
     """
     events = settle(events)
     multi = day_classes(events, p).where("class = 'multi'").select("day")
@@ -124,8 +132,8 @@ def merge_days(events: DataFrame, photos: DataFrame, scorer: Scorer, p: Themes =
         "day", "state", "reason", F.when(F.col("state") == "merged", F.col("folder")).alias("folder")
     ))
     moving = photos.join(days.where("state = 'merged'").select("day", "folder"), "day")
-    plan = plan_copies(moving.select("folder", basename(F.col("path")).alias("name"), F.col("path").alias("src"), "day", "tag"))
-    return days, plan
+    content = CONTENT if target is not None else ()
+    return days, plan_copies(moving.select("folder", basename(F.col("path")).alias("name"), F.col("path").alias("src"), "day", "tag", *content), target=target)
 
 
 def day_manifest(days: DataFrame, plan: DataFrame, events: DataFrame) -> DataFrame:
@@ -149,11 +157,11 @@ def pending_units(units: DataFrame, ledger: DataFrame, mismatch: DataFrame) -> D
     return units.join(done.select("run", "unit"), ["run", "unit"], "left_anti")
 
 
-def period_plan(photos: DataFrame, mode: str) -> DataFrame:
-    """Copy plan by year or month: names taken already get the day and a digest."""
+def period_plan(photos: DataFrame, mode: str, target: DataFrame | None = None) -> DataFrame:
+    """Copy plan by year or month: names taken already get the day and a digest. With a listing of the target, photos bring size and md5."""
     folder = period_folder(F.col("day"), mode)
-    rows = photos.select(folder.alias("folder"), basename(F.col("path")).alias("name"), F.col("path").alias("src"), F.replace("day", F.lit("-"), F.lit("")).alias("mark"))
-    return plan_copies(rows, mark=F.col("mark")).drop("mark")
+    rows = photos.select(folder.alias("folder"), basename(F.col("path")).alias("name"), F.col("path").alias("src"), F.replace("day", F.lit("-"), F.lit("")).alias("mark"), *(CONTENT if target is not None else ()))
+    return plan_copies(rows, mark=F.col("mark"), target=target).drop("mark")
 
 
 def period_folder(day: Column, mode: str) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from albumloom.operators import progress, themes
 from albumloom.params import Themes
 from albumloom.plans import views
-from albumloom.plans.oracle import EVENT_DIRS, EVENT_FILES, EVENTS_BY_TAG, NUMBERED, RENAMES, THEMES, with_
+from albumloom.plans.oracle import EVENT_DIRS, EVENT_FILES, EVENTS_BY_TAG, NUMBERED, RENAMES, THEMES, copies_sql, with_
 from albumloom.plans.registry import query
+from albumloom.session import settle
 from albumloom.sources import folders
 
 FLAT = EVENT_FILES + r""", ev AS (
@@ -212,6 +213,18 @@ def day_merge_plan(spark: SparkSession, sf: str) -> DataFrame:
     return merged_days(spark, sf)[1]
 
 
+@query("OPS-9", "SNK-8", sql=with_(*DAYS, *copies_sql("(SELECT day, tag, folder, name, src FROM plan)"), body="SELECT day, tag, folder, name, src, final_name, status FROM copies"))
+def day_merge_to_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The move plan where merged folders hold files already."""
+    files = views.event_files(spark, sf)
+    events = folders.flat_events(files, "/archive").where("photo_count > 0")
+    photos = folders.event_photos(files, "/archive").withColumns(views.content_of(F.col("path")))
+    _, wanted = themes.merge_days(events, photos, sample_day_scorer)
+    wanted = wanted.select("folder", "name", "src").withColumns(views.content_of(F.col("src")))
+    _, plan = themes.merge_days(events, photos, sample_day_scorer, target=settle(views.copy_target(wanted, F.lit(""))))
+    return plan.select("day", "tag", "folder", "name", "src", "final_name", "status")
+
+
 @query("SNK-3", sql=with_(*DAYS, body="""SELECT h.day, h.tag, h.photo_count, d.folder AS merged_name, d.reason, count(p.src) AS moved_count FROM have h JOIN days d USING (day) LEFT JOIN plan p ON p.tag = h.tag WHERE d.state = 'merged' GROUP BY ALL"""))
 def day_manifest(spark: SparkSession, sf: str) -> DataFrame:
     days, plan, events = merged_days(spark, sf)
@@ -295,3 +308,14 @@ def period_totals(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY src) AS rn FROM (SELECT year || '-' || month AS folder, regexp_extract(path, '[^/]*$') AS name, path AS src, replace(day, '-', '') AS mark FROM arch))"""))
 def period_reorganise(spark: SparkSession, sf: str) -> DataFrame:
     return themes.period_plan(archive_photos(spark, sf), "month")
+
+
+@query("OPS-11", "WIN-6", "SNK-8", sql=with_(ARCHIVE, *copies_sql("(SELECT year || '-' || month AS folder, regexp_extract(path, '[^/]*$') AS name, path AS src, replace(day, '-', '') AS mark FROM arch)", mark="mark || '_'"),
+  body="SELECT folder, name, src, final_name, status FROM copies"))
+def period_to_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The period plan where the periods' folders hold files already."""
+    photos = archive_photos(spark, sf).withColumns(views.content_of(F.col("path")))
+    wanted = themes.period_plan(photos, "month").select("folder", "name", "src").withColumns(views.content_of(F.col("src")))
+    marks = photos.select(F.col("path").alias("src"), F.replace("day", F.lit("-"), F.lit("")).alias("mark")).distinct()
+    target = views.copy_target(wanted.join(marks, "src"), F.concat("mark", F.lit("_"))).drop("mark")
+    return themes.period_plan(photos, "month", target=settle(target)).select("folder", "name", "src", "final_name", "status")

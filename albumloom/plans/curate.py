@@ -9,9 +9,10 @@ from albumloom.functions import replies as rp
 from albumloom.operators import curation, duplicates, naming, progress
 from albumloom.params import Curation
 from albumloom.plans import views
-from albumloom.plans.oracle import ANSWERS, CALLS, DECISIONS, EVENTS_BY_TAG, NUMBERED, PHOTOS, REPLY_ITEMS, SENT, THEMES, with_
+from albumloom.plans.oracle import ANSWERS, CALLS, DECISIONS, EVENTS_BY_TAG, NUMBERED, PHOTOS, REPLY_ITEMS, SENT, THEMES, copies_sql, with_
 from albumloom.plans.photo_core import GROUPS, MATCHES, NODES
 from albumloom.plans.registry import query
+from albumloom.session import settle
 
 
 @query("JSN-1", sql=with_(DECISIONS, REPLY_ITEMS, body='SELECT batch_id, "at", photo_id, is_highlight, reason, event_tag FROM answered'))
@@ -145,6 +146,33 @@ def applied_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return plan
 
 
+@query("OPS-8", "SNK-8", sql=with_(RAW, PLAN.split(",\nplanned")[0], *copies_sql("wanted", numbered=False), body="SELECT folder, name, src, final_name, status FROM copies"))
+def applied_to_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions applied where files are there already: equal files are left, a digest name of another file is a conflict."""
+    plan, _ = applied_with_target(raw_decisions(spark, sf).drop("day"), views.sent(spark, sf))
+    return plan.select("folder", "name", "src", "final_name", "status")
+
+
+def applied_with_target(decisions: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plan, target) over a target made from the wanted names."""
+    items = sent.withColumns(views.content_of(F.col("path")))
+    wanted, _ = curation.apply_decisions(decisions, items)
+    wanted = wanted.select("folder", "name", "src").withColumns(views.content_of(F.col("src")))
+    target = settle(views.copy_target(wanted, F.lit("")))
+    return curation.apply_decisions(decisions, items, target=target)[0], target
+
+
+@query("OPS-8", "SNK-8", sql=with_(RAW, PLAN.split(",\nplanned")[0], *copies_sql("wanted", numbered=False),
+  body="SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'conflict' THEN status ELSE 'exists_same' END AS status FROM copies) GROUP BY status"))
+def applied_again(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run over what the first one left in the target: nothing is copied."""
+    decisions, sent = raw_decisions(spark, sf).drop("day"), views.sent(spark, sf)
+    plan, target = applied_with_target(decisions, sent)
+    items = sent.withColumns(views.content_of(F.col("path")))
+    again, _ = curation.apply_decisions(decisions, items, target=settle(naming.listing(settle(plan), target)))
+    return again.groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("OPS-8", sql=with_(RAW, body="SELECT 'IMG_' || (doc_id % 40) || '.jpg' AS name, t AS epoch FROM raw WHERE NOT is_highlight"))
 def rejected_photos(spark: SparkSession, sf: str) -> DataFrame:
     _, gone = curation.apply_decisions(raw_decisions(spark, sf).drop("day"), views.sent(spark, sf))

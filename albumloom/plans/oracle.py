@@ -165,3 +165,19 @@ LIST_LINES = """list_lines AS (
 modes AS (SELECT file, CASE WHEN trim(arg_min(line, pos)) = '#MATCH_MODE=DATETIME' THEN 'DATETIME' WHEN trim(arg_min(line, pos)) = '#MATCH_MODE=SIZE' THEN 'SIZE'
     WHEN coalesce(try_cast(CASE WHEN len(string_split(arg_min(line, pos) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#') AND contains(line, '|')), '|')) = 2
        THEN trim(string_split(arg_min(line, pos) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#') AND contains(line, '|')), '|')[2]) END AS BIGINT), 0) > 1000000000 THEN 'DATETIME' ELSE 'SIZE' END AS mode FROM list_lines GROUP BY file)"""
+
+
+def copies_sql(wanted: str, mark: str = "''", numbered: bool = True) -> list[str]:
+    """Copy plan of ``wanted`` (folder, name, src, ...) against a target that holds equal, other and numbered files."""
+    alt = rf"regexp_replace(name, '(\.[^.]*)$', '_' || {mark} || substr(md5(src), 1, 8) || '\1')"
+    return [
+        rf"files AS (SELECT DISTINCT *, {alt} AS alt, (length(src) % 4)::VARCHAR || md5(right(regexp_replace(src, '\.[^.]*$', ''), 1)) AS c, substr(md5(src), 1, 1) AS digit FROM {wanted})",
+        r"""target AS (SELECT folder, name, arg_max(c, src) AS tc FROM files WHERE substr(md5(folder || name), 1, 1) < '5' GROUP BY ALL
+  UNION ALL SELECT folder, alt, CASE WHEN digit < '2' THEN c ELSE 'other' END FROM files WHERE digit < '5'
+  UNION ALL SELECT folder, regexp_replace(alt, '(\.[^.]*)$', '_2\1'), CASE WHEN digit = '4' THEN c ELSE 'other' END FROM files WHERE digit IN ('3', '4'))""",
+        rf"""copies AS (SELECT * EXCLUDE (hc, hold, tc2), CASE WHEN hold THEN name WHEN c = hc THEN name WHEN tc2 IS NULL OR c = tc2 OR NOT {numbered} THEN alt
+      ELSE regexp_replace(alt, '(\.[^.]*)$', CASE WHEN digit = '3' THEN '_3' ELSE '_2' END || '\1') END AS final_name,
+    CASE WHEN hold THEN 'copied' WHEN c = hc OR c = tc2 THEN 'exists_same' WHEN tc2 IS NULL THEN 'copied_hashed' WHEN NOT {numbered} THEN 'conflict' WHEN digit = '4' THEN 'exists_same' ELSE 'copied_hashed' END AS status
+  FROM (SELECT f.*, coalesce(t.tc, first_value(f.c) OVER w) AS hc, t.tc IS NULL AND row_number() OVER w = 1 AS hold, a.tc AS tc2
+        FROM files f LEFT JOIN target t ON t.folder = f.folder AND t.name = f.name LEFT JOIN target a ON a.folder = f.folder AND a.name = f.alt WINDOW w AS (PARTITION BY f.folder, f.name ORDER BY f.src)))""",
+    ]

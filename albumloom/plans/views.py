@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.functions.hashes import median_bits
+from albumloom.functions.names import add_suffix
 from albumloom.functions.replies import held
 from albumloom.functions.times import seconds_of
 
@@ -392,3 +393,19 @@ def list_lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.select(F.concat(F.lit("list"), c).alias("file"), i.alias("at"), line.alias("line"))
     head = o.where(c % 4 == 0).select(F.concat(F.lit("list"), c).alias("file"), F.lit(-1).cast("bigint").alias("at"), F.when(c % 8 == 0, "#MATCH_MODE=DATETIME").otherwise(" #MATCH_MODE=SIZE ").alias("line")).distinct()
     return rows.unionByName(head)
+
+
+def content_of(src: Column) -> dict[str, Column]:
+    """Stand-in size and digest of a file, equal for many."""
+    return {"size": F.length(src) % 4, "md5": F.md5(F.right(F.regexp_replace(src, r"\.[^.]*$", ""), F.lit(1)))}
+
+
+def copy_target(files: DataFrame, mark: Column) -> DataFrame:
+    """A target that holds some of the wanted names, and some digest names alone or with a number, by equal and by other files."""
+    digit = F.substring(F.md5("src"), 1, 1)
+    f = files.withColumn("digit", digit).withColumn("alt", add_suffix(F.col("name"), F.concat(F.lit("_"), mark, F.substring(F.md5("src"), 1, 8)))).distinct()
+    named = f.where(F.substring(F.md5(F.concat("folder", "name")), 1, 1) < "5").groupBy("folder", "name").agg(F.max_by(F.struct("size", "md5"), "src").alias("c")).select("folder", "name", "c.*")
+    own = lambda same: [F.when(same, F.col("size")).otherwise(-1).alias("size"), F.when(same, F.col("md5")).otherwise("other").alias("md5")]
+    hashed = f.where("digit < '5'").select("folder", F.col("alt").alias("name"), *own(F.col("digit") < "2"))
+    second = f.where("digit IN ('3', '4')").select("folder", add_suffix(F.col("alt"), F.lit("_2")).alias("name"), *own(F.col("digit") == "4"))
+    return named.unionByName(hashed).unionByName(second)
