@@ -118,9 +118,49 @@ def word_counts(decisions: DataFrame, tokens: Column) -> DataFrame:
 
 
 def document_word_counts(decisions: DataFrame, documents: DataFrame, tokens: Column, key: str) -> DataFrame:
-    """The same for texts shared by several decisions: each text is cut into words once, and only counts are joined."""
-    words = documents.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return words.join(decisions.select(key, "model", "decision"), key).groupBy("model", "decision", "word").agg(F.sum("n").alias("n"))
+    """The same for texts shared by several decisions.
+
+    A document is given its set of (model, decision) first, a few different ones in all; texts without a decision are left
+    out before they are cut. Words are counted per set, so tasks sum up before anything is moved, and the counts go to
+    the members of each set at the end. Documents are read once; a model that judges a document twice alike counts twice.
+    """
+    told = decisions.groupBy(key, "model", "decision").agg(F.count("*").alias("times"))
+    sets = told.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("model", "decision", "times"))).alias("verdicts"))
+    words = documents.join(sets, key).select("verdicts", F.explode(tokens).alias("word"))
+    counted = words.groupBy("verdicts", "word").agg(F.count("*").alias("n"))
+    each = counted.select("word", "n", F.explode("verdicts").alias("v")).select("v.*", "word", "n")
+    return each.groupBy("model", "decision", "word").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+
+
+def sketched_words(decisions: DataFrame, documents: DataFrame, tokens: Column, key: str, k: int = 10, tracked: int = 10_000) -> DataFrame:
+    """(model, decision, word, about): the k most frequent words by a mergeable sketch that tracks so many of them.
+
+    A sketch per (model, decision) has a fixed size however many different words there are, where the exact count moves
+    each of them. A word that is not among the tracked ones is rarer than ``sketch_error``.
+    """
+    words = documents.join(decisions.select(key, "model", "decision"), key).select("model", "decision", F.explode(tokens).alias("word"))
+    top = words.groupBy("model", "decision").agg(F.expr(f"approx_top_k(word, {int(k)}, {int(tracked)})").alias("top"))
+    return top.select("model", "decision", F.explode("top").alias("t")).select("model", "decision", F.col("t.item").alias("word"), F.col("t.count").alias("about"))
+
+
+def sketch_error(all_words: Column, tracked: int = 10_000) -> Column:
+    """The most that a sketched count is off: 3.5 of as many parts as the sketch's table has, a power of two that tracks 3/4."""
+    table = 1 << max(3, (int(tracked / 0.75) - 1).bit_length())
+    return F.ceil(all_words * (3.5 / table))
+
+
+def sketch_against_exact(sketch: DataFrame, exact: DataFrame, tracked: int = 10_000) -> DataFrame:
+    """Per model and decision: words counted, whether each sketched count is within the error, top words that the sketch missed by more.
+
+    ``exact`` is (model, decision, word, n).
+    """
+    totals = exact.groupBy("model", "decision").agg(F.sum("n").alias("all_words")).withColumn("error", sketch_error(F.col("all_words"), tracked))
+    both = keywords(exact).drop("all_words").withColumn("exact_top", F.lit(True)).select("model", "decision", "word", "n", "exact_top")
+    near = sketch.join(exact, ["model", "decision", "word"], "left").join(totals, ["model", "decision"])
+    inside = near.groupBy("model", "decision").agg(F.bool_and(F.abs(F.col("about") - F.coalesce("n", F.lit(0))) <= F.col("error")).alias("within"), F.min("about").alias("least"), F.count("*").alias("told"))
+    missed = both.join(sketch.select("model", "decision", "word"), ["model", "decision", "word"], "left_anti").groupBy("model", "decision").agg(F.max("n").alias("largest"))
+    rows = totals.join(inside, ["model", "decision"]).join(missed, ["model", "decision"], "left")
+    return rows.select("model", "decision", "all_words", "told", "within", (F.coalesce("largest", F.lit(0)) > F.col("least") + 2 * F.col("error")).alias("missed"))
 
 
 def keywords(words: DataFrame, k: int = 10) -> DataFrame:

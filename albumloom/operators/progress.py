@@ -9,16 +9,35 @@ from albumloom.operators.ordering import in_order, running_max
 from albumloom.params import Curation
 
 
+#: seconds of a run that one window may see
+STRETCH = 8192
+
+
 def throughput(done: DataFrame, totals: DataFrame, p: Curation = Curation()) -> DataFrame:
     """(run, t) completions and (run, total) -> speed over the last window, average speed and ETA at each second.
 
-    Completions are summed up per second first, so a run's windows hold at most one row per second of its life.
+    Completions are summed up per second first. A run is cut into stretches of seconds; the last ones of a stretch are
+    also carried into the next, so that the speed at a second is seen whole there, and one row per stretch brings what
+    was done before it. So a run of any length is spread over many tasks. The window is shorter than a stretch.
     """
-    per = done.groupBy("run", "t").agg(F.count("*").alias("n"))
-    by_run = Window.partitionBy("run").orderBy("t")
-    recent = by_run.rangeBetween(-p.window_seconds, 0)
-    rows = per.select("run", "t", F.sum("n").over(by_run).alias("done"), F.sum("n").over(recent).alias("recent"), F.min("t").over(by_run).alias("start"))
-    rows = rows.join(totals, "run")
+    size = max(STRETCH, 2 * p.window_seconds)
+    per = done.groupBy("run", "t").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("t") / size))
+    late = F.col("t") - F.col("stretch") * size >= size - p.window_seconds
+    seen = F.when(late, F.array("stretch", F.col("stretch") + 1)).otherwise(F.array("stretch"))
+    rows = per.select("run", "t", "n", F.col("stretch").alias("home"), F.explode(seen).alias("stretch")).withColumn("own", F.col("home") == F.col("stretch"))
+    inside = Window.partitionBy("run", "stretch").orderBy("t")
+    # sums from the start on grow row by row; a frame that slides would be added up anew for each row
+    out_of_sight = F.sum("n").over(inside.rangeBetween(Window.unboundedPreceding, -p.window_seconds - 1))
+    rows = rows.select(
+        "run", "t", "stretch", "own", F.sum(F.when(F.col("own"), F.col("n"))).over(inside).alias("so_far"), (F.sum("n").over(inside) - F.coalesce(out_of_sight, F.lit(0))).alias("recent")
+    ).where("own")
+    # one row per stretch of a run
+    stretches = per.groupBy("run", "stretch").agg(F.sum("n").alias("n"), F.min("t").alias("first"))
+    before = Window.partitionBy("run").orderBy("stretch")
+    stretches = stretches.select(
+        "run", "stretch", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.min("first").over(before).alias("start")
+    )
+    rows = rows.join(stretches, ["run", "stretch"]).withColumn("done", F.col("earlier") + F.col("so_far")).join(totals, "run")
     age = F.greatest((F.col("t") - F.col("start")).cast("double"), F.lit(1e-6))
     window = F.least(age, F.lit(float(p.window_seconds)))
     rate = F.col("done") / age

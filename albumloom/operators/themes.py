@@ -81,20 +81,87 @@ def ungrouped(events: DataFrame, members: DataFrame, valid: DataFrame) -> DataFr
     return events.join(members.join(valid.select("theme"), "theme", "left_semi").select("tag").distinct(), "tag", "left_anti")
 
 
-def cluster_themes(events: DataFrame, scorer: Scorer, merge_replies: DataFrame, p: Themes = Themes()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both grouping passes: (members, valid themes, ungrouped events). ``merge_replies`` are (at, reply)."""
-    events = settle(events)
+def grouped_events(events: DataFrame, scorer: Scorer, p: Themes = Themes()) -> DataFrame:
+    """First pass: numbered event lists to the scorer, (theme, tag) from its answers. An event may be in several themes."""
     numbered = chunked(events, [], ["tag"], p.batch_size)
     line = F.concat(F.col("number").cast("string"), F.lit(". "), "tag", F.lit("（"), F.col("photo_count").cast("string"), F.lit(" 张）"))
     asked = requests(numbered.select("chunk", F.col("number").alias("rank"), F.col("tag").alias("item_id"), line.alias("text")), ["chunk"], F.col("text"))
     replies = retry_truncated(asked.select(F.col("chunk").cast("string").alias("key"), "ids", "lines"), scorer)
     items = theme_items(replies.where("reply IS NOT NULL").select(F.col("key").cast("bigint").alias("chunk"), "reply"), ["chunk"])
-    first = decode_members(items, numbered).distinct()
-    members = settle(renamed(first, merge_map(merge_replies, first)))
+    return decode_members(items, numbered).distinct()
+
+
+def theme_requests(members: DataFrame, p: Themes = Themes()) -> DataFrame:
+    """(chunk, ids, lines): numbered lists of themes with their event counts, largest first, for the second pass."""
+    sizes = members.groupBy("theme").agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
+    numbered = chunked(sizes, [], ["less", "theme"], p.theme_batch)
+    # fixed values: the wording around names and counts
+    line = F.concat(F.col("number").cast("string"), F.lit(". "), "theme", F.lit("（"), F.col("n").cast("string"), F.lit(" 个事件）"))
+    asked = requests(numbered.select("chunk", F.col("number").alias("rank"), F.col("theme").alias("item_id"), line.alias("text")), ["chunk"], F.col("text"))
+    n = F.size("ids").cast("string")
+    whole = F.concat(F.lit("【主题列表】（共 "), n, F.lit(" 个主题）：\n"), "lines", F.lit("\n\n请把语义相同的主题合并，输出 JSON。"))
+    return asked.select("chunk", "ids", whole.alias("lines"))
+
+
+def final_names(names: DataFrame) -> DataFrame:
+    """(theme, merged) -> the name at the end of each chain of renames, by doubling; of a ring, its smallest name."""
+    links = settle(names.where("theme != merged").select("theme", "merged").distinct())
+    # names that lead back to themselves: each step of doubling keeps the smallest name seen on the way
+    links = links.withColumn("low", F.least("theme", "merged"))
+    rounds = max(1, links.count().bit_length())
+    for _ in range(rounds):
+        on = links.select(F.col("theme").alias("merged"), F.col("merged").alias("next"), F.col("low").alias("next_low"))
+        further = settle(links.join(on, "merged", "left"))
+        links = further.select("theme", F.coalesce("next", "merged").alias("merged"), F.least("low", F.coalesce("next_low", "low")).alias("low"))
+        if further.where("next IS NOT NULL").isEmpty():
+            return links.select("theme", "merged")
+    ring = links.select(F.col("theme").alias("merged"), F.lit(True).alias("round"))
+    return links.join(ring, "merged", "left").select("theme", F.when(F.col("round"), F.col("low")).otherwise(F.col("merged")).alias("merged"))
+
+
+def merged_themes(members: DataFrame, scorer: Scorer, p: Themes = Themes()) -> DataFrame:
+    """Second pass: theme lists to the scorer, members under the names it gives to themes that mean the same.
+
+    All themes are one list while they are ``theme_batch`` at most; more are asked in lists of that size, and what is left
+    after renaming is asked again until it is one list or nothing changes. A list that is cut off is asked once more; one without a usable answer
+    keeps its names. Fewer than two themes are not asked about.
+    """
+    while True:
+        members = settle(members)
+        lists = settle(theme_requests(members, p))
+        asked = lists.where(F.size("ids") > 1)
+        replies = settle(retry_truncated(asked.select(F.col("chunk").cast("string").alias("key"), "ids", "lines"), scorer))
+        names = final_names(merge_map(replies.where("reply IS NOT NULL").select(F.col("key").cast("bigint").alias("at"), "reply"), members))
+        if names.isEmpty():
+            return members
+        members = renamed(members, names)
+        if lists.limit(2).count() < 2:
+            return members
+
+
+def cluster_themes(events: DataFrame, scorer: Scorer, merge_replies: DataFrame | None = None, p: Themes = Themes(), merge_scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both grouping passes: (members, valid themes, ungrouped events).
+
+    The second pass asks ``merge_scorer``, or takes answers that are there already: ``merge_replies`` are (at, reply).
+    """
+    events = settle(events)
+    first = grouped_events(events, scorer, p)
+    if merge_scorer is not None:
+        members = merged_themes(first, merge_scorer, p)
+    else:
+        members = first if merge_replies is None else renamed(first, merge_map(merge_replies, first))
+    members = settle(members)
     valid = eligible(theme_summary(members, events), p)
     return members, valid, ungrouped(events, members, valid)
 
 
+def theme_copies(members: DataFrame, valid: DataFrame, photos: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Copy plan of the valid themes: (folder, theme, tag, src, ...). Photos (tag, path) of an event in several themes are copied into each."""
+    content = CONTENT if target is not None else ()
+    wanted = members.join(valid.select("theme", "theme_folder"), "theme").join(photos.select("tag", "path", *content), "tag")
+    return plan_copies(wanted.select(F.col("theme_folder").alias("folder"), basename(F.col("path")).alias("name"), F.col("path").alias("src"), "theme", "tag", *content), target=target)
+
+
 def free_version(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """(day, name) -> ``folder``: the name, or name_v2, name_v3 ... past the folders that exist.
 

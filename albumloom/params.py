@@ -56,6 +56,7 @@ class Themes:
     min_events: int = 2
     min_year_span: int = 1
     batch_size: int = 100
+    theme_batch: int = 2000
 
 
 @dataclass(frozen=True)

@@ -175,6 +175,54 @@ def theme_index(spark: SparkSession, sf: str) -> DataFrame:
     return index(valid, rest, views.events_by_tag(spark, sf)).withColumn("years", F.array_join("years", ","))
 
 
+def sample_merge_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Repeatable stand-in for the theme-merging model: two chained merges, one theme nobody has, one list cut off once."""
+    out = []
+    for key, ids, attempt in zip(pdf["key"], pdf["ids"], pdf["attempt"]):
+        if attempt == 1:
+            out.append((key, "", "length", 7))
+            continue
+        here = set(ids)
+        merges = [{"merged_name": n + "记录", "themes": [n + "主题", "没有这个", n + "记录"]} for n in sorted({t[:-2] for t in here if t.endswith("主题") and t[:-2] + "记录" in here})]
+        merges += [{"merged_name": "急", "themes": sorted(t for t in here if t[:-2] in ("URGENT", "HIGH") and t.endswith("记录"))}]
+        out.append((key, "```json\n" + json.dumps({"merges": merges}, ensure_ascii=False) + "\n```", "stop", 9))
+    return pd.DataFrame(out, columns=["key", "reply", "finish_reason", "output_tokens"])
+
+
+# the names of both theme kinds of an event name become one; those of two event names go on to a common one
+ASKED_NAMES = """asked AS (SELECT t.*, EXISTS (SELECT 1 FROM themes o WHERE o.theme = t.base || '主题') AND EXISTS (SELECT 1 FROM themes o WHERE o.theme = t.base || '记录') AS paired
+  FROM (SELECT *, CASE WHEN theme LIKE '单次%' THEN theme ELSE left(theme, -2) END AS base FROM themes) t),
+urgent AS (SELECT count(DISTINCT theme) > 1 AS joined FROM themes WHERE theme IN ('URGENT记录', 'HIGH记录')),
+merged AS (SELECT CASE WHEN theme LIKE '单次%' THEN theme WHEN base IN ('URGENT', 'HIGH') AND joined AND (paired OR theme LIKE '%记录') THEN '急' WHEN paired THEN base || '记录' ELSE theme END AS theme, tag, year, photo_count FROM asked, urgent)"""
+ASKED = [THEMES, ASKED_NAMES, SUMMARY.format("merged"), CLUSTER[-1]]
+
+
+@query("JSN-5", sql=with_(THEMES, body="""SELECT count(*) AS themes, '【主题列表】（共 ' || count(*) || ' 个主题）：' || chr(10) || string_agg(n || '. ' || theme || '（' || events || ' 个事件）', chr(10) ORDER BY n) || chr(10) || chr(10) || '请把语义相同的主题合并，输出 JSON。' AS lines
+   FROM (SELECT theme, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, theme) AS n FROM themes GROUP BY theme)"""))
+def theme_list_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The request of the second pass, all themes in one list."""
+    asked = themes.theme_requests(views.themes(spark, sf), Themes(theme_batch=1_000_000))
+    return asked.select(F.size("ids").cast("bigint").alias("themes"), "lines")
+
+
+@query("OPS-10", "JSN-5", sql=with_(*ASKED, body="SELECT tag, theme, theme_folder FROM merged LEFT JOIN valid USING (theme)"))
+def theme_merging(spark: SparkSession, sf: str) -> DataFrame:
+    """Both passes asked for, the second with a list cut off at first and chained renames."""
+    members, valid, _ = themes.cluster_themes(views.events_by_tag(spark, sf), sample_theme_scorer, merge_scorer=sample_merge_scorer, p=Themes(theme_batch=1_000_000))
+    return members.join(valid.select("theme", "theme_folder"), "theme", "left").select("tag", "theme", "theme_folder")
+
+
+@query("OPS-10", "SNK-8", sql=with_(*ASKED, EVENT_FILES, r"pics AS (SELECT split_part(path, '/', 3) AS tag, path AS src FROM event_files WHERE regexp_matches(lower(path), '\.(jpg|jpeg|png)$'))",
+  r"wanted AS (SELECT theme_folder AS folder, regexp_extract(src, '[^/]*$') AS name, src, theme, tag FROM merged JOIN valid USING (theme) JOIN pics USING (tag))", *copies_sql("wanted"), body="SELECT folder, name, src, theme, tag, final_name, status FROM copies"))
+def theme_copy_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos of valid themes into their folders, some of which hold files already."""
+    members, valid, _ = themes.cluster_themes(views.events_by_tag(spark, sf), sample_theme_scorer, merge_scorer=sample_merge_scorer, p=Themes(theme_batch=1_000_000))
+    pics = folders.event_photos(views.event_files(spark, sf), "/archive").select("tag", "path").withColumns(views.content_of(F.col("path")))
+    wanted = themes.theme_copies(members, valid, pics).select("folder", "name", "src").withColumns(views.content_of(F.col("src")))
+    plan = themes.theme_copies(members, valid, pics, settle(views.copy_target(wanted, F.lit(""))))
+    return plan.select("folder", "name", "src", "theme", "tag", "final_name", "status")
+
+
 def sample_day_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeatable stand-in for the day-merging model, by the first md5 digit of the day."""
     from hashlib import md5

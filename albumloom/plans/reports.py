@@ -93,6 +93,15 @@ def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return compare.keywords(compare.document_word_counts(views.decisions(spark, sf), text, F.regexp_extract_all("body", F.lit("[a-z]{2,}"), F.lit(0)), "doc_id"))
 
 
+@query("AGG-21", sql=with_(DECISIONS, body="""SELECT model, decision, sum(n)::BIGINT AS all_words, least(count(*), 10) AS told, true AS within, false AS missed
+  FROM (SELECT model, decision, word, count(*) AS n FROM (SELECT d.model, d.decision, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM decisions d JOIN documents USING (doc_id)) GROUP BY ALL) GROUP BY ALL"""))
+def text_keywords_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """The sketch held against the exact counts, by its error bound."""
+    d, body = views.decisions(spark, sf), views.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("body"))
+    tokens = F.regexp_extract_all("body", F.lit("[a-z]{2,}"), F.lit(0))
+    return compare.sketch_against_exact(compare.sketched_words(d, body, tokens, "doc_id"), compare.document_word_counts(d, body, tokens, "doc_id"))
+
+
 @query("OPS-14", "SNK-7", sql=with_(DECISIONS, WIDE, body=f"""SELECT '差异' AS sheet, {PATTERN} AS item, count(*) AS n FROM wide WHERE consensus = '不一致' GROUP BY 2 UNION ALL SELECT '一致性', consensus, count(*) FROM wide GROUP BY consensus
   UNION ALL SELECT '保留', CASE model WHEN 'A' THEN 'ollama-vision-A-with-a-very' WHEN 'B' THEN 'ollama-vision-A-with-a-very#2' WHEN 'C' THEN 'openai-vision-C-with-a-very' ELSE 'ollama-vision-D-with-a-very' END, count(*) FILTER (decision = 'keep') FROM decisions GROUP BY model""").replace("SELECT '差异' AS sheet, CASE WHEN k = 1 THEN 'only_' || keeper", "SELECT '差异' AS sheet, CASE WHEN k = 1 THEN 'only_' || keeper"))
 def log_comparison(spark: SparkSession, sf: str) -> DataFrame:

@@ -304,22 +304,24 @@ NAME_TIME_SQL = """CASE o_orderkey % 9 WHEN 0 THEN s WHEN 1 THEN s
   WHEN 3 THEN date_diff('second', TIMESTAMP '1970-01-01', d::TIMESTAMP) + 9 * 3600 + 487 WHEN 4 THEN date_diff('second', TIMESTAMP '1970-01-01', d::TIMESTAMP) END"""
 
 
-@query("SCL-4", sql=with_(PICTURE, body=f"SELECT o_orderkey, {NAME_TIME_SQL} AS t FROM pics WHERE o_orderkey % 9 NOT IN (7, 8)"))
-def name_times(spark: SparkSession, sf: str) -> DataFrame:
-    return name_epochs(pictures(spark, sf).where(~(F.col("o_orderkey") % 9).isin(7, 8)))
-
-
 # the names of kinds 7 and 8 hold digits that are a date only by chance, and never a time of day
 CHANCE_DATE_SQL = r"try_strptime(regexp_replace(regexp_extract(filename, '\d{4}[-_.]?\d{2}[-_.]?\d{2}'), '[-_.]', '', 'g'), '%Y%m%d')"
+NAME_TIMES_SQL = with_(PICTURE, body=f"""SELECT o_orderkey, CASE WHEN o_orderkey % 9 NOT IN (7, 8) THEN {NAME_TIME_SQL}
+  WHEN year(chance) BETWEEN 1900 AND 2024 THEN date_diff('second', TIMESTAMP '1970-01-01', chance) END AS t FROM (SELECT *, {CHANCE_DATE_SQL} AS chance FROM pics)""")
 
 
-@query("SCL-4", sql=with_(PICTURE, body=f"""SELECT o_orderkey, CASE WHEN o_orderkey % 9 NOT IN (7, 8) THEN {NAME_TIME_SQL}
-  WHEN year(chance) BETWEEN 1900 AND 2024 THEN date_diff('second', TIMESTAMP '1970-01-01', chance) END AS t FROM (SELECT *, {CHANCE_DATE_SQL} AS chance FROM pics)"""))
-def name_times_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``name_times`` over all orders, with the names that hold digits but no date."""
+@query("SCL-4", sql=NAME_TIMES_SQL)
+def name_times(spark: SparkSession, sf: str) -> DataFrame:
+    """File-name times of all orders, names that hold digits but no date among them."""
     return name_epochs(pictures(spark, sf))
 
 
+@query("SCL-4", sql=NAME_TIMES_SQL)
+def name_times_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``name_times`` under the name that the whole query had before."""
+    return name_times(spark, sf)
+
+
 def name_epochs(p: DataFrame) -> DataFrame:
     dated = times.seconds_of(times.name_date(F.col("filename"), F.lit(2024)))
     return p.select("o_orderkey", F.coalesce(times.chat_export_time(F.col("filename")), dated).alias("t"))
