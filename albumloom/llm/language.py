@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -18,92 +22,154 @@ from albumloom.llm.tokencount import MOST_BYTES
 
 #: what a word starts with in the vocabulary
 START = "▁"
-#: letters of a word that are scored together; longer runs are several words
-LETTERS = 24
-RUN = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
-CHUNK = 1_000_000
-BLOCK = 20_000
+CHUNK = 4_000_000
 UNKNOWN = 1e-9
+#: words whose scores a worker holds at most before it begins anew
+MOST_WORDS = 300_000
+
+
+@cache
+def run_pattern() -> re.Pattern:
+    """Runs of letters and their marks, by Unicode category L and M; a run begins with a letter."""
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+    spans = lambda of: "".join(f"{re.escape(chr(m.start()))}-{re.escape(chr(m.end() - 1))}" for m in re.finditer(of, kinds))
+    return re.compile(f"[{spans('L+')}][{spans('[LM]+')}]*")
+
+
+def runs(text: str | None) -> list[str]:
+    return run_pattern().findall(text.lower()) if isinstance(text, str) else []
 
 
 @dataclass(frozen=True)
 class Fit:
-    """``rows`` documents and ``words`` distinct words per language bound what is learned from."""
+    """``rows`` documents per language bound what is learned from; all their words count."""
 
     rows: int = 500
-    words: int = 30_000
     rounds: int = 3
-    longest: int = 10
     smooth: float = 0.05
 
 
+@dataclass(frozen=True)
+class Lattice:
+    """All ways to put words together out of pieces. Nodes are places between characters, those of a word in a row.
+
+    An edge is a piece (``piece``) from node ``source`` to node ``end``. Edges are in order of the place of their
+    end in its word and then of the node; ``steps`` cuts them by place, ``heads`` are the first edges of each end. ``first`` and ``last`` are the
+    outer nodes of each word.
+    """
+
+    source: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    steps: np.ndarray
+    heads: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Per node the log chance of all segmentations up to it; ``logs`` has one column per language or none."""
+        out = np.zeros((self.last[-1] + 1, *logs.shape[1:]))
+        cuts = np.searchsorted(self.heads, self.steps)
+        for k in range(len(self.steps) - 1):
+            a, b = self.steps[k], self.steps[k + 1]
+            heads = self.heads[cuts[k] : cuts[k + 1]]
+            out[self.end[heads]] = np.logaddexp.reduceat(out[self.source[a:b]] + logs[self.piece[a:b]], heads - a, axis=0)
+        return out
+
+
 class Pieces:
-    """The vocabulary's pieces of letters, and lattices of words over them."""
+    """The vocabulary's pieces of letters as a trie, and lattices of words over them.
 
-    def __init__(self, pieces: list[str], longest: int):
-        self.longest = longest
-        kept = sorted({p for p in pieces if len(p) <= longest and RUN.sub("", p) in ("", START) and p.rfind(START) <= 0})
+    Edges of the trie are sorted keys (state * characters + character) with their targets; ``at_state`` is the piece
+    that ends in a state. ``longest`` leaves longer pieces out; none by default.
+    """
+
+    def __init__(self, pieces: list[str], longest: int | None = None):
+        letters = run_pattern()
+        whole = lambda p: not p or letters.fullmatch(p)
+        kept = sorted({p for p in pieces if p and whole(p.removeprefix(START)) and (longest is None or len(p) <= longest)})
         self.ids = {p: i for i, p in enumerate(kept)}
         self.none, self.unknown = len(kept), len(kept) + 1
-
-    def lattices(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places in ``words``, piece ids): ids[n, s, l] is the piece of l + 1 characters at s of word n."""
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w) + 1, []).append(i)
-        get = self.ids.get
-        for t, places in by_length.items():
-            wide = min(t, self.longest)
-            for at in range(0, len(places), BLOCK):
-                some = places[at : at + BLOCK]
-                ids = np.full((len(some), t, wide), self.none, np.int64)
-                flat = [get(w[s : s + k + 1], self.none) for i in some for w in (START + words[i],) for s in range(t) for k in range(min(wide, t - s))]
-                inside = np.array([s + k < t for s in range(t) for k in range(wide)]).reshape(t, wide)
-                ids[:, inside] = np.array(flat).reshape(len(some), -1)
-                # a character that is no piece stands for itself
-                ids[:, :, 0] = np.where(ids[:, :, 0] == self.none, self.unknown, ids[:, :, 0])
-                yield np.array(some), ids
-
-
-def _forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[:, t]: the chance of all segmentations of the first t characters; p has one column per language or none."""
-    n, t, wide = ids.shape
-    alpha = np.zeros((n, t + 1, *p.shape[1:]))
-    alpha[:, 0] = 1
-    for s in range(t):
-        for k in range(min(wide, t - s)):
-            alpha[:, s + k + 1] += alpha[:, s] * p[ids[:, s, k]]
-    return alpha
+        self.longest = max(map(len, kept), default=1)
+        self.chars = np.array(sorted({ord(c) for p in kept for c in p}), np.int64)
+        code = {int(c): i for i, c in enumerate(self.chars)}
+        edges: dict[int, int] = {}
+        ends = [self.none]
+        for i, p in enumerate(kept):
+            state = 0
+            for c in p:
+                key = state * len(code) + code[ord(c)]
+                if key not in edges:
+                    edges[key] = len(ends)
+                    ends.append(self.none)
+                state = edges[key]
+            ends[state] = i
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[int(k)] for k in self.keys], np.int64)
+        self.at_state = np.array(ends, np.int64)
+
+    def _step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The state each goes on to, -1 where there is none; codes are -1 for characters that no piece has."""
+        if not len(self.keys):
+            return np.full(len(state), -1, np.int64)
+        key = state * len(self.chars) + codes
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((codes >= 0) & (self.keys[at] == key), self.to[at], -1)
+
+    def lattice(self, words: list[str]) -> Lattice:
+        """Walks the trie from all characters of all words at once; a character that is no piece stands for itself."""
+        marked = [START + w for w in words]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        offset = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+        codes = np.searchsorted(self.chars, points)
+        codes = np.where(self.chars[np.minimum(codes, len(self.chars) - 1)] == points, codes, -1) if len(self.chars) else np.full(len(points), -1, np.int64)
+        rows, state, found = np.arange(len(points)), np.zeros(len(points), np.int64), []
+        for k in range(self.longest):
+            state = self._step(state, codes[rows + k])
+            piece = np.where(state >= 0, self.at_state[state], self.none)
+            if k == 0:
+                piece = np.where(piece == self.none, self.unknown, piece)
+            told = piece != self.none
+            found.append((rows[told], np.full(int(told.sum()), k + 1), piece[told]))
+            on = (state >= 0) & (offset[rows] + k + 1 < size[word[rows]])
+            rows, state = rows[on], state[on]
+        start, length, piece = (np.concatenate(x) for x in zip(*found))
+        # a word of t characters has t + 1 nodes
+        source = start + word[start]
+        end, place = source + length, offset[start] + length
+        order = np.lexsort((end, place))
+        source, end, piece, place = source[order], end[order], piece[order], place[order]
+        steps = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
+        heads = np.concatenate(([0], np.flatnonzero(np.diff(end)) + 1)) if len(end) else np.empty(0, np.int64)
+        last = np.cumsum(size + 1) - 1
+        return Lattice(source, end, piece, steps, heads, last - size, last)
 
 
 def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, fit: Fit) -> np.ndarray:
     """Piece chances by expectation maximisation: expected uses of each piece over all segmentations of the words."""
     size = len(pieces.ids)
-    held = list(pieces.lattices(words))
-    uses = np.zeros(size + 2)
-    for at, ids in held:
-        uses += np.bincount(ids.reshape(-1), np.repeat(counts[at], ids[0].size), size + 2)
-    p = None
+    own = pieces.lattice(words)
+    # the same edges in order of their sources, for sums from the end
+    word = np.repeat(np.arange(len(words)), own.last - own.first + 1)
+    left = own.last[word[own.source]] - own.source
+    order = np.lexsort((own.source, left))
+    back = Lattice(
+        own.end[order], own.source[order], own.piece[order], np.concatenate(([0], np.flatnonzero(np.diff(left[order])) + 1, [len(order)])),
+        np.concatenate(([0], np.flatnonzero(np.diff(own.source[order])) + 1)), own.last, own.last,
+    )
+    uses = np.bincount(own.piece, counts[word[own.source]], size + 2)
+    p = np.zeros(size + 2)
     for step in range(fit.rounds + 1):
-        uses[size:] = 0
         p = np.zeros(size + 2)
         p[:size] = (uses[:size] + fit.smooth) / (uses[:size].sum() + fit.smooth * size)
         p[pieces.unknown] = UNKNOWN
-        if step == fit.rounds:
-            break
-        uses = np.zeros(size + 2)
-        for at, ids in held:
-            n, t, wide = ids.shape
-            alpha = _forward(ids, p)
-            beta = np.zeros((n, t + 1))
-            beta[:, t] = 1
-            for s in range(t - 1, -1, -1):
-                for k in range(min(wide, t - s)):
-                    beta[:, s] += p[ids[:, s, k]] * beta[:, s + k + 1]
-            scale = counts[at] / np.maximum(alpha[:, t], 1e-300)
-            for s in range(t):
-                for k in range(min(wide, t - s)):
-                    uses += np.bincount(ids[:, s, k], alpha[:, s] * p[ids[:, s, k]] * beta[:, s + k + 1] * scale, size + 2)
+        if step < fit.rounds:
+            logs = np.log(np.maximum(p, 1e-300))
+            alpha, beta = own.forward(logs), back.forward(logs)
+            chance = alpha[own.source] + logs[own.piece] + beta[own.end] - alpha[own.last][word[own.source]]
+            uses = np.bincount(own.piece, np.exp(chance) * counts[word[own.source]], size + 2)
     return p
 
 
@@ -114,11 +180,39 @@ class Model:
     p: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log chance of each word under each language, all segmentations summed."""
-        out = np.zeros((len(words), len(self.langs)))
-        for at, ids in self.pieces.lattices(words):
-            out[at] = np.log(np.maximum(_forward(ids, self.p)[:, -1], 1e-300))
-        return out
+        """Log chance of each word under each language, all segmentations summed, whatever its length."""
+        if not len(words) or not self.langs:
+            return np.zeros((len(words), len(self.langs)))
+        lattice = self.pieces.lattice(words)
+        return lattice.forward(np.log(np.maximum(self.p, 1e-300)))[lattice.last]
+
+
+class Scores:
+    """Scores of the words that a worker has seen, so that a word that comes again is looked up."""
+
+    def __init__(self, model: Model):
+        self.model, self.index, self.table = model, {}, np.zeros((0, len(model.langs)))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.index) > MOST_WORDS:
+            self.index, self.table = {}, self.table[:0]
+        new = [w for w in words if w not in self.index]
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.table = np.concatenate((self.table, self.model.word_scores(new)))
+        return self.table[[self.index[w] for w in words]]
+
+
+_scores: dict[int, Scores] = {}
+
+
+def held_scores(shared: Broadcast) -> Scores:
+    """The scores of this model in this worker, which may work on one task after another."""
+    model = shared.value
+    if id(model) not in _scores:
+        _scores.clear()
+        _scores[id(model)] = Scores(model)
+    return _scores[id(model)]
 
 
 def read_pieces(spark, path: str) -> list[str]:
@@ -136,7 +230,7 @@ def _runs(text: str) -> Column:
     @pandas_udf("array<string>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([RUN.findall(t.lower()) if isinstance(t, str) else [] for t in texts], dtype=object)
+            yield pd.Series([runs(t) for t in texts], dtype=object)
 
     return of(text)
 
@@ -145,13 +239,12 @@ def learn(docs: DataFrame, path: str, out: Column, fit: Fit = Fit()) -> Model:
     """Model of the languages in ``docs.lang`` from a bounded sample of the documents where ``out`` is false."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~out).select("doc_id", "lang", "text")
     words = hash_sample(known, "lang", fit.rows).select("lang", F.explode(_runs("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = words.withColumn("place", F.row_number().over(common)).where(F.col("place") <= fit.words).select("lang", "word", "n", "place").toPandas()
-    pieces = Pieces(read_pieces(docs.sparkSession, path), fit.longest)
+    rows = words.toPandas()
+    pieces = Pieces(read_pieces(docs.sparkSession, path))
     langs = sorted(rows["lang"].unique())
     tables = []
     for lang in langs:
-        own = rows[rows["lang"] == lang].sort_values("place")
+        own = rows[rows["lang"] == lang].sort_values("word")
         tables.append(learn_pieces(pieces, own["word"].tolist(), own["n"].to_numpy(float), fit))
     return Model(langs, pieces, np.array(tables).T if tables else np.zeros((pieces.unknown + 1, 0)))
 
@@ -160,26 +253,28 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, ...) -> the columns of docs, lang_pred, score.
 
     The chance of a text is the product over its words; score is the chance of the language foretold against all
-    others. Null texts, texts without letters, and all texts where no language was learned are 'und' with score 0.
+    others. Null texts, texts without letters (number signs are none), and all texts where no language was learned are
+    'und' with score 0. A run of letters and marks of any length is one word, as in scripts without spaces; repeated rows
+    have equal results; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")
     def foretell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        known, m = held_scores(shared), shared.value
         for texts in batches:
             langs, scores, at = [], [], 0
             while at < len(texts):
                 held, chars = [], 0
                 while at < len(texts) and chars < CHUNK:
                     t = texts.iloc[at]
-                    held.append(RUN.findall(t.lower()) if isinstance(t, str) else [])
+                    held.append(runs(t))
                     chars += len(t) if isinstance(t, str) else 0
                     at += 1
                 flat = np.empty(sum(map(len, held)), dtype=object)
                 flat[:] = list(chain.from_iterable(held))
                 codes, unique = pd.factorize(flat)
-                each = m.word_scores(list(unique))[codes]
+                each = known.of(list(unique))[codes]
                 ends = np.cumsum([len(x) for x in held])
                 total = np.concatenate((np.zeros((1, len(m.langs))), np.cumsum(each, axis=0)))
                 for a, b in zip(np.concatenate(([0], ends[:-1])), ends):
