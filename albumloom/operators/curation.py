@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from albumloom.functions.names import basename, clean_tag, dated_tag, saved_name
 from albumloom.functions.replies import decision_items
+from albumloom.functions.rules import error_class
 from albumloom.operators.naming import CONTENT, plan_copies
+from albumloom.operators.ordering import in_order, running_max
 from albumloom.params import Curation
 from albumloom.session import settle
 
@@ -71,16 +74,25 @@ def valid_items(parsed: DataFrame, sent: DataFrame, key: list[str]) -> DataFrame
     return known.groupBy(*key, F.col("photo_id").alias("item_id")).agg(F.min_by(cols, "at").alias("d")).select(*key, "item_id", "d.*")
 
 
-def ask(items: DataFrame, scorer: Scorer, tier: str, key: list[str]) -> DataFrame:
-    """One tier: request, score, parse, keep what was asked for; written out, since a model does not repeat itself."""
+def _replies(items: DataFrame, scorer: Scorer, tier: str, key: list[str]) -> DataFrame:
+    """One call per batch: its key columns again, the reply and how it ended."""
     asked = requests(items, key, photo_line()).withColumn("key", F.concat_ws("\u0001", *key)).withColumn("tier", F.lit(tier))
     replies = score(asked.select("key", "tier", "ids", "lines"), scorer)
     parts = F.split("key", "\u0001")
-    replies = replies.select(*[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(key)], "reply")
+    return replies.select(*[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(key)], "reply", "finish_reason")
+
+
+def _told(replies: DataFrame, items: DataFrame, tier: str, key: list[str]) -> DataFrame:
+    """Decisions of the replies about the items that were sent; written out, since a model does not repeat itself."""
     got = valid_items(decision_items(replies, key), items.withColumns({k: F.col(k).cast("string") for k in key}), key)
     return settle(got.withColumn("tier", F.lit(tier)))
 
 
+def ask(items: DataFrame, scorer: Scorer, tier: str, key: list[str]) -> DataFrame:
+    """One tier: request, score, parse, keep what was asked for."""
+    return _told(_replies(items, scorer, tier, key), items, tier, key)
+
+
 def three_tiers(items: DataFrame, scorer: Scorer, p: Curation = Curation()) -> tuple[DataFrame, DataFrame]:
     """Answers of all tiers and the items that got none. Items: batch_id, item_id, rank, t, place, ..."""
     on = ["batch_id", "item_id"]
@@ -95,6 +107,59 @@ def three_tiers(items: DataFrame, scorer: Scorer, p: Curation = Curation()) -> t
     return t1.unionByName(t2).unionByName(t3), left.join(t3.select(*on), on, "left_anti")
 
 
+TIERS = ("T1", "T2", "T3")
+CALL = ["batch_id", "step", "sub"]
+
+
+def guarded_tiers(items: DataFrame, scorer: Scorer, p: Curation = Curation()) -> tuple[DataFrame, DataFrame]:
+    """(items with ``state``, calls): all tiers, stopped by the breaker.
+
+    Calls are made batch by batch in order of batch_id, in a batch tier by tier and in the third group by group. A call whose
+    finish_reason is ``error`` has failed, its reply is the message. The first fatal failure, or the last of so many failures in
+    a row, trips the breaker: later calls are not made. State is the tier that answered, ``failed`` for what all its calls left out, and
+    ``not_asked`` where the breaker came first; such items are no failures and are asked by the next run.
+
+    Tiers are asked one after the other for all batches that no fatal failure found so far lies before, so the smallest
+    such batch shuts the later tiers. Rows in a row of failures are told once all calls are known; what they or a fatal call of a later tier
+    would have prevented is left out again. ``calls`` are those made: batch_id, step, sub, ok, fatal.
+    """
+    items = settle(items)
+    on = ["batch_id", "item_id"]
+    left, answers, calls, shut = items, [], [], None
+    for step, tier in enumerate(TIERS, 1):
+        if shut is not None:
+            left = left.where(F.col("batch_id") < F.lit(shut))
+        if tier == "T3":
+            # batches hold at most ten items, so this window is bounded
+            turn = F.row_number().over(Window.partitionBy("batch_id").orderBy("rank"))
+            left = left.withColumn("sub", F.floor((turn - 1) / p.retry_group).cast("string"))
+        key = ["batch_id", "sub"] if tier == "T3" else ["batch_id"]
+        replies = settle(_replies(left, scorer, tier, key))
+        bad = F.coalesce(F.col("finish_reason") == "error", F.lit(False))
+        sub = F.col("sub") if tier == "T3" else F.lit("0")
+        made = replies.select("batch_id", F.lit(step).alias("step"), sub.cast("int").alias("sub"), (~bad).alias("ok"), (bad & (error_class(F.col("reply")) == "fatal")).alias("fatal"))
+        calls.append(made)
+        got = _told(replies.where(~bad), left, tier, key)
+        answers.append(got.select(*on, "is_highlight", "reason", "event_tag", "tier", F.lit(step).alias("step"), sub.cast("int").alias("sub")))
+        first = made.where("fatal").agg(F.min("batch_id")).first()[0]  # one name
+        shut = first if shut is None else min(shut, first or shut)
+        left = left.join(got.select(*on), on, "left_anti")
+    every = settle(reduce(DataFrame.unionByName, calls))
+    placed = running_max(in_order(every, [], CALL), [], {"last_ok": F.when(F.col("ok"), F.col("pos"))})
+    row = F.col("pos") - F.coalesce("last_ok", F.lit(-1))
+    tripped = F.col("fatal") | (~F.col("ok") & (row >= p.failure_limit))
+    trip = placed.where(tripped).agg(F.min(F.struct(*CALL)).alias("at")).first()["at"]  # one call
+    got = reduce(DataFrame.unionByName, answers)
+    rows = items.join(got.drop("tier").withColumn("tier", F.element_at(F.array(*map(F.lit, TIERS)), F.col("step"))), on, "left")
+    if trip is None:
+        return rows.withColumn("state", F.coalesce("tier", F.lit("failed"))).drop("tier", "step", "sub"), every
+    at = F.struct(*[F.lit(trip[c]).cast(t).alias(c) for c, t in zip(CALL, ("string", "int", "int"))])
+    before = F.struct(*CALL) < at
+    state = F.when(F.col("tier").isNotNull() & before, F.col("tier")).when(F.col("batch_id") < F.lit(trip["batch_id"]), "failed").otherwise("not_asked")
+    blank = {c: F.when(F.col("state").isin(*TIERS), F.col(c)) for c in ("is_highlight", "reason", "event_tag")}
+    return rows.withColumn("state", state).withColumns(blank).drop("tier", "step", "sub"), every.where(F.struct(*CALL) <= at)
+
+
 def retry_truncated(asked: DataFrame, scorer: Scorer) -> DataFrame:
     """Replies with one retry for those cut short; cut short twice means no reply. ``attempts`` counts the calls."""
     def cut() -> Column:

@@ -66,6 +66,58 @@ def three_tier_retry(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def failing_scorer(fatal_tier: str):
+    """The stand-in model with calls that fail: an eighth of all, and some of one tier for good."""
+
+    def run(pdf):
+        from hashlib import md5
+
+        out = curation.sample_scorer(pdf)
+        for i, (key, tier) in enumerate(zip(pdf["key"], pdf["tier"])):
+            d = md5((tier + "call" + key.replace("\u0001", "/")).encode()).hexdigest()[:2]
+            if tier == fatal_tier and d < "06":
+                out.loc[i, ["reply", "finish_reason"]] = ["Error code: 401 - unauthorized", "error"]
+            elif d >= "e0":
+                out.loc[i, ["reply", "finish_reason"]] = ["Connection reset by peer", "error"]
+        return out
+
+    return run
+
+
+def guarded_sql(fatal_tier: str) -> list[str]:
+    """All three tiers as if nothing stopped them, the first call that trips, and what comes before it."""
+    call = lambda tier, key: f"substr(md5('{tier}call' || {key}), 1, 2)"
+    bad = lambda tier, key: f"({call(tier, key)} >= 'e0'" + (f" OR {call(tier, key)} < '06')" if tier == fatal_tier else ")")
+    fatal = lambda tier, key: f"{call(tier, key)} < '06'" if tier == fatal_tier else "false"
+    return [
+        f"""one AS (SELECT *, NOT {bad('T1', 'batch_id')} AND substr(md5('T1' || item_id), 1, 1) NOT IN ('0', '1', '2') AS a1 FROM sent),
+two AS (SELECT *, NOT a1 AND NOT {bad('T2', 'batch_id')} AND substr(md5('T2' || item_id), 1, 1) > '7' AS a2 FROM one),
+third AS (SELECT *, (row_number() OVER (PARTITION BY batch_id ORDER BY rank) - 1) // 2 AS sub FROM two WHERE NOT a1 AND NOT a2),
+three AS (SELECT *, NOT {bad('T3', "batch_id || '/' || sub")} AND substr(md5('T3' || item_id), 1, 1) > '3' AS a3 FROM third),
+calls3 AS (SELECT DISTINCT batch_id, 1 AS step, 0::BIGINT AS sub, NOT {bad('T1', 'batch_id')} AS ok, {fatal('T1', 'batch_id')} AS fatal FROM sent
+  UNION ALL SELECT DISTINCT batch_id, 2, 0, NOT {bad('T2', 'batch_id')}, {fatal('T2', 'batch_id')} FROM one WHERE NOT a1
+  UNION ALL SELECT DISTINCT batch_id, 3, sub, NOT {bad('T3', "batch_id || '/' || sub")}, {fatal('T3', "batch_id || '/' || sub")} FROM third),
+rowed AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY batch_id, step, sub) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS streak FROM (SELECT *, count(*) FILTER (ok) OVER (ORDER BY batch_id, step, sub) AS island FROM calls3)),
+trip AS (SELECT coalesce(min((batch_id, step, sub)) FILTER (fatal OR (NOT ok AND streak >= 5)), ('~', 9, 9::BIGINT)) AS at_, coalesce(min(batch_id) FILTER (fatal OR (NOT ok AND streak >= 5)), '~') AS b FROM rowed),
+told AS (SELECT t.batch_id, t.item_id, CASE WHEN t.a1 THEN 'T1' WHEN t.a2 THEN 'T2' WHEN h.a3 THEN 'T3' END AS tier, CASE WHEN t.a1 THEN (t.batch_id, 1, 0::BIGINT) WHEN t.a2 THEN (t.batch_id, 2, 0::BIGINT) WHEN h.a3 THEN (t.batch_id, 3, h.sub) END AS by_ FROM two t LEFT JOIN three h USING (item_id))""",
+    ]
+
+
+GUARDED_BODY = "SELECT batch_id, item_id, CASE WHEN tier IS NOT NULL AND by_ < at_ THEN tier WHEN batch_id < b THEN 'failed' ELSE 'not_asked' END AS state FROM told, trip"
+
+
+@query("OPS-6", sql=with_(SENT, *guarded_sql("T1"), body=GUARDED_BODY))
+def retry_until_first_tier_fails(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tiers with the breaker, fatal failures in the first."""
+    return curation.guarded_tiers(views.sent(spark, sf), failing_scorer("T1"))[0].select("batch_id", "item_id", "state")
+
+
+@query("OPS-6", sql=with_(SENT, *guarded_sql("T2"), body=GUARDED_BODY))
+def retry_until_second_tier_fails(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tiers with the breaker, fatal failures in the second."""
+    return curation.guarded_tiers(views.sent(spark, sf), failing_scorer("T2"))[0].select("batch_id", "item_id", "state")
+
+
 def cut_short_scorer(pdf):
     """Repeatable stand-in that breaks off a quarter of the first and a sixteenth of the second answers."""
     from hashlib import md5
