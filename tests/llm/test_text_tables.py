@@ -203,9 +203,16 @@ def test_whitening_blocks(spark):
     """Several blocks of rows, the last one part full; the scatter matrix does not hang on them."""
     rng = np.random.default_rng(5)
     y = rng.normal(size=(333, 6))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "idx bigint, y array<double>").repartition(4)
+    x = np.floor(y * 1000).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, x array<bigint>").repartition(4)
+    centred = x - x.mean(axis=0)
     for block in (10, 64, 1000):
-        assert np.allclose(whitening.scatter(whitening.block_matrix(df, "y", 6, block)), y.T @ y, rtol=1e-12)
+        made = whitening.centred_blocks(df, x.sum(axis=0).tolist(), 333, block).withColumn("mark", F.monotonically_increasing_id())
+        blocks = whitening.numbered(common.stored(made, "blocks").withColumn("rows", F.size("ids")))
+        numbers = sorted(r["number"] for r in blocks.collect())
+        assert numbers == list(range(len(numbers))) and sorted(i for r in blocks.collect() for i in r["ids"]) == list(range(333))
+        got = whitening.scatter(whitening.block_matrix(blocks, "y", 6, block, len(numbers)))
+        assert np.allclose(got, centred.T @ centred, rtol=1e-9)
 
 
 def test_whitening_odd(spark):
