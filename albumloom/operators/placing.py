@@ -47,10 +47,15 @@ def alias_hits(points: DataFrame, rules: DataFrame) -> DataFrame:
     return first.select("coord", F.when(F.col("r.block"), "block").otherwise("replace").alias("alias"), F.when(~F.col("r.block"), F.col("r.name")).alias("alias_name"))
 
 
-def _lng_width(band: Column) -> Column:
+def _radius_cell(p: Placing) -> float:
+    """Height of a cell, from the radius."""
+    return RADIUS_CELL * max(1.0, p.poi_radius_m / 500.0)
+
+
+def _lng_width(band: Column, cell: float) -> Column:
     """Width of a longitude cell in a latitude band: the radius cell at the far edge of the neighbouring band."""
-    far = F.least((F.abs(band) + 2) * RADIUS_CELL, F.lit(89.9))
-    return F.lit(RADIUS_CELL) / F.cos(F.radians(far))
+    far = F.least((F.abs(band) + 2) * cell, F.lit(89.9))
+    return F.lit(cell) / F.cos(F.radians(far))
 
 
 def nearby_poi(points: DataFrame, poi: DataFrame, p: Placing = Placing()) -> DataFrame:
@@ -59,25 +64,28 @@ def nearby_poi(points: DataFrame, poi: DataFrame, p: Placing = Placing()) -> Dat
     A point looks into three latitude bands and three longitude cells of each; longitudes near the date line
     are tried on both sides.
     """
-    if p.poi_radius_m > 500:
-        raise ValueError("cells are made for radii up to 500 m")
-    named = poi.where(F.trim("name").rlike(geo.HAS_CHINESE)).withColumn("band", F.floor(F.col("lat") / RADIUS_CELL))
-    placed = named.withColumn("cell", F.floor(F.col("lng") / _lng_width(F.col("band")))).select(
+    height = _radius_cell(p)
+    rim = min(180.0, 3.0 * height / RADIUS_CELL)
+    named = poi.where(F.trim("name").rlike(geo.HAS_CHINESE)).withColumn("band", F.floor(F.col("lat") / height))
+    placed = named.withColumn("cell", F.floor(F.col("lng") / _lng_width(F.col("band"), height))).select(
         "band", "cell", "poi_id", "name", "type", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")
     )
     seen = F.filter(
-        F.array(F.col("lng"), F.when(F.col("lng") > 177, F.col("lng") - 360), F.when(F.col("lng") < -177, F.col("lng") + 360)), lambda x: x.isNotNull()
+        F.array(F.col("lng"), F.when(F.col("lng") > 180 - rim, F.col("lng") - 360), F.when(F.col("lng") < rim - 180, F.col("lng") + 360)), lambda x: x.isNotNull()
     )
     at = points.select("coord", "lat", "lng", F.explode(seen).alias("x"))
-    at = at.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("lat") / RADIUS_CELL) + d)))
-    home = F.floor(F.col("x") / _lng_width(F.col("band")))
+    at = at.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("lat") / height) + d)))
+    home = F.floor(F.col("x") / _lng_width(F.col("band"), height))
     at = at.withColumn("cell", F.explode(F.array(home - 1, home, home + 1)))
     dist = geo.haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
-    return at.join(placed, ["band", "cell"]).withColumn("dist", dist).where(F.col("dist") <= p.poi_radius_m).select("coord", "poi_id", "name", "type", "dist")
+    near = at.join(placed, ["band", "cell"]).withColumn("dist", dist).where(F.col("dist") <= p.poi_radius_m).select("coord", "poi_id", "name", "type", "dist")
+    # wide cells next to a pole can be reached from both sides of the date line
+    return near if p.poi_radius_m <= 500 else near.dropDuplicates(["coord", "poi_id"])
 
 
-def scored(near: DataFrame) -> DataFrame:
-    return near.withColumn("score", geo.poi_score(F.col("name"), F.col("type"), F.col("dist")))
+def scored(near: DataFrame, p: Placing = Placing()) -> DataFrame:
+    """With ``score``; names with a blacklisted part score so low that no threshold lets them through."""
+    return near.withColumn("score", geo.poi_score(F.col("name"), F.col("type"), F.col("dist"), list(p.poi_blacklist)))
 
 
 def best_poi(candidates: DataFrame, threshold: Column) -> DataFrame:
@@ -106,7 +114,7 @@ def resolve_points(points: DataFrame, poi: DataFrame, admin: DataFrame, rules: D
     open_points = hit.where("alias IS NULL").select("coord", "lat", "lng")
     known = admin.select("coord", geo.city_of(F.col("province"), F.col("city")).alias("city"), "district", "township")
     threshold = F.when(F.col("city") == p.home_city, p.min_score_home).otherwise(p.min_score)
-    best = best_poi(scored(nearby_poi(open_points, poi, p)).join(known.select("coord", "city"), "coord"), threshold).select("coord", F.col("name").alias("poi_name"))
+    best = best_poi(scored(nearby_poi(open_points, poi, p), p).join(known.select("coord", "city"), "coord"), threshold).select("coord", F.col("name").alias("poi_name"))
     text = geo.admin_text(F.col("city"), F.col("district"), F.col("township"), p)
     full = hit.join(known, "coord", "left").join(best, "coord", "left").withColumn("admin", F.when(text != "", text))
     renamed = F.col("alias") == "replace"
@@ -126,7 +134,7 @@ def write_back(photos: DataFrame, resolved: DataFrame) -> DataFrame:
 def review(resolved: DataFrame, poi: DataFrame, p: Placing = Placing()) -> DataFrame:
     """One audit row per point. The chosen point of interest is judged by the away threshold everywhere."""
     looked_up = resolved.where(~F.col("alias").eqNullSafe("replace")).select("coord", "lat", "lng", "alias")
-    candidates = scored(nearby_poi(looked_up, poi, p))
+    candidates = scored(nearby_poi(looked_up, poi, p), p)
     chosen = best_poi(candidates, F.lit(p.min_score)).join(looked_up.where("alias IS NULL").select("coord"), "coord", "left_semi")
     chosen = chosen.select("coord", F.col("name").alias("chosen"), F.col("score").alias("chosen_score"))
     return resolved.join(chosen, "coord", "left").join(top_poi(candidates), "coord", "left")

@@ -34,6 +34,7 @@ class Placing:
 
     home_city: str = "重庆市"
     poi_radius_m: float = 500.0
+    poi_blacklist: tuple[str, ...] = ()
     min_score: int = 35
     min_score_home: int = 65
 

@@ -105,6 +105,22 @@ def median_bit_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", median_bits(F.col("embedding")).alias("h")).select("vec_id", "h.*")
 
 
+@query("OPS-13", sql="""WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS e FROM embeddings),
+terms AS (SELECT vec_id, k, sum(cos(pi() * k * (2 * i + 1) / 64) * e[i + 1]) AS a, sum(cos(pi() * k * (2 * i + 1) / 64) * e[i + 33]) AS b FROM px, range(8) f(k), range(32) s(i) GROUP BY ALL),
+low AS (SELECT x.vec_id, (x.k * 8 + y.k)::INT AS bit, x.a * y.b AS v FROM terms x JOIN terms y USING (vec_id)),
+cut AS (SELECT vec_id, median(v) AS m FROM low GROUP BY vec_id)
+SELECT vec_id AS photo_id, sum(CASE WHEN bit < 32 AND v > m THEN 1::BIGINT << (bit % 32) ELSE 0 END)::BIGINT AS hash_hi, sum(CASE WHEN bit >= 32 AND v > m THEN 1::BIGINT << (bit % 32) ELSE 0 END)::BIGINT AS hash_lo FROM low JOIN cut USING (vec_id) GROUP BY vec_id""")
+def cosine_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of 32 x 32 out of both halves of a vector, as products, so that SQL can sum rows and columns apart."""
+    from albumloom.operators.imagehash import dct_hashes
+    from albumloom.plans.views import table
+
+    e = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
+    halves = table(spark, sf, "embeddings").select(F.col("vec_id").alias("photo_id"), F.slice(e, 1, 32).alias("a"), F.slice(e, 33, 32).alias("b"))
+    luma = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x * y)))
+    return dct_hashes(halves.select("photo_id", luma.alias("luma")))
+
+
 @query("JOIN-1", sql=with_(PHOTOS, NODES, MATCHES, body="""SELECT a AS photo_id, least(a, min(b)) AS first_match, greatest(a, max(b)) AS last_match FROM matches GROUP BY a"""))
 def near_duplicate_reach(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.duplicate_reach(photos(spark, sf))

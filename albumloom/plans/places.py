@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from albumloom.functions import geo
 from albumloom.operators import placing
 from albumloom.plans.oracle import ADMIN, ALIASES, BEST, HITS, METRES, NEAR, PHOTOS, POI, POINTS, RESOLVED, with_
+from albumloom.params import Placing
 from albumloom.plans.registry import query
 from albumloom.plans.views import admin_areas, aliases, photos, poi, table
 
@@ -93,6 +94,14 @@ def poi_in_radius(spark: SparkSession, sf: str) -> DataFrame:
     return placing.scored(near).select("coord", "poi_id", F.round("dist", 3).alias("dist"), "score")
 
 
+@query("JOIN-6", "SCL-12", sql=with_(PHOTOS, POINTS, POI, NEAR.replace("dist <= 500)", "dist <= 5000)"), body="SELECT coord, poi_id, round(dist, 3) AS dist, CASE WHEN contains(name, '博物馆') THEN -999 ELSE score END AS score FROM scores"))
+def poi_in_wide_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten times the set radius, and a name that is not wanted."""
+    p = Placing(poi_radius_m=5000.0, poi_blacklist=("博物馆",))
+    near = placing.nearby_poi(placing.grid_points(photos(spark, sf)), poi(spark, sf), p)
+    return placing.scored(near, p).select("coord", "poi_id", F.round("dist", 3).alias("dist"), "score")
+
+
 @query("WIN-7", sql=with_(PHOTOS, POINTS, POI, ALIASES, HITS, ADMIN, NEAR, BEST, body="SELECT coord, poi_name FROM best"))
 def best_poi(spark: SparkSession, sf: str) -> DataFrame:
     pts = placing.grid_points(photos(spark, sf))

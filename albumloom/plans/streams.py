@@ -10,6 +10,7 @@ from albumloom.params import Chunking
 from albumloom.plans.oracle import CALLS, CHUNKS, EVENT_DIRS, PHOTOS, with_
 from albumloom.plans.photo_core import all_photos, stage_sql
 from albumloom.plans.registry import query
+from albumloom.session import settle
 from albumloom.streaming import jobs, keyed, runtime
 
 # the given events span a month and come as one table, so repeats are remembered for longer than that
@@ -151,6 +152,21 @@ def new_file_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
 
 
+@query("STR-9", sql="SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, least((day(ts) - 1) // 10, 2)::INT AS arrival FROM events")
+def new_file_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per day, in three arrivals: each is found by the run after it came, and by no other run of the checkpoint."""
+    folder = runtime.scratch(spark, "arrivals")
+    days = views.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10)).alias("part"))
+    found = []
+    for k in range(3):
+        days.where(F.col("part") == k).select("event_id", "day").repartition("day").write.mode("append").partitionBy("day").parquet(f"{folder}/in")
+        runtime.finish(jobs.new_files(spark, f"{folder}/in", "*.parquet"), f"{folder}/found", f"{folder}/checkpoint")
+        found.append(settle(spark.read.schema("path string, length bigint").parquet(f"{folder}/found").select("path", F.lit(k).alias("arrival"))))
+    # a file that is found twice stands twice in the last list
+    first = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("path").agg(F.min("arrival").alias("arrival"))
+    return found[2].select("path").join(first, "path").select(F.regexp_extract("path", "day=([^/]+)", 1).alias("day"), "arrival")
+
+
 @query("STR-10", sql=with_(EVENT_DIRS, body="""SELECT day, grp AS batch_id, count(*) FILTER (first_grp = grp) AS added, (SELECT count(DISTINCT b.folder) FROM event_dirs b WHERE b.day = a.day AND b.grp < a.grp) AS found
    FROM (SELECT *, min(grp) OVER (PARTITION BY day, folder) AS first_grp FROM event_dirs) a GROUP BY day, grp"""))
 def event_pool_stream(spark: SparkSession, sf: str) -> DataFrame:
