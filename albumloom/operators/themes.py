@@ -156,10 +156,13 @@ def cluster_themes(events: DataFrame, scorer: Scorer, merge_replies: DataFrame |
 
 
 def theme_copies(members: DataFrame, valid: DataFrame, photos: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """Copy plan of the valid themes: (folder, theme, tag, src, ...). Photos (tag, path) of an event in several themes are copied into each."""
+    """Copy plan of the valid themes: (folder, theme, tag, src, ...). Each event has its own folder in that of the theme.
+
+    Photos (tag, path) of an event in several themes are copied into each.
+    """
     content = CONTENT if target is not None else ()
     wanted = members.join(valid.select("theme", "theme_folder"), "theme").join(photos.select("tag", "path", *content), "tag")
-    return plan_copies(wanted.select(F.col("theme_folder").alias("folder"), basename(F.col("path")).alias("name"), F.col("path").alias("src"), "theme", "tag", *content), target=target)
+    return plan_copies(wanted.select(F.concat_ws("/", "theme_folder", "tag").alias("folder"), basename(F.col("path")).alias("name"), F.col("path").alias("src"), "theme", "tag", *content), target=target)
 
 
 def free_version(wanted: DataFrame, existing: DataFrame) -> DataFrame:

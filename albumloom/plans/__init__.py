@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["photo_core", "texts", "places", "curate", "albums", "reports", "streams"]
+MODULES = ["photo_core", "texts", "places", "curate", "albums", "reports", "documents", "streams"]
 
 
 def load_all():

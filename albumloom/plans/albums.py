@@ -213,9 +213,9 @@ def theme_merging(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("OPS-10", "SNK-8", sql=with_(*ASKED, EVENT_FILES, r"pics AS (SELECT split_part(path, '/', 3) AS tag, path AS src FROM event_files WHERE regexp_matches(lower(path), '\.(jpg|jpeg|png)$'))",
-  r"wanted AS (SELECT theme_folder AS folder, regexp_extract(src, '[^/]*$') AS name, src, theme, tag FROM merged JOIN valid USING (theme) JOIN pics USING (tag))", *copies_sql("wanted"), body="SELECT folder, name, src, theme, tag, final_name, status FROM copies"))
+  r"wanted AS (SELECT theme_folder || '/' || tag AS folder, regexp_extract(src, '[^/]*$') AS name, src, theme, tag FROM merged JOIN valid USING (theme) JOIN pics USING (tag))", *copies_sql("wanted"), body="SELECT folder, name, src, theme, tag, final_name, status FROM copies"))
 def theme_copy_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Photos of valid themes into their folders, some of which hold files already."""
+    """Photos of valid themes into the folders of their events there, some of which hold files already."""
     members, valid, _ = themes.cluster_themes(views.events_by_tag(spark, sf), sample_theme_scorer, merge_scorer=sample_merge_scorer, p=Themes(theme_batch=1_000_000))
     pics = folders.event_photos(views.event_files(spark, sf), "/archive").select("tag", "path").withColumns(views.content_of(F.col("path")))
     wanted = themes.theme_copies(members, valid, pics).select("folder", "name", "src").withColumns(views.content_of(F.col("src")))

@@ -327,7 +327,23 @@ def batch_document_lists(spark: SparkSession, sf: str) -> DataFrame:
     return batch_document(spark, sf)
 
 
-def document_lists(ph: DataFrame) -> DataFrame:
+@query("SNK-1", sql=with_(*FULL[:6], *stage_sql(LONG), SPLIT, FOLD, f"gone AS ({GONE_SQL})", f"trash AS (SELECT path FROM photos WHERE ({TRASH_SQL}) IS NOT NULL)",
+  "marks AS (SELECT ('0x' || substr(md5(path || '|' || t || '|' || size_bytes), 1, 15))::BIGINT AS v FROM photos)", recursive=True, body="""SELECT 'summary' AS part, field, n::VARCHAR AS value FROM (
+    SELECT 'total_scanned' AS field, count(*) AS n FROM photos UNION ALL SELECT 'kept', count(*) FROM final UNION ALL SELECT 'trashed', count(*) FROM trash
+    UNION ALL SELECT 'deduped', count(*) FROM gone UNION ALL SELECT 'batch_count', count(DISTINCT batch_id) FROM final)
+  UNION ALL SELECT 'source_dir_snapshot', field, n::VARCHAR FROM (SELECT 'file_count' AS field, count(*) AS n FROM marks UNION ALL SELECT 'mix', bit_xor(v) FROM marks UNION ALL SELECT 'mark', sum(v % 1000000007) FROM marks)
+  UNION ALL SELECT 'params', field, value FROM (VALUES ('min_size_bytes', '30720'), ('min_side_px', '400'), ('max_aspect', '3.0'), ('dup_max_bits', '2'), ('burst_seconds', '90'), ('hard_cut_seconds', '1800'),
+    ('segment_max_bits', '40'), ('merge_max_bits', '24'), ('merge_span_seconds', '3600'), ('max_batch', '10'), ('small_batch', '3'), ('small_gap_seconds', '480')) p(field, value)"""))
+def batch_document_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Run parameters, totals and source snapshot of the document, as read back."""
+    from albumloom.sources import sinks
+
+    return sinks.read_header(spark, f"{written_document(photos(spark, sf))}/header")
+
+
+def written_document(ph: DataFrame) -> str:
+    """Folder of the whole document."""
+    from albumloom.operators import files
     from albumloom.sources import sinks
     from albumloom.streaming.runtime import scratch
 
@@ -339,7 +355,16 @@ def document_lists(ph: DataFrame) -> DataFrame:
     trashed = ph.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "reason")
     copies = settle(copies)
     out = scratch(spark, "document")
-    sinks.write_batch_document(out, rows, trashed, copies, sinks.document_summary(ph, kept, trashed, copies, rows))
+    totals = settle(sinks.document_summary(ph, kept, trashed, copies, rows))
+    source = files.snapshot(ph.select("path", F.col("t").alias("mtime"), F.col("size_bytes").alias("size")))
+    sinks.write_batch_document(out, rows, trashed, copies, totals, sinks.document_header(LONG, totals, source))
+    return out
+
+
+def document_lists(ph: DataFrame) -> DataFrame:
+    from albumloom.sources import sinks
+
+    spark, out = ph.sparkSession, written_document(ph)
     listed = sinks.read_batch_document(spark, f"{out}/batches").select(
         F.lit("batches").alias("list"), "batch_id", "date", "file", "filename", "datetime", "is_exact_time", F.get("gps", F.lit(0)).alias("lat"), F.get("gps", F.lit(1)).alias("lng")
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumloom.functions.times import from_seconds
+from albumloom.params import Chunking
 
 BATCH_SCHEMA = (
     "date string, batch_id string, size bigint, photos array<struct<file: string, filename: string, datetime: string, is_exact_time: boolean, "
@@ -32,14 +35,33 @@ def document_summary(scanned: DataFrame, kept: DataFrame, trashed: DataFrame, de
     return out.select("*", *[df.agg(F.count("*")).scalar().alias(name) for name, df in counts.items()])
 
 
-def write_batch_document(out: str, batches: DataFrame, trashed: DataFrame, deduped: DataFrame, summary: DataFrame) -> None:
-    """Batches as JSON, one document per batch; rejected and duplicate rows and the totals as parquet."""
+def document_header(p: Chunking, summary: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """One row: run parameters, totals, and the snapshot that a resumed run holds against its source."""
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in asdict(p).items()])
+    source = snapshot.select(F.struct("*")).scalar()
+    return summary.select(settings.alias("params"), F.struct("*").alias("summary"), source.alias("source_dir_snapshot"))
+
+
+HEADER_SCHEMA = "params map<string, string>, summary map<string, bigint>, source_dir_snapshot map<string, bigint>"
+
+
+def write_batch_document(out: str, batches: DataFrame, trashed: DataFrame, deduped: DataFrame, summary: DataFrame, header: DataFrame | None = None) -> None:
+    """Batches as JSON, one document per batch; rejected and duplicate rows and the totals as parquet; the header as one JSON line."""
+    if header is not None:
+        header.write.mode("overwrite").json(f"{out}/header")
     batches.write.mode("overwrite").json(f"{out}/batches")
     trashed.write.mode("overwrite").parquet(f"{out}/trashed")
     deduped.write.mode("overwrite").parquet(f"{out}/deduped")
     summary.write.mode("overwrite").parquet(f"{out}/summary")
 
 
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """(part, field, value) of a header: parameters, totals, snapshot."""
+    doc = spark.read.schema(HEADER_SCHEMA).json(path)
+    parts = [doc.select(F.lit(c).alias("part"), F.explode(F.col(c).cast("map<string, string>")).alias("field", "value")) for c in doc.columns]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def read_batch_document(spark: SparkSession, path: str) -> DataFrame:
     """Photo rows of batch documents: one batch per line, as written here."""
     return _photos(spark.read.schema(BATCH_SCHEMA).json(path))
@@ -67,14 +89,3 @@ def theme_index(valid: DataFrame, rest: DataFrame, events: DataFrame) -> DataFra
         "theme", "theme_folder", "events", "photos", "years", events.agg(F.count("*")).scalar().alias("total_events"),
         rest.agg(F.count("*")).scalar().alias("ungrouped_events"), valid.agg(F.coalesce(F.sum("events"), F.lit(0))).scalar().alias("grouped_events"),
     )
-
-
-def write_manifests(rows: DataFrame, by: str, out: str) -> None:
-    """JSON manifests in one folder per value of ``by``."""
-    rows.write.mode("overwrite").partitionBy(by).json(out)
-
-
-def write_report(tables: dict[str, DataFrame], out: str) -> None:
-    """Each sheet of a report as CSV with a header."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
