@@ -34,9 +34,11 @@ def mix_key(docs: DataFrame, seed: int = 7) -> Column:
     return F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7, row: str | None = None) -> DataFrame:
     """(doc_id, text, source) -> doc_id, source, size, source_size, target, taken, epochs.
 
+    ``row`` names a column that tells rows apart; it is handed on. Which of some equal rows the cut falls on goes by it.
+
     Size counts words. Sources are weighed in code-point order, null last and a source like any other. Each source's
     documents are put in the order of a hash of seed, id and text; whole epochs are taken first, then documents in
     that order until the budget (the target, rounded) is met to the word: the document at the cut gives the words
@@ -44,7 +46,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     0 and are never taken; an empty table gives no rows; repeated rows are rows of their own; other columns are
     not read. Reruns agree.
     """
+    own = [] if row is None else [row]
     kept = docs.select(
+        *own,
         "doc_id",
         "source",
         # '=' keeps the code-point order and sorts before '>', which stands for null
@@ -54,11 +58,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     )
     kept = stored(kept, "sizes")
     targets = source_targets(kept.groupBy("gk").agg(F.sum("size").alias("source_size")), weights, share, most)
-    placed = spread_sums(kept, ["gk"], "key", ["doc_id", "size"], {"before": F.col("size")}).join(targets, "gk")
+    placed = spread_sums(kept, ["gk"], "key", ["doc_id", "size", *own], {"before": F.col("size")}).join(targets, "gk")
     budget = F.round("target").cast("bigint")
     full = F.when(F.col("source_size") > 0, F.expr("cast(round(target) AS bigint) div source_size")).otherwise(F.lit(0).cast("bigint"))
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), budget - full * F.col("source_size") - F.col("before")))
     return placed.select(
+        *own,
         "doc_id",
         "source",
         "size",

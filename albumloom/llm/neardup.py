@@ -170,12 +170,18 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     ones among them are first cut into buckets of those that differ from the center in a like way; that loses no link.
     So every candidate pair is decided, shown to be no link or already connected, and none in one component is tested.
 
-    Texts without words, and nulls, are linked with nothing. doc_id identifies a document: rows that repeat one are
-    in one component; rows without doc_id have no component and are kept. Other columns are not read.
+    doc_id identifies a document: all rows with words that repeat one are in one component, and link what their texts
+    are like. Texts without words, and nulls, are linked with nothing: such a row stands for its own doc_id. Rows
+    without doc_id have no component and are kept. An empty table gives no rows. Other columns are not read.
     """
     signed = stored(docs.select("doc_id", _signatures(p)("text").alias("s")).select("doc_id", "s.*"), "signatures")
     worded = signed.where("doc_id IS NOT NULL AND n > 0")
-    classes = worded.groupBy("same_hi", "same_lo").agg(F.min("doc_id").alias("id"))
+    classes = stored(worded.groupBy("same_hi", "same_lo").agg(F.min("doc_id").alias("id")), "classes")
+    # a document of several texts links the classes of all of them
+    word_key = F.struct("same_hi", "same_lo")
+    several = worded.groupBy("doc_id").agg(F.min(word_key).alias("lo"), F.max(word_key).alias("hi")).where("lo != hi").select("doc_id")
+    links = worded.join(several, "doc_id").join(classes, ["same_hi", "same_lo"]).where("doc_id != id").select(F.col("doc_id").alias("id"), F.col("id").alias("component")).distinct()
+    links = stored(links, "several")
     ids = classes.select("id").distinct()
     rows = worded.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
@@ -189,7 +195,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     crowd = members.groupBy("id").agg(F.sum("c").alias("crowd"))
     first = members.join(crowd, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("id"))).alias("top"))
     centers = stored(first.select("key", (-F.col("top.id")).alias("id")), "centers")
-    members, links, step = members.drop("c"), None, 0
+    members, step = members.drop("c"), 0
     while True:
         named = {"id": "center", "n": "cn", "component": "own", "probe": "asks", "target": "answers", "at": "ca", "d": "cd"}
         marked = stored(members.join(centers.withColumn("chosen", F.lit(True)), ["key", "id"], "left"), "marked")
@@ -200,8 +206,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         lag = F.greatest(2 * F.col("at") + F.col("cd") - F.col("d"), 2 * F.col("ca") + F.col("d") - F.col("cd"))
         pairs = pairs.where(lag * (100 + p.least) <= apart).where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
         found = _verified(pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct(), sets, p.least)
-        if links is not None:
-            found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
         links = stored(components(found), "components")
         # the centers are decided and leave; what is still in several components goes round again
         rest = marked.where("chosen IS NULL").drop("component", "chosen").join(links, "id", "left")
@@ -222,7 +227,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         drawn = F.pmod(F.xxhash64("key", "component", F.lit(step)), F.col("parts")) < p.growth**step
         centers = stored(parts.join(stored(held, "held"), "key").where((F.col("id") == F.col("least.id")) | drawn).select("key", "id"), "centers")
 
-    named = classes.join(links, "id", "left").select("same_hi", "same_lo", F.coalesce("component", "id").alias("component"))
+    # stored, so that the join can split a class that holds many rows
+    named = stored(classes.join(links, "id", "left").select("same_hi", "same_lo", F.coalesce("component", "id").alias("component")), "named")
     out = signed.select("doc_id", "n", "same_hi", "same_lo").join(named, ["same_hi", "same_lo"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
