@@ -25,15 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of ids -> (id, component), component = smallest id reachable; ids without edges are left out.
 
     Each round is two grouped minima and two equi-joins; the rows are written out once per round. It ends
-    when no target points on and no id has two targets, whatever number of rounds that takes.
+    when no target points on and no id has two targets, whatever number of rounds that takes; links that are
+    stars around their smallest id need none.
     """
-    current = settle(edges.where("a != b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct())
+    low, high = F.least("a", "b").cast("bigint"), F.greatest("a", "b").cast("bigint")
+    current = settle(edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct())
     while True:
-        current = settle(_small_star(_large_star(current)))
         on = current.select(F.col("b").alias("a")).distinct().join(current, "a", "left_semi").limit(1)
         twice = current.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").limit(1)
         if on.unionAll(twice).isEmpty():
             break
+        current = settle(_small_star(_large_star(current)))
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
         current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

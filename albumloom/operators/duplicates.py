@@ -12,6 +12,8 @@ That holds for distance two alone. At any other distance the distinct hashes und
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(day, key, c_hi, c_lo, node, top, owner): each node in each bucket it may share with others."""
-    members = _members(nodes)
+    members = settle(_members(nodes))  # read twice
     # a node alone under its key has no match there; one hash under a key needs only its own centre
     spread = members.groupBy("day", "key").agg(
         ((F.min("hash_hi") != F.max("hash_hi")) | (F.min("hash_lo") != F.max("hash_lo"))).alias("varied"), F.count("*").alias("n")
@@ -83,7 +85,29 @@ def _met(nodes: DataFrame) -> DataFrame:
     return rows.join(stats, key)
 
 
-def _met_within(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+class Matches(NamedTuple):
+    """What reach and groups both go by; ``named`` is the part that holds at any distance."""
+
+    nodes: DataFrame
+    met: DataFrame
+    edges: DataFrame
+    named: tuple[DataFrame, DataFrame] | None = None
+
+
+ENDS = ("first_owner", "last_owner", "first_any", "last_any")
+
+
+def _named(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with the extremes of those of their key and hash, the groups whose key has several hashes)."""
+    at = ["day", "key", "h"]
+    rows = settle(_members(nodes).withColumn("h", packed(F.col("hash_hi"), F.col("hash_lo"))).drop("hash_hi", "hash_lo"))
+    own = {k: F.when(F.col("owner"), F.col(k)) for k in ("node", "top")}
+    groups = settle(rows.groupBy(*at).agg(*[v.alias(k) for k, v in zip(ENDS, (F.min(own["node"]), F.max(own["top"]), F.min("node"), F.max("top")))]))
+    varied = groups.groupBy("day", "key").agg(F.count("*").alias("n")).where("n > 1").select("day", "key")
+    return settle(rows.join(groups, at)), settle(groups.join(varied, ["day", "key"], "left_semi"))
+
+
+def _met_within(named: tuple[DataFrame, DataFrame], radius: int) -> tuple[DataFrame, DataFrame]:
     """(rows like those of ``_met``, edges) at any distance.
 
     Nodes of one key and hash are one group first; it has one owner at most, as an owner's stem is the key. Groups within
@@ -91,23 +115,33 @@ def _met_within(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     node has an edge to the smallest owner near its hash.
     """
     at = ["day", "key", "h"]
-    rows = settle(_members(nodes).withColumn("h", packed(F.col("hash_hi"), F.col("hash_lo"))).drop("hash_hi", "hash_lo"))
-    own = {k: F.when(F.col("owner"), F.col(k)) for k in ("node", "top")}
-    ends = {"first_owner": F.min(own["node"]), "last_owner": F.max(own["top"]), "first_any": F.min("node"), "last_any": F.max("top")}
-    groups = settle(rows.groupBy(*at).agg(*[v.alias(k) for k, v in ends.items()]))
-    pairs = pairs_within(groups, ["day", "key"], radius).unionByName(groups.select(*at, F.col("h").alias("other")))
-    near = settle(pairs.join(groups.withColumnRenamed("h", "other"), ["day", "key", "other"]))
-    wide = near.groupBy(*at).agg(*[F.min(k).alias(k) if k.startswith("first") else F.max(k).alias(k) for k in ends])
-    met = rows.join(wide, at).where("owner OR first_owner IS NOT NULL")
-    other = groups.select(*at, F.col("first_any").alias("a"))
-    across = near.where("first_owner IS NOT NULL AND h != other").join(other, at).select("a", F.col("first_owner").alias("b"))
+    rows, varied = named
+    pairs = pairs_within(varied, ["day", "key"], radius)
+    near = settle(pairs.join(varied.withColumnRenamed("h", "other"), ["day", "key", "other"]))
+    wide = near.groupBy(*at).agg(*[(F.min(k) if k.startswith("first") else F.max(k)).alias(f"near_{k}") for k in ENDS])
+    ends = [(F.least if k.startswith("first") else F.greatest)(k, f"near_{k}").alias(k) for k in ENDS]
+    met = settle(rows.join(wide, at, "left").select(*at, "node", "top", "owner", *ends).where("owner OR first_owner IS NOT NULL"))
+    other = varied.select(*at, F.col("first_any").alias("a"))
+    across = near.where("first_owner IS NOT NULL").join(other, at).select("a", F.col("first_owner").alias("b"))
     return met, across.unionByName(met.where("first_owner IS NOT NULL").select(F.col("node").alias("a"), F.col("first_owner").alias("b")))
 
 
-def duplicate_reach(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
+def matches(photos: DataFrame, p: Chunking = Chunking(), like: Matches | None = None) -> Matches:
+    """The matches that ``duplicate_reach`` and ``duplicate_groups`` of these photos take, worked out once for both.
+
+    ``like`` are matches of the same photos at another distance; what does not hang on the distance is taken from there.
+    """
+    nodes = like.nodes if like else _nodes(photos)
+    if p.dup_max_bits == 2:
+        met = _met(nodes)
+        return Matches(nodes, met, met.select(F.col("node").alias("a"), F.col("first_owner").alias("b")), like.named if like else None)
+    named = like.named if like and like.named else _named(nodes)
+    return Matches(nodes, *_met_within(named, p.dup_max_bits), named)
+
+
+def duplicate_reach(photos: DataFrame, p: Chunking = Chunking(), found: Matches | None = None) -> DataFrame:
     """Photos with at least one near duplicate: smallest and largest id among themselves and their matches."""
-    nodes = _nodes(photos)
-    met = _met(nodes) if p.dup_max_bits == 2 else _met_within(nodes, p.dup_max_bits)[0]
+    nodes, met, _, _ = found or matches(photos, p)
     low = F.when(F.col("owner"), F.col("first_any")).otherwise(F.col("first_owner"))
     high = F.when(F.col("owner"), F.col("last_any")).otherwise(F.col("last_owner"))
     far = met.groupBy("node").agg(F.min(low).alias("low"), F.max(high).alias("high"))
@@ -118,10 +152,9 @@ def duplicate_reach(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
     return keyed.join(reach, ["day", "stem", "hash_hi", "hash_lo"]).select("photo_id", "first_match", "last_match")
 
 
-def duplicate_groups(photos: DataFrame, p: Chunking = Chunking()) -> DataFrame:
+def duplicate_groups(photos: DataFrame, p: Chunking = Chunking(), found: Matches | None = None) -> DataFrame:
     """All photos with ``group_id``, the smallest photo id of the duplicate group; photos without hash stay alone."""
-    nodes = _nodes(photos)
-    edges = _met(nodes).select(F.col("node").alias("a"), F.col("first_owner").alias("b")) if p.dup_max_bits == 2 else _met_within(nodes, p.dup_max_bits)[1]
+    nodes, _, edges, _ = found or matches(photos, p)
     labels = components(edges).select(F.col("id").alias("node"), "component")
     group = nodes.join(labels, "node", "left").select("day", "stem", "hash_hi", "hash_lo", F.coalesce("component", "node").alias("group_id"))
     return (

@@ -149,11 +149,12 @@ WALK_SQL = "w{bits}(id, grp) AS (SELECT photo_id, photo_id FROM photos UNION SEL
 def duplicates_by_radius(spark: SparkSession, sf: str) -> DataFrame:
     """Reach and groups of near duplicates at other distances than the one that is set."""
     ph = settle(photos(spark, sf))
-    out = None
+    out = found = None
     for bits in RADII:
         p = Chunking(dup_max_bits=bits)
-        near = duplicates.duplicate_reach(ph, p).select(F.lit("near").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("first_match").alias("low"), F.col("last_match").alias("high"))
-        group = duplicates.duplicate_groups(ph, p).select(F.lit("group").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("group_id").alias("low"), F.lit(None).cast("bigint").alias("high"))
+        found = duplicates.matches(ph, p, like=found)
+        near = duplicates.duplicate_reach(ph, p, found).select(F.lit("near").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("first_match").alias("low"), F.col("last_match").alias("high"))
+        group = duplicates.duplicate_groups(ph, p, found).select(F.lit("group").alias("what"), F.lit(bits).alias("bits"), "photo_id", F.col("group_id").alias("low"), F.lit(None).cast("bigint").alias("high"))
         both = near.unionByName(group)
         out = both if out is None else out.unionByName(both)
     return out
