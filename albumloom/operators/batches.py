@@ -187,19 +187,22 @@ def number_batches(pieces: DataFrame, p: Chunking = Chunking(), join_small: bool
     return rows.join(entries, ["day", "block"]).groupBy("day", "block").applyInPandas(_fold_block(p), result)
 
 
-def plan_batches(photos: DataFrame, p: Chunking = Chunking(), drop_copies: bool = True, join_small: bool = True) -> DataFrame:
-    """All steps from photos to batches. The kept photos and their events are written out once each, since the
-    steps after them read them more than once."""
-    kept = photos.where(is_trash(p).isNull())
+def plan_batches(photos: DataFrame, p: Chunking = Chunking(), drop_copies: bool = True, join_small: bool = True, grouped: DataFrame | None = None) -> DataFrame:
+    """All steps from photos to batches. What several of the steps read, the kept photos and their events among it,
+    is written out once. ``grouped`` are the ``duplicate_groups`` of the photos that are not trash, where they are
+    needed elsewhere as well."""
+    kept = settle(photos.where(is_trash(p).isNull())) if grouped is None else None
     if drop_copies:
-        kept = settle(keepers(duplicate_groups(kept, p)).drop("group_id"))
+        kept = settle(keepers(duplicate_groups(kept, p) if grouped is None else grouped).drop("group_id"))
+    elif grouped is not None:
+        kept = grouped.drop("group_id")
     return batch_photos(settle(with_events(kept, p)), p, join_small)
 
 
 def batch_photos(photos: DataFrame, p: Chunking = Chunking(), join_small: bool = True) -> DataFrame:
     """Photos with events -> the same photos with ``batch_no``, ``batch_id`` and their place in the batch."""
     cut = split_events(photos, p)
-    placed = photos.join(cut.select("photo_id", "start"), "photo_id")
+    placed = settle(photos.join(cut.select("photo_id", "start"), "photo_id"))
     pieces = placed.groupBy(*PIECE).agg(F.count("*").alias("size"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     numbered = number_batches(pieces, p, join_small)
     return (
