@@ -349,9 +349,11 @@ def written_document(ph: DataFrame) -> str:
     from albumloom.streaming.runtime import scratch
 
     spark = ph.sparkSession
+    ph = settle(ph)  # each list and total reads it
     reason = duplicates.is_trash(LONG)
-    copies = duplicates.dropped(duplicates.duplicate_groups(ph.where(reason.isNull()))).select("path", "reason", "kept_file")
-    kept = settle(batches.plan_batches(ph, LONG, drop_copies=True))
+    grouped = settle(duplicates.duplicate_groups(ph.where(reason.isNull()), LONG))
+    copies = duplicates.dropped(grouped).select("path", "reason", "kept_file")
+    kept = settle(batches.plan_batches(ph, LONG, drop_copies=True, grouped=grouped))
     rows = sinks.batch_rows(kept)
     trashed = ph.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "reason")
     copies = settle(copies)

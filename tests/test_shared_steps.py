@@ -2,7 +2,7 @@
 
 import pytest
 
-from albumloom.operators import components, duplicates
+from albumloom.operators import batches, components, duplicates
 from albumloom.plans import load_all
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,33 @@ def test_stars_need_no_round(spark, monkeypatch):
     monkeypatch.setattr(components, "_large_star", lambda edges: pytest.fail("a round"))
     got = components.components(spark.createDataFrame([(5, 1), (1, 7), (9, 1), (4, 3)], "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (3, 3), (4, 3), (5, 1), (7, 1), (9, 1)]
+
+
+def test_document_groups_copies_once(spark, monkeypatch):
+    nodes = counted(monkeypatch, duplicates, "_nodes")
+    load_all()["batch_document"].run(spark, SF)
+    assert len(nodes) == 1
+
+
+def test_batches_split_once(spark, monkeypatch, tmp_path):
+    """The splitter sees each piece one time in all, also when the batches are read."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    plain = batches._split_local
+
+    def marked(p):
+        run = plain(p)
+
+        def split(pdf):
+            import uuid
+
+            (seen / uuid.uuid4().hex).touch()
+            return run(pdf)
+
+        return split
+
+    monkeypatch.setattr(batches, "_split_local", marked)
+    df = load_all()["batch_item_ids"].run(spark, "/root/testdata/sf0.01")
+    first = len(list(seen.iterdir()))
+    df.collect()
+    assert first > 0 and len(list(seen.iterdir())) == first
