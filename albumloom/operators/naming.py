@@ -37,7 +37,7 @@ def plan_copies(files: DataFrame, mark: Column | None = None, same: str | None =
         there = target.select("folder", "name", *[F.col(c).cast("string").alias(f"_t_{c}") for c in CONTENT])
     held = [f"_c_{c}" for c in CONTENT]
     equal = lambda p: (F.coalesce(F.col(held[0]) == F.col(f"{p}{CONTENT[0]}"), F.lit(False)) & F.coalesce(F.col(held[1]) == F.col(f"{p}{CONTENT[1]}"), F.lit(False)))
-    first = rows.groupBy("folder", "name").agg(F.min_by(F.struct("src", *held), "src").alias("_h"))
+    first = settle(rows.groupBy("folder", "name").agg(F.min_by(F.struct("src", *held), "src").alias("_h")))  # read for holders and taken names
     holder = first.join(there.withColumn("_there", F.lit(True)), ["folder", "name"], "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
     holder = holder.select("folder", "name", "_there", F.col("_h.src").alias("_first"), *[F.when(F.col("_there"), F.col(f"_t_{c}")).otherwise(F.col(f"_h._c_{c}")).alias(f"_h_{c}") for c in CONTENT])
     rows = rows.join(holder, ["folder", "name"])
@@ -57,7 +57,7 @@ def plan_copies(files: DataFrame, mark: Column | None = None, same: str | None =
     alt = alt.withColumn("_rank", F.row_number().over(group)).withColumns({f"_f_{c}": F.first(f"_c_{c}").over(group) for c in CONTENT})
     free = F.col("_taken").isNull()
     state = F.when(free & (F.col("_rank") == 1), "copied_hashed").when((~free & equal("_t_")) | (free & equal("_f_")), "exists_same")
-    alt = alt.withColumn("_state", state)
+    alt = settle(alt.withColumn("_state", state))
     plain = alt.where("_state IS NOT NULL").withColumn("final_name", F.col("_alt")).withColumn("status", F.col("_state"))
     out = settled.select(*keep).unionByName(plain.select(*keep))
     left = alt.where("_state IS NULL").drop("_taken", "_state", "_rank", *[f"{p}{c}" for p in ("_t_", "_f_") for c in CONTENT])

@@ -2,7 +2,7 @@
 
 import pytest
 
-from albumloom.operators import batches, components, duplicates
+from albumloom.operators import batches, components, duplicates, naming
 from albumloom.plans import load_all
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,12 @@ def test_batches_split_once(spark, monkeypatch, tmp_path):
     first = len(list(seen.iterdir()))
     df.collect()
     assert first > 0 and len(list(seen.iterdir())) == first
+
+
+def test_copy_plans_read_their_steps_once(spark):
+    """Holders and digest names are stored: the plan that is left has no grouping and no order by source."""
+    rows = [("f", "a.jpg", f"/{i}/a.jpg", str(i % 2)) for i in range(6)]
+    plan = naming.plan_copies(spark.createDataFrame(rows, "folder string, name string, src string, c string"), same="c")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in text and "first(_c_" not in text
+    assert sorted(r["status"] for r in plan.collect()) == ["copied"] + ["copied_hashed"] * 3 + ["exists_same"] * 2
