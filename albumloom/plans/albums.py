@@ -362,7 +362,7 @@ def period_reorganise(spark: SparkSession, sf: str) -> DataFrame:
   body="SELECT folder, name, src, final_name, status FROM copies"))
 def period_to_target(spark: SparkSession, sf: str) -> DataFrame:
     """The period plan where the periods' folders hold files already."""
-    photos = archive_photos(spark, sf).withColumns(views.content_of(F.col("path")))
+    photos = settle(archive_photos(spark, sf).withColumns(views.content_of(F.col("path"))))
     wanted = themes.period_plan(photos, "month").select("folder", "name", "src").withColumns(views.content_of(F.col("src")))
     marks = photos.select(F.col("path").alias("src"), F.replace("day", F.lit("-"), F.lit("")).alias("mark")).distinct()
     target = views.copy_target(wanted.join(marks, "src"), F.concat("mark", F.lit("_"))).drop("mark")

@@ -9,6 +9,7 @@ from albumloom.functions.hashes import median_bits
 from albumloom.functions.names import add_suffix
 from albumloom.functions.replies import held
 from albumloom.functions.times import seconds_of
+from albumloom.session import settle
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -404,6 +405,7 @@ def copy_target(files: DataFrame, mark: Column) -> DataFrame:
     """A target that holds some of the wanted names, and some digest names alone or with a number, by equal and by other files."""
     digit = F.substring(F.md5("src"), 1, 1)
     f = files.withColumn("digit", digit).withColumn("alt", add_suffix(F.col("name"), F.concat(F.lit("_"), mark, F.substring(F.md5("src"), 1, 8)))).distinct()
+    f = settle(f)  # read three times
     named = f.where(F.substring(F.md5(F.concat("folder", "name")), 1, 1) < "5").groupBy("folder", "name").agg(F.max_by(F.struct("size", "md5"), "src").alias("c")).select("folder", "name", "c.*")
     own = lambda same: [F.when(same, F.col("size")).otherwise(-1).alias("size"), F.when(same, F.col("md5")).otherwise("other").alias("md5")]
     hashed = f.where("digit < '5'").select("folder", F.col("alt").alias("name"), *own(F.col("digit") < "2"))
