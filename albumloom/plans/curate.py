@@ -275,8 +275,9 @@ def removal_lines(spark: SparkSession, sf: str) -> DataFrame:
     from albumloom.sources.lists import removal_text
 
     ph = views.photos(spark, sf)
-    grouped = duplicates.duplicate_groups(ph)
+    grouped = settle(duplicates.duplicate_groups(ph))
     copies = curation.copy_times(duplicates.dropped(grouped).select("path", "filename"), duplicates.keepers(grouped).select("path", "t"))
+    copies = settle(copies)  # the order over the whole list reads it twice
     return removal_text(curation.removal_list(rejected_photos(spark, sf), copies))
 
 

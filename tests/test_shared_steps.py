@@ -63,3 +63,8 @@ def test_copy_plans_read_their_steps_once(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in text and "first(_c_" not in text
     assert sorted(r["status"] for r in plan.collect()) == ["copied"] + ["copied_hashed"] * 3 + ["exists_same"] * 2
+
+
+def test_removal_list_orders_stored_copies(spark):
+    """The order's sampling does not work the groups out again."""
+    assert "max_by" not in load_all()["removal_lines"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
