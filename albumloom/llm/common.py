@@ -77,25 +77,31 @@ def spread_sums(df: DataFrame, by: list[str], key: str, ties: list[str], values:
     return out.drop("_slice", *[f"{k}o" for k in held])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links of ids -> (id, component), the smallest id reachable; ids without links are left out.
+def star_links(edges: DataFrame) -> DataFrame:
+    """(a, b) links of ids -> stored (a, b): every id with links that is not the smallest reachable, and that smallest id.
 
     Large-star and small-star rounds by grouped minima and equi-joins; it ends when every id with links points to
     one that points nowhere, whatever number of rounds that takes. No neighbour list is collected.
     """
     links = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
-        # done when no target points on and no id has two targets
-        on = links.select(F.col("b").alias("a")).distinct().join(links, "a", "left_semi").limit(1)
-        twice = links.groupBy("a").count().where("count > 1").select("a").limit(1)
-        if on.unionAll(twice).isEmpty():
-            break
+        # done when no target points on and no id has two targets; one grouping tells both
+        ends = links.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionByName(links.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if not ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").count():
+            return links
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # one row for each link at most, so that what repeats can wait for the distinct below
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) links of ids -> (id, component), the smallest id reachable; ids without links are left out."""
+    links = star_links(edges)
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from albumloom.llm.common import components, pinned, stored
+from albumloom.llm.common import pinned, star_links, stored
 
 
 @dataclass(frozen=True)
@@ -116,12 +116,25 @@ def _sets(p: NearDup):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b) -> those whose full sets are alike enough."""
+    """(a, b, ca, cb) -> (ca, cb), the components, of those whose full sets are alike enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * least).select("a", "b")
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * least).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(id, component, center, own) -> distinct (a, b, ca, cb), the larger id first."""
+    end = F.struct("id", "component"), F.struct(F.col("center").alias("id"), F.col("own").alias("component"))
+    both = rows.select(F.greatest(*end).alias("x"), F.least(*end).alias("y"))
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
+
+
+def _moved(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component that ``links`` bring each one's component to."""
+    to = links.select(F.col("a").alias("component"), F.col("b").alias("_to"))
+    return rows.join(to, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
 
 
 def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -153,11 +166,20 @@ def _narrowed(crowd: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return each.select(F.xxhash64("center", "shingle").alias("key"), "id", F.col("n").cast("bigint").alias("n"), "component", *flags, "at", "d")
 
 
-def _open_keys(members: DataFrame) -> DataFrame:
-    """(key, c) of the buckets that can still hold a link between components."""
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that can still hold a link between components, with the number ``c`` of the bucket's members."""
     flags = [F.max(k).alias(k) for k in ("probe", "target")]
     held = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), *flags)
-    return held.where("lo < hi AND probe AND target").select("key", "c")
+    # stored, as a join with a table, unlike one with a grouping on its key, can split a hot bucket
+    return members.join(stored(held.where("lo < hi AND probe AND target").select("key", "c"), "open"), "key")
+
+
+def _drawn(members: DataFrame, step: int, most: int) -> DataFrame:
+    """(key, id) of the next centers: in each bucket one of the smallest component and of ``most`` others by hash."""
+    parts = stored(members.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("id")), "parts")
+    held = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("c", "id")).alias("least"))
+    drawn = F.pmod(F.xxhash64("key", "component", F.lit(step)), F.col("parts")) < most
+    return stored(parts.join(stored(held, "held"), "key").where((F.col("id") == F.col("least.id")) | drawn).select("key", "id"), "centers")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -166,8 +188,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     Words are what no ASCII white space cuts, A-Z lower-cased. Texts of one word sequence are one class under their
     smallest doc_id; classes that share a table key are candidates. In each bucket every member is held against a
     center, whole sets against whole sets; the first center is the member of the fullest buckets. Buckets that the
-    links found have not brought into one component go round again with more centers, those before having left. Large
-    ones among them are first cut into buckets of those that differ from the center in a like way; that loses no link.
+    links found have not brought into one component go round again with more centers, those before having left; where
+    a bucket has no more members than centers would be tried, each member is one and the bucket is done. Large buckets
+    left after the first round are first cut into those of members that differ from the center in a like way; that
+    loses no link. A round's links join components, so later rounds contract few links and never those before.
     So every candidate pair is decided, shown to be no link or already connected, and none in one component is tested.
 
     doc_id identifies a document: all rows with words that repeat one are in one component, and link what their texts
@@ -180,55 +204,58 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     # a document of several texts links the classes of all of them
     word_key = F.struct("same_hi", "same_lo")
     several = worded.groupBy("doc_id").agg(F.min(word_key).alias("lo"), F.max(word_key).alias("hi")).where("lo != hi").select("doc_id")
-    links = worded.join(several, "doc_id").join(classes, ["same_hi", "same_lo"]).where("doc_id != id").select(F.col("doc_id").alias("id"), F.col("id").alias("component")).distinct()
-    links = stored(links, "several")
+    also = worded.join(several, "doc_id").join(classes, ["same_hi", "same_lo"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     ids = classes.select("id").distinct()
     rows = worded.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
     shared = stored(shared, "shared")  # a join with a table, unlike one with a grouping on its key, can split a hot bucket
-    members = stored(rows.join(shared, "key").select("key", "id", "n", "c").distinct().withColumn("component", F.col("id")), "members")
-    members = members.withColumns({"probe": F.lit(True), "target": F.lit(True), "at": F.lit(0), "d": F.lit(0)})
+    members = stored(rows.join(shared, "key").select("key", "id", "n", "c").distinct(), "members")
     texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(texts.select(F.col("doc_id").alias("id"), _sets(p)("text").alias("shingles")), "sets")
 
     # what lies in the fullest buckets is most like the others: the text that copies were edited from
     crowd = members.groupBy("id").agg(F.sum("c").alias("crowd"))
-    first = members.join(crowd, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("id"))).alias("top"))
-    centers = stored(first.select("key", (-F.col("top.id")).alias("id")), "centers")
-    members, step = members.drop("c"), 0
-    while True:
+    # a center of several texts may have several sizes in a bucket
+    tops = [F.max(F.struct("crowd", (-F.col("id")).alias("id"), (F.col("n") * k).alias("n"))).alias(name) for name, k in (("top", 1), ("low", -1))]
+    first = members.join(crowd, "id").groupBy("key").agg(*tops)
+    centers = stored(first.select("key", (-F.col("top.id")).alias("center"), F.col("top.n").alias("cn"), (-F.col("low.n")).alias("cn_low")), "centers")
+    marked = members.drop("c").join(centers, "key").where("id != center").withColumns({"component": F.col("id"), "own": F.col("center")})
+    marked = stored(marked, "marked")
+    pairs = marked.where((F.col("n") * 100 >= F.col("cn_low") * p.least) & (F.col("cn") * 100 >= F.col("n") * p.least))
+    moves = [star_links(_verified(_pairs(pairs), sets, p.least).unionByName(also))]
+    # the centers are decided and leave; what is still in several components goes round again
+    plain = {"probe": F.lit(True), "target": F.lit(True), "at": F.lit(0), "d": F.lit(0)}
+    rest = stored(_moved(marked.drop("cn", "cn_low", "own"), moves[0]).withColumns(plain), "rest")
+    members = stored(_open(rest), "members")
+    cut = stored(_narrowed(members.where(F.col("c") > p.crowd).select("center", "id", "component").distinct(), sets, p.least), "narrowed")
+    members = stored(members.where(F.col("c") <= p.crowd).drop("center").unionByName(_open(cut)), "members")
+    step = 0
+    while (largest := members.agg(F.max("c")).first()[0]) is not None:
+        step += 1
+        most = p.growth**step  # eight times as many each round
+        marked = members.where(F.col("c") <= most).withColumn("chosen", F.lit(True))
+        if largest > most:
+            crowded = members.where(F.col("c") > most)
+            drawn = _drawn(crowded, step, most).withColumn("chosen", F.lit(True))
+            marked = stored(marked.unionByName(crowded.join(drawn, ["key", "id"], "left")), "marked")
         named = {"id": "center", "n": "cn", "component": "own", "probe": "asks", "target": "answers", "at": "ca", "d": "cd"}
-        marked = stored(members.join(centers.withColumn("chosen", F.lit(True)), ["key", "id"], "left"), "marked")
         at = marked.where("chosen").select("key", *[F.col(k).alias(v) for k, v in named.items()])
         # two centers of a bucket meet once
         pairs = marked.join(at, "key").where("component != own AND (probe AND answers OR target AND asks) AND (chosen IS NULL OR id > center)")
         apart = (F.col("n") + F.col("cn")) * (100 - p.least)
         lag = F.greatest(2 * F.col("at") + F.col("cd") - F.col("d"), 2 * F.col("ca") + F.col("d") - F.col("cd"))
         pairs = pairs.where(lag * (100 + p.least) <= apart).where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * p.least)
-        found = _verified(pairs.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct(), sets, p.least)
-        found = found.unionByName(links.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        links = stored(components(found), "components")
-        # the centers are decided and leave; what is still in several components goes round again
-        rest = marked.where("chosen IS NULL").drop("component", "chosen").join(links, "id", "left")
-        rest = stored(rest.withColumn("component", F.coalesce("component", "id")), "rest")
-        members = stored(rest.join(stored(_open_keys(rest), "open"), "key"), "members")
-        if step == 0:
-            own = members.where(F.col("c") > p.crowd).select("key", "id", "component").join(centers.select("key", F.col("id").alias("center")), "key")
-            cut = stored(_narrowed(own.select("center", "id", "component").distinct(), sets, p.least), "narrowed")
-            cut = cut.join(stored(_open_keys(cut), "open"), "key")
-            members = stored(members.where(F.col("c") <= p.crowd).unionByName(cut), "members")
-        members = members.drop("c")
-        if members.isEmpty():
+        moves.append(star_links(_verified(_pairs(pairs), sets, p.least)))
+        if largest <= most:
             break
-        # the next centers: one of the smallest component and of others by hash, eight times as many each round
-        step += 1
-        parts = stored(members.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("id")), "parts")
-        held = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("c", "id")).alias("least"))
-        drawn = F.pmod(F.xxhash64("key", "component", F.lit(step)), F.col("parts")) < p.growth**step
-        centers = stored(parts.join(stored(held, "held"), "key").where((F.col("id") == F.col("least.id")) | drawn).select("key", "id"), "centers")
+        rest = stored(_moved(marked.where("chosen IS NULL").drop("chosen", "c"), moves[-1]), "rest")
+        members = stored(_open(rest), "members")
 
+    named = classes.withColumnRenamed("id", "component")
+    for links in moves:
+        named = _moved(named, links)
     # stored, so that the join can split a class that holds many rows
-    named = stored(classes.join(links, "id", "left").select("same_hi", "same_lo", F.coalesce("component", "id").alias("component")), "named")
+    named = stored(named, "named")
     out = signed.select("doc_id", "n", "same_hi", "same_lo").join(named, ["same_hi", "same_lo"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(

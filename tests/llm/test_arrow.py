@@ -67,6 +67,33 @@ def test_near_duplicates_of_a_template(spark):
     assert got == grouped(sets)
 
 
+def test_near_duplicates_in_small_buckets_take_two_rounds(spark, monkeypatch):
+    """Families of at most eight: what the first round leaves open is done in one more, without drawing centers, and links found are contracted once."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for k in range(rng.randrange(3, 9)):
+            t = list(base)
+            for _ in range(rng.randrange(5)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10_000)}"
+            rows.append((len(rows) * 7 % 521, " ".join(t)))
+    held, plain = {}, common.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        held.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    monkeypatch.setattr(neardup, "stored", counted)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == grouped(sets_of(rows, 5))
+    assert held["rest"][0] and any(held["members"][1:])  # a second round was needed
+    assert len(held["marked"]) == len(held["rest"]) == 1 and "parts" not in held
+    assert held["links"][-1] < held["links"][0]
+
+
 def test_near_duplicates_odd(spark):
     got = neardup.near_duplicates(odd_docs(spark)).select("doc_id", "component_id", "kept").collect()
     assert len(got) == 11
